@@ -210,8 +210,9 @@ class ModelSettings:
     neighbours: int = 5
     svm_c: float = 1.0
     svm_features: int = 128
+    svm_iterations: int = 100
     boosting_rounds: int = 100
     boosting_depth: int = 6
     boosting_step: float = 0.3
-    parallelism: int = 4
+    parallelism: int = 8
     seed: int = FOLD_SEED

@@ -26,9 +26,9 @@ def _nearest(k: int):
     def nearest(tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
         if tests.empty or trains.empty:
             return pd.DataFrame({"id": [], "d": [], "n_id": [], "n_label": []})
-        trains = trains.sort_values("id", kind="stable")
-        x = np.stack(trains["x"].to_numpy())
-        ids, labels = trains["id"].to_numpy(), trains["label"].to_numpy()
+        trains = trains.sort_values("n_id", kind="stable")
+        x = np.stack(trains["n_x"].to_numpy())
+        ids, labels = trains["n_id"].to_numpy(), trains["n_label"].to_numpy()
         out = []
         for test_id, v in zip(tests["id"], tests["x"]):
             d = ((x - v) ** 2).sum(axis=1)
@@ -52,13 +52,18 @@ def _visit(tests: DataFrame, train: DataFrame, k: int, block_rows: int) -> DataF
     placed = tests.join(visits, ["slice", "part"]).select(
         "id", "x", "slice", "part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
     )
+    # New names throughout: both sides may come from the same frame.
     copies = train.join(visits, ["slice", "part"]).select(
-        "id", "x", "label", "slice", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+        F.col("id").alias("n_id"),
+        F.col("x").alias("n_x"),
+        F.col("label").alias("n_label"),
+        F.col("slice").alias("n_slice"),
+        F.col("part").alias("n_part"),
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("n_chunk"),
     )
-    key = ["slice", "part", "chunk"]
     return (
-        placed.groupBy(*key)
-        .cogroup(copies.groupBy(*key))
+        placed.groupBy("slice", "part", "chunk")
+        .cogroup(copies.groupBy("n_slice", "n_part", "n_chunk"))
         .applyInPandas(_nearest(k), _NEIGHBOURS)
     )
 
@@ -95,6 +100,11 @@ def nearest_neighbours(
     )
     parts = {r["slice"]: r["n"] // block_rows + 1 for r in bounds}
     part_count = F.create_map(*[F.lit(v) for kv in parts.items() for v in kv])
+    best = Window.partitionBy("id").orderBy("d", "n_id")
+    if len(bounds) == 1 and set(parts.values()) == {1}:
+        # All training rows fit one block: a single visit is the answer.
+        only = test.select("id", "x", F.lit(bounds[0]["slice"]).alias("slice"), F.lit(0).alias("part"))
+        return _visit(only, train.withColumn("part", F.lit(0)), k, block_rows)
     train = train.withColumn("part", F.pmod(F.xxhash64("id"), part_count[F.col("slice")]).cast("int"))
     blocks = F.array(
         *[
@@ -128,7 +138,6 @@ def nearest_neighbours(
         .select("id", "x", F.explode(reachable).alias("b"))
         .select("id", "x", "b.slice", F.explode(F.sequence(F.lit(0), F.col("b.parts") - 1)).alias("part"))
     )
-    best = Window.partitionBy("id").orderBy("d", "n_id")
     return (
         _visit(todo, train, k, block_rows)
         .withColumn("_rank", F.row_number().over(best))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -33,6 +34,7 @@ from metricwatch.config import (
 )
 from metricwatch.functions import hash_percent
 from metricwatch.operators.knn import knn_scores
+from metricwatch.sources.lineage import cut_lineage
 
 SCORE_SCHEMA = (
     "model string, fold int, fit_time double, score_time double, test_accuracy double, "
@@ -165,7 +167,7 @@ def _kernel_svm(cfg: ModelSettings):
             return df.withColumn("lifted", fourier_features(x, width, cfg.svm_features, gamma, cfg.seed))
 
         estimator = LinearSVC(
-            featuresCol="lifted", maxIter=100, regParam=1.0 / (cfg.svm_c * n_rows), standardization=False
+            featuresCol="lifted", maxIter=cfg.svm_iterations, regParam=1.0 / (cfg.svm_c * n_rows), standardization=False
         )
         model = estimator.fit(lift(train))
         return Fitted(lambda df: _margin(model.transform(lift(df))).drop("lifted"), model)
@@ -249,25 +251,28 @@ def _ratio(a: str, b: str) -> Column:
     return F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
 
 
-def _score(predictions: DataFrame) -> dict[str, float | None]:
-    """Weighted scores of one fold.  Only the report's few rows and the AUC reach the driver."""
-    report = {r["class"]: r for r in classification_report(predictions).collect()}
-    if not report:
-        return {}
-    weighted = report["weighted avg"]
-    both = "0.0" in report and "1.0" in report and all(report[c]["support"] > 0 for c in ("0.0", "1.0"))
-    auc = None
-    if both:
-        auc = BinaryClassificationEvaluator(
-            rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0
-        ).evaluate(predictions)
-    return {
-        "test_accuracy": report["accuracy"]["precision"],
-        "test_precision_weighted": weighted["precision"],
-        "test_recall_weighted": weighted["recall"],
-        "test_f1_weighted": weighted["f1"],
-        "test_roc_auc": auc,
-    }
+def area_under_roc(predictions: DataFrame) -> float | None:
+    """Exact area under the ROC curve; None unless both classes occur."""
+    if predictions.agg(F.min("label") != F.max("label")).head()[0] is not True:
+        return None
+    return BinaryClassificationEvaluator(
+        rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0
+    ).evaluate(predictions)
+
+
+def fold_scores(predictions: DataFrame, timings: DataFrame) -> DataFrame:
+    """One row per model and fold: times and weighted scores."""
+    report = classification_report(predictions, by=("model", "fold"))
+
+    def pick(row: str, measure: str, name: str) -> Column:
+        return F.max(F.when(F.col("class") == row, F.col(measure))).alias(name)
+
+    weighted = report.groupBy("model", "fold").agg(
+        pick("accuracy", "precision", "test_accuracy"),
+        *[pick("weighted avg", m, f"test_{m}_weighted") for m in ("precision", "recall", "f1")],
+    )
+    columns = [c.split()[0] for c in SCORE_SCHEMA.split(", ")]
+    return timings.join(weighted, ["model", "fold"], "left").select(*columns)
 
 
 # ---- comparison ------------------------------------------------------------
@@ -286,32 +291,46 @@ def compare_models(
     ``CrossValidator(parallelism=...)``.
     """
     spark: SparkSession = rows.sparkSession
-    rows = rows.persist()
+    # Even partitions, sized by AQE: iterative fits run one task per partition and round.
+    rows = rows.repartition("id").persist()
     train = rows.where(~F.col("is_test"))
     test = rows.where(F.col("is_test"))
     fits = {m: f for m, f in _classifiers(cfg).items() if models is None or m in models}
 
-    def one_fold(job: tuple[str, int]) -> tuple:
+    def one_fold(job: tuple[str, int]):
         name, fold = job
         started = time.time()
         fitted = fits[name](train.where(F.col("fold") != fold))
         trained = time.time()
-        scores = _score(
-            fitted.predict(train.where(F.col("fold") == fold)).select("label", "prediction", "score")
+        predicted = fitted.predict(train.where(F.col("fold") == fold)).select(
+            F.lit(name).alias("model"), F.lit(fold).alias("fold"), "label", "prediction", "score"
         )
-        done = time.time()
-        names = [c.split()[0] for c in SCORE_SCHEMA.split(", ")[4:]]
-        return (name, fold, trained - started, done - trained, *[scores.get(n) for n in names])
+        # Read by the curve here and by the report of all folds below.
+        predicted = predicted.persist()
+        auc = area_under_roc(predicted)
+        return predicted, (name, fold, trained - started, time.time() - trained, auc)
 
     jobs = [(name, fold) for name in fits for fold in range(folds)]
     with ThreadPool(cfg.parallelism) as pool:
-        fold_scores = pool.map(one_fold, jobs, chunksize=1)
+        held_out = pool.map(one_fold, jobs, chunksize=1)
         fitted = dict(zip(fits, pool.map(lambda name: fits[name](train), list(fits), chunksize=1)))
-    scores = spark.createDataFrame(fold_scores, SCORE_SCHEMA)
-    predictions = None
-    for name, f in fitted.items():
-        part = f.predict(test).select(F.lit(name).alias("model"), "id", "label", "prediction", "score")
-        predictions = part if predictions is None else predictions.unionByName(part)
+    scores = spark.createDataFrame([], SCORE_SCHEMA)
+    if held_out:
+        timings = spark.createDataFrame(
+            [timing for _, timing in held_out],
+            "model string, fold int, fit_time double, score_time double, test_roc_auc double",
+        )
+        parts = [part for part, _ in held_out]
+        scores = cut_lineage(fold_scores(reduce(DataFrame.unionByName, parts), timings))
+        for part in parts:
+            part.unpersist()
+    predictions = reduce(
+        DataFrame.unionByName,
+        [
+            f.predict(test).select(F.lit(name).alias("model"), "id", "label", "prediction", "score")
+            for name, f in fitted.items()
+        ],
+    )
     return scores, fitted, predictions
 
 

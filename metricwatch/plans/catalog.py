@@ -43,7 +43,9 @@ POSTS_RULE = 13
 FORECAST_UNTIL = date(2002, 9, 30)
 FORECAST_CUTOFF = date(2001, 8, 1)
 # Fewer rounds and trees than the defaults: the tables hold few workspaces.
-STUDY = ModelSettings(trees=20, tree_depth=5, boosting_rounds=10, boosting_depth=3, logistic_iterations=50)
+STUDY = ModelSettings(
+    trees=20, tree_depth=5, boosting_rounds=5, boosting_depth=3, logistic_iterations=15, svm_iterations=10
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -174,13 +176,12 @@ def band_baseline_all(spark, sf_dir):
 
 @query
 def anomaly_labels(spark, sf_dir):
-    return rounded(_labelled(spark, sf_dir), 4)
+    return _labelled(spark, sf_dir)
 
 
 @query
 def alert_rows(spark, sf_dir):
-    rows = anomalies.alerts(_labelled(spark, sf_dir), EVENTS_AS_OF, ALERT_LOOKBACK_DAYS, 0.01)
-    return rounded(rows, 4)
+    return anomalies.alerts(_labelled(spark, sf_dir), EVENTS_AS_OF, ALERT_LOOKBACK_DAYS, 0.01)
 
 
 @query
@@ -190,12 +191,12 @@ def layer_band(spark, sf_dir):
 
 @query
 def layer_facts(spark, sf_dir):
-    return anomalies.layer_facts(rounded(_labelled(spark, sf_dir), 4), normal_only=True)
+    return anomalies.layer_facts(_labelled(spark, sf_dir), normal_only=True)
 
 
 @query
 def layer_anomalies(spark, sf_dir):
-    return rounded(anomalies.layer_anomalies(_labelled(spark, sf_dir)), 4)
+    return anomalies.layer_anomalies(_labelled(spark, sf_dir))
 
 
 @query
@@ -217,6 +218,14 @@ def fiscal_total(spark, sf_dir):
 
 # ---- spend -----------------------------------------------------------------
 
+# Milliseconds / 3.6e6 never lies halfway between two 8-digit decimals.
+CREDIT_DIGITS = 8
+
+
+
+def _credits_rounded(df: DataFrame) -> DataFrame:
+    return rounded(df, CREDIT_DIGITS)
+
 
 def _statements(spark, sf_dir) -> DataFrame:
     return spend.statements(StandInSources(spark, sf_dir).table("query_history"), STAND_IN_SPEND)
@@ -231,7 +240,7 @@ def spend_model_key(spark, sf_dir):
 
 @query
 def spend_statement_credits(spark, sf_dir):
-    return rounded(
+    return _credits_rounded(
         _statements(spark, sf_dir).select(
             "start_date", "model_key", "warehouse_name", "query_type", "credits", "compute_credits"
         )
@@ -241,7 +250,7 @@ def spend_statement_credits(spark, sf_dir):
 @query
 def spend_daily(spark, sf_dir):
     daily = spend.daily_costs(_statements(spark, sf_dir))
-    return rounded(
+    return _credits_rounded(
         daily.select(
             "start_date", "model_key",
             spend.credits_of("rated_ms", "cloud_credits").alias("credits_day"),
@@ -255,7 +264,7 @@ def spend_daily(spark, sf_dir):
 @query
 def spend_day_top(spark, sf_dir):
     daily = spend.daily_costs(_statements(spark, sf_dir))
-    return rounded(
+    return _credits_rounded(
         daily.select(
             "start_date", "model_key",
             F.col("top.credits").alias("credits"),
@@ -268,7 +277,7 @@ def spend_day_top(spark, sf_dir):
 
 @query
 def spend_alltime(spark, sf_dir):
-    return rounded(spend.alltime_costs(spend.daily_costs(_statements(spark, sf_dir))))
+    return _credits_rounded(spend.alltime_costs(spend.daily_costs(_statements(spark, sf_dir))))
 
 
 @query
@@ -277,24 +286,24 @@ def spend_month_rank(spark, sf_dir):
     monthly = daily.groupBy(F.trunc("start_date", "MM").alias("month"), "model_key").agg(
         spend.credits_of(F.sum("rated_ms"), F.sum("cloud_credits")).alias("credits")
     )
-    return rounded(dense_ranks(monthly, ["month"], "credits", "rank"), 6)
+    return _credits_rounded(dense_ranks(monthly, ["month"], "credits", "rank"))
 
 
 @query
 def spend_total(spark, sf_dir):
     daily = spend.daily_costs(_statements(spark, sf_dir))
-    return rounded(spend.total_cost(daily, STAND_IN_SPEND), 4)
+    return _credits_rounded(spend.total_cost(daily, STAND_IN_SPEND))
 
 
 @query
 def spend_windows(spark, sf_dir):
     log = StandInSources(spark, sf_dir).table("query_history")
-    return rounded(spend.spend_windows(log, STAND_IN_SPEND).drop("day_rank", "start_time", "end_time"))
+    return _credits_rounded(spend.spend_windows(log, STAND_IN_SPEND).drop("day_rank", "start_time", "end_time"))
 
 
 @query
 def spend_report(spark, sf_dir):
-    return rounded(reports.spend_report(StandInSources(spark, sf_dir), STAND_IN_SPEND), 5)
+    return _credits_rounded(reports.spend_report(StandInSources(spark, sf_dir), STAND_IN_SPEND))
 
 
 @query

@@ -22,8 +22,15 @@ class Sources:
         self.spark = spark
         self.locations = dict(locations)
         self.format = format
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
+        """The table under its contract.  Opened once, so files are listed once per instance."""
+        if name not in self._opened:
+            self._opened[name] = self._open(name)
+        return self._opened[name]
+
+    def _open(self, name: str) -> DataFrame:
         if name not in self.locations:
             raise KeyError(f"no location for table {name!r}")
         where = self.locations[name]
@@ -44,9 +51,9 @@ class StandInSources(Sources):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, {t: f"{sf_dir}/{t}.parquet" for t in DRIVER_TABLES})
 
-    def table(self, name: str) -> DataFrame:
+    def _open(self, name: str) -> DataFrame:
         if name in self.locations:
-            return super().table(name)
+            return super()._open(name)
         text = STAND_IN_SQL[name]
         used = [t for t in DRIVER_TABLES if "{" + t + "}" in text]
         df = self.query(text, *used) if used else self.spark.sql(text)
