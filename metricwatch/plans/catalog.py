@@ -213,7 +213,7 @@ def monthly_resample(spark, sf_dir):
 @query
 def fiscal_total(spark, sf_dir):
     days = band_baseline(_series(spark, sf_dir, "warehouse_spend"))
-    return rounded(stats.fiscal_total(days, BASELINE_CUTOFF), 1)
+    return rounded(stats.fiscal_total(days, BASELINE_CUTOFF), 2)
 
 
 # ---- spend -----------------------------------------------------------------
@@ -310,7 +310,7 @@ def spend_report(spark, sf_dir):
 def nice_bytes_sizes(spark, sf_dir):
     log = StandInSources(spark, sf_dir).table("query_history")
     n = F.col("bytes_scanned")
-    sizes = log.select(F.explode(F.array(n, n * n, F.pmod(n, F.lit(2000)))).alias("n"))
+    sizes = log.select(F.explode(F.array(n, n * 1000, F.pmod(n, F.lit(2000)))).alias("n"))
     return sizes.groupBy("n").agg(F.count(F.lit(1)).alias("statements")).withColumn("size", nice_bytes("n"))
 
 
