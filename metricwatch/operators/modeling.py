@@ -36,6 +36,9 @@ from metricwatch.functions import hash_percent
 from metricwatch.operators.knn import knn_scores
 from metricwatch.sources.lineage import cut_lineage
 
+# Training rows in one partition.
+ROWS_PER_PARTITION = 50_000
+
 SCORE_SCHEMA = (
     "model string, fold int, fit_time double, score_time double, test_accuracy double, "
     "test_precision_weighted double, test_recall_weighted double, test_f1_weighted double, "
@@ -291,8 +294,9 @@ def compare_models(
     ``CrossValidator(parallelism=...)``.
     """
     spark: SparkSession = rows.sparkSession
-    # Even partitions, sized by AQE: iterative fits run one task per partition and round.
-    rows = rows.repartition("id").persist()
+    # Iterative fits run one task per partition and round: even partitions, no more than the
+    # rows deserve.
+    rows = rows.repartition(rows.count() // ROWS_PER_PARTITION + 1, "id").persist()
     train = rows.where(~F.col("is_test"))
     test = rows.where(F.col("is_test"))
     fits = {m: f for m, f in _classifiers(cfg).items() if models is None or m in models}

@@ -95,27 +95,34 @@ def dense_ranks(
     )
 
 
-def quantiles(
-    df: DataFrame, by: list[str], value: str, probabilities: dict[str, float], rows_per_task: int = ROWS_PER_TASK
+def value_counts(
+    df: DataFrame, by: list[str], value: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group: ``(by, stat, value)``."""
-    counted = running_totals(df.withColumn("_one", F.lit(1)), by, value, ["_one"], rows_per_task)
-    sizes = counted.groupBy(*[F.col(c).alias(f"_s_{c}") for c in by]).agg(F.sum("_one").alias("_n"))
+    """``(by, value, n, n_before)``: rows at and below each distinct non-NULL value."""
+    return running_totals(df.withColumn("n", F.lit(1)), by, value, ["n"], rows_per_task)
+
+
+def quantiles(counted: DataFrame, by: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles of :func:`value_counts` rows: ``(by, stat, value)``."""
+    sizes = counted.groupBy(*[F.col(c).alias(f"_s_{c}") for c in by]).agg(F.sum("n").alias("_n"))
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
     wanted = F.explode(
         F.array(*[F.struct(F.lit(s).alias("stat"), F.lit(p).alias("p")) for s, p in probabilities.items()])
     )
-    # One row per group and probability knows its position; its lower and upper order
-    # statistics are the levels that cover floor and ceiling of that position.
+    # A quantile's position lies on or between two order statistics; pick the values whose
+    # counted rows cover its floor and its ceiling.
     rows = (
         counted.join(sizes, same)
-        .select(*by, value, "_one", "_one_before", "_n", wanted.alias("_w"))
+        .select(*by, value, "n", "n_before", "_n", wanted.alias("_w"))
         .withColumn("_pos", (F.col("_n") - 1) * F.col("_w.p"))
         .withColumn("_stat", F.col("_w.stat"))
     )
-    covers = lambda k: (F.col("_one_before") <= k) & (k < F.col("_one_before") + F.col("_one"))
+
+    def covers(place):
+        return (F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n"))
+
     low, high = F.floor("_pos"), F.ceil("_pos")
     picked = rows.where(covers(low) | covers(high)).groupBy(*by, "_stat").agg(
         F.max("_pos").alias("_pos"),

@@ -3,13 +3,13 @@
 The report is written as aggregate-then-join: partial aggregation reduces the log to
 one row per (day, database, model) on the map side, so a statement-less NULL key or one
 hot model never gathers in a task.  All-time figures, ranks and totals are computed from
-that small table.  :func:`spend_windows` is the same result by window functions, kept to
-check the aggregate form.
+that small table.  Results equal those of window functions over the statements, which the
+SQL twins use.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricwatch.config import BUILD_SUFFIX, TABLE_BUILD_QUERY_TYPE, SpendConfig
@@ -112,24 +112,33 @@ def _same_model(a: str, b: str) -> Column:
     return cond
 
 
+def ranked_models(daily: DataFrame) -> DataFrame:
+    """Daily rows with their model's all-time figures beside them."""
+    return (
+        daily.alias("d")
+        .join(alltime_costs(daily).alias("a"), _same_model("d", "a"))
+        .select(
+            "d.*",
+            credits_of("d.rated_ms", "d.cloud_credits").alias("credits_day"),
+            "a.max_credits_alltime",
+            "a.credits_alltime",
+            "a.bytes_alltime",
+        )
+    )
+
+
 def spend_report(log: DataFrame, cfg: SpendConfig, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Dearest statement per model and day with daily, all-time and overall cost, ranked."""
     # The log is read once; everything below works on models x days.
     daily = cut_lineage(daily_costs(statements(log, cfg)))
-    alltime = alltime_costs(daily)
-    rows = (
-        daily.alias("d")
-        .join(alltime.alias("a"), _same_model("d", "a"))
-        .select("d.*", "a.max_credits_alltime", "a.credits_alltime", "a.bytes_alltime")
-        .withColumn("month", month_start("start_date"))
-    )
+    rows = ranked_models(daily).withColumn("month", month_start("start_date"))
     ranks = dense_ranks(rows, ["month"], "credits_alltime", "expensivest_ranking", rows_per_task)
     ranked = rows.alias("r").join(
         ranks.alias("k"),
         F.col("r.month").eqNullSafe(F.col("k.month"))
         & F.col("r.credits_alltime").eqNullSafe(F.col("k.credits_alltime")),
     )
-    day_credits = credits_of(F.col("r.rated_ms"), F.col("r.cloud_credits"))
+    day_credits = F.col("r.credits_day")
     money = F.lit(cfg.money_per_credit)
     return ranked.select(
         "r.start_date",
@@ -158,40 +167,3 @@ def spend_report(log: DataFrame, cfg: SpendConfig, rows_per_task: int = ROWS_PER
         total_cost(daily, cfg).scalar().alias("cost_all_jobs"),
         F.col("r.top.start_time").alias("start_time"),
     ).orderBy(F.desc_nulls_last("cash_money_alltime"), F.desc_nulls_last("start_time"))
-
-
-def spend_windows(log: DataFrame, cfg: SpendConfig) -> DataFrame:
-    """The dearest-statement rows by window functions over the statements themselves.
-
-    Every statement of a model meets in one task here, so this form suits logs whose
-    largest model fits a task; the report uses the aggregate form.
-    """
-    stmts = statements(log, cfg)
-    per_model = Window.partitionBy(*_MODEL)
-    per_day = Window.partitionBy(*_DAY)
-    dearest_first = per_day.orderBy(
-        F.desc_nulls_last("credits"), *[F.desc_nulls_last(c) for c in _TIE_BREAK]
-    )
-    builds = F.when(F.col("query_type") == TABLE_BUILD_QUERY_TYPE, F.col("credits"))
-    # The all-time windows come first: their exchange also serves the per-day windows.
-    return (
-        stmts.withColumn("max_credits_alltime", F.max("credits").over(per_model))
-        .withColumn(
-            "credits_alltime",
-            credits_of(F.sum("rated_ms").over(per_model), F.sum("cloud_credits").over(per_model)),
-        )
-        .withColumn("bytes_alltime", F.sum("bytes_scanned").over(per_model))
-        .select(
-            *_DAY, "credits", *_TIE_BREAK, "compute_credits",
-            "max_credits_alltime", "credits_alltime", "bytes_alltime",
-            F.min(builds).over(per_day).alias("min_build_credits"),
-            credits_of(
-                F.sum("rated_ms").over(per_day), F.sum("cloud_credits").over(per_day)
-            ).alias("credits_day"),
-            F.sum("total_elapsed_time").over(per_day).alias("elapsed_time"),
-            *[F.sum(c).over(per_day).alias(c) for c in _ROW_COUNTS],
-            F.max("bytes_scanned").over(per_day).alias("max_bytes"),
-            F.row_number().over(dearest_first).alias("day_rank"),
-        )
-        .where(F.col("day_rank") == 1)
-    )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricwatch.operators.ranking import ROWS_PER_TASK, quantiles
+from metricwatch.operators.ranking import ROWS_PER_TASK, quantiles, value_counts
 
 FORECAST_MEASURES = ("trend", "yhat", "yhat_lower", "yhat_upper", "fact")
 
@@ -51,15 +51,21 @@ def describe(df: DataFrame, columns: list[str] | None = None, rows_per_task: int
     they are found without gathering a column.
     """
     cells = unpivot(df, columns or numeric_columns(df))
-    moments = cells.groupBy("column").agg(
-        F.count("value").cast("double").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
+    # One pass over the rows; all statistics come from the distinct values and their counts.
+    counted = value_counts(cells, ["column"], "value", rows_per_task)
+    sums = counted.groupBy("column").agg(
+        F.sum("n").cast("double").alias("count"),
+        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
+    spread = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2))
+    variances = counted.join(sums.select("column", "mean", "count"), "column").groupBy("column").agg(
+        F.sqrt(spread / F.nullif(F.max("count") - 1, F.lit(0.0))).alias("std")
+    )
+    moments = sums.join(variances, "column")
     long = moments.unpivot("column", ["count", "mean", "std", "min", "max"], "stat", "value")
-    quartiles = quantiles(cells, ["column"], "value", {"25%": 0.25, "50%": 0.5, "75%": 0.75}, rows_per_task)
+    quartiles = quantiles(counted, ["column"], "value", {"25%": 0.25, "50%": 0.5, "75%": 0.75})
     return long.unionByName(quartiles)
 
 

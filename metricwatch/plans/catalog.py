@@ -297,8 +297,16 @@ def spend_total(spark, sf_dir):
 
 @query
 def spend_windows(spark, sf_dir):
-    log = StandInSources(spark, sf_dir).table("query_history")
-    return _credits_rounded(spend.spend_windows(log, STAND_IN_SPEND).drop("day_rank", "start_time", "end_time"))
+    daily = cut_lineage(spend.daily_costs(_statements(spark, sf_dir)))
+    top = [f"top.{c}" for c in ("credits", "query_label", "warehouse_name", "query_type", "compute_credits")]
+    return _credits_rounded(
+        spend.ranked_models(daily).select(
+            "start_date", "database_name", "model_key", *top,
+            "max_credits_alltime", "credits_alltime", "bytes_alltime", "min_build_credits", "credits_day",
+            "elapsed_time", "rows_produced", "rows_unloaded", "rows_inserted", "rows_updated", "rows_deleted",
+            "max_bytes",
+        )
+    )
 
 
 @query

@@ -4,6 +4,7 @@ import math
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metricwatch.config import SeriesSpec, SpendConfig
@@ -145,25 +146,40 @@ def test_spend_report_on_a_small_log(spark):
     assert out[0].start_date == date(2021, 1, 6)
 
 
-def test_spend_forms_agree(spark):
+def test_spend_report_equals_window_form(spark):
     from metricwatch.sources import StandInSources
     from metricwatch.sources.standins import STAND_IN_SPEND
 
     log = StandInSources(spark, "/root/testdata/sf0.001").table("query_history")
-    by_window = spend.spend_windows(log, STAND_IN_SPEND).select(
-        "start_date", "model_key", "credits", "credits_day", "credits_alltime", "elapsed_time"
+    day, model = Window.partitionBy("start_date", "model_key"), Window.partitionBy("model_key")
+    by_window = (
+        spend.statements(log, STAND_IN_SPEND)
+        .select(
+            "start_date", "model_key", "credits",
+            F.sum("credits").over(day).alias("credits_day"),
+            F.sum("credits").over(model).alias("credits_alltime"),
+            F.sum("total_elapsed_time").over(day).alias("elapsed_time"),
+            F.row_number().over(day.orderBy(F.desc("credits"))).alias("day_rank"),
+        )
+        .where("day_rank = 1")
+        .drop("day_rank")
     )
-    report = spend.spend_report(log, STAND_IN_SPEND, rows_per_task=50).select(
+    # Few rows per task: the ranks go through value buckets.
+    report = spend.spend_report(log, STAND_IN_SPEND, rows_per_task=50)
+    ours = report.select(
         "start_date", "model_key", F.col("max_credits_used_daily").alias("credits"),
         F.col("credits_used_daily").alias("credits_day"),
         (F.col("cash_money_alltime") / 2.58).alias("credits_alltime"),
         F.col("elapsed_time_daily").alias("elapsed_time"),
     )
     key = lambda r: tuple(str(v) for v in r[:2])
-    a, b = sorted(by_window.collect(), key=key), sorted(report.collect(), key=key)
+    a, b = sorted(by_window.collect(), key=key), sorted(ours.collect(), key=key)
     assert len(a) == len(b) > 0
     for x, y in zip(a, b):
         assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:])
+    plain = spend.spend_report(log, STAND_IN_SPEND)
+    ranks = lambda df: sorted((r.start_date, str(r.model_key), r.expensivest_ranking) for r in df.collect())
+    assert ranks(plain) == ranks(report)
 
 
 def _facts(spark, rows):

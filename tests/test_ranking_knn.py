@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricwatch.operators.knn import nearest_neighbours
-from metricwatch.operators.ranking import dense_ranks, quantiles, running_totals
+from metricwatch.operators.ranking import dense_ranks, quantiles, running_totals, value_counts
 from metricwatch.operators.stats import correlation, describe
 
 
@@ -50,7 +50,7 @@ def test_running_totals(spark, values, rows_per_task):
 def test_quantiles(spark, values, rows_per_task):
     df = spark.createDataFrame(values, "g string, v double")
     probabilities = {"q1": 0.25, "q2": 0.5, "q9": 0.9}
-    got = {(r.g, r.stat): r.value for r in quantiles(df, ["g"], "v", probabilities, rows_per_task).collect()}
+    got = {(r.g, r.stat): r.value for r in quantiles(value_counts(df, ["g"], "v", rows_per_task), ["g"], "v", probabilities).collect()}
     for g in ("a", "b"):
         column = [v for h, v in values if h == g and v is not None]
         for stat, p in probabilities.items():
