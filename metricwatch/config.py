@@ -77,10 +77,12 @@ FOLD_SEED = 90210
 TEST_PERCENT = 25
 FOLDS = 5
 
+# First day of the budget sums, and first predicted day shown by each forecast chart.
 SPEND_CUTOFF = date(2020, 12, 1)
-# Last day (exclusive) of the spend forecast.
-SPEND_UNTIL = date(2022, 1, 28)
 PREDICTION_CUTOFFS = {"year_ahead": date(2020, 11, 19), "fiscal_year": date(2020, 12, 14)}
+# Last day (exclusive) of the budget forecast, days of the year-ahead outlook.
+SPEND_UNTIL = date(2022, 1, 28)
+OUTLOOK_DAYS = 365
 
 
 # --------------------------------------------------------------------------
@@ -99,7 +101,7 @@ class SeriesSpec:
     name: str
     source: str
     ts: str
-    measure: str = "count"  # count | sum | avg | distinct
+    measure: str = "count"  # count | sum | avg | distinct | approx_distinct
     column: str | None = None
     lower: date | None = date(2018, 2, 1)
     inclusive: bool = False
@@ -209,7 +211,7 @@ class ModelSettings:
     tree_depth: int = 10
     neighbours: int = 5
     svm_c: float = 1.0
-    svm_features: int = 128
+    svm_features: int = 128  # 0 trains a linear classifier on the plain features
     svm_iterations: int = 100
     boosting_rounds: int = 100
     boosting_depth: int = 6

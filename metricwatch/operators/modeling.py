@@ -166,6 +166,8 @@ def _kernel_svm(cfg: ModelSettings):
         gamma = 1.0 / (width * stats["var"]) if stats["var"] else 1.0
 
         def lift(df: DataFrame) -> DataFrame:
+            if cfg.svm_features == 0:
+                return df.withColumn("lifted", F.col("features"))
             x = vector_to_array("features")
             return df.withColumn("lifted", fourier_features(x, width, cfg.svm_features, gamma, cfg.seed))
 

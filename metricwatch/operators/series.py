@@ -74,6 +74,9 @@ def _measure(spec: SeriesSpec, cond: Column) -> Column:
         return F.avg(value).cast("double")
     if spec.measure == "distinct":
         return F.count_distinct(value).cast("double")
+    if spec.measure == "approx_distinct":
+        # A sketch per day: one shuffle, and it may share its source's scan.
+        return F.approx_count_distinct(value).cast("double")
     raise ValueError(f"unknown measure {spec.measure!r}")
 
 

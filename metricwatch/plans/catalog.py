@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.ml.functions import vector_to_array
@@ -107,6 +108,12 @@ def series_distinct_visitors(spark, sf_dir):
     return _series(spark, sf_dir, "unique_visitors")
 
 
+@query
+def series_approx_visitors(spark, sf_dir):
+    spec = replace(SPECS["unique_visitors"], measure="approx_distinct")
+    return all_series(StandInSources(spark, sf_dir).table, [spec], as_of_for)
+
+
 @query
 def series_pageviews(spark, sf_dir):
     return _series(spark, sf_dir, "pageviews")
@@ -537,18 +544,12 @@ def anomaly_report(spark, sf_dir):
 
 @query
 def forecast_365(spark, sf_dir):
-    series = _spend_series(spark, sf_dir)
-    models = cut_lineage(trend.fit_trend(series, YEAR_AHEAD_TREND))
-    return trend.forecast(series, YEAR_AHEAD_TREND, 365, models)
+    return reports.spend_outlook(StandInSources(spark, sf_dir), SPECS["warehouse_spend"], ORDERS_AS_OF)
 
 
 def _budget(spark, sf_dir) -> reports.SpendForecast:
     return reports.spend_forecast(
-        StandInSources(spark, sf_dir),
-        SPECS["warehouse_spend"],
-        ORDERS_AS_OF,
-        trend.horizon_until(FORECAST_UNTIL, ORDERS_AS_OF),
-        FORECAST_CUTOFF,
+        StandInSources(spark, sf_dir), SPECS["warehouse_spend"], ORDERS_AS_OF, FORECAST_UNTIL, FORECAST_CUTOFF
     )
 
 

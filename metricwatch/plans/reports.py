@@ -12,8 +12,11 @@ from metricwatch.config import (
     ACTIVE_SHARE,
     ANOMALY_TREND,
     BUDGET_TREND,
+    OUTLOOK_DAYS,
     POSTS_TARGET,
     SPEND_CUTOFF,
+    SPEND_UNTIL,
+    YEAR_AHEAD_TREND,
     ModelSettings,
     SeriesSpec,
     SpendConfig,
@@ -53,19 +56,30 @@ class SpendForecast:
     total: DataFrame
 
 
+def spend_outlook(
+    sources: Sources,
+    spec: SeriesSpec,
+    as_of: date,
+    horizon_days: int = OUTLOOK_DAYS,
+    cfg: TrendConfig = YEAR_AHEAD_TREND,
+) -> DataFrame:
+    """Spend history with its band and the coming days."""
+    series = daily_metrics(sources, (spec,), as_of)
+    models = cut_lineage(trend.fit_trend(series, cfg))
+    return trend.forecast(series, cfg, horizon_days, models)
+
+
 def spend_forecast(
     sources: Sources,
     spec: SeriesSpec,
     as_of: date,
-    horizon_days: int,
+    until: date = SPEND_UNTIL,
     cutoff: date = SPEND_CUTOFF,
     cfg: TrendConfig = BUDGET_TREND,
 ) -> SpendForecast:
-    """Spend with bounds, its monthly sums and its total from a cutoff day on."""
-    series = daily_metrics(sources, (spec,), as_of)
-    models = cut_lineage(trend.fit_trend(series, cfg))
+    """Spend with bounds up to ``until``, its monthly sums and its total from a cutoff day on."""
     # Simulated once; the sums read the written rows.
-    days = cut_lineage(trend.forecast(series, cfg, horizon_days, models))
+    days = cut_lineage(spend_outlook(sources, spec, as_of, trend.horizon_until(until, as_of), cfg))
     return SpendForecast(
         days, stats.monthly_resample(days, cutoff), stats.fiscal_total(days, cutoff)
     )

@@ -65,3 +65,10 @@ def test_compare_models(spark, rows):
 def test_one_class_has_no_roc(spark):
     df = spark.createDataFrame([(1.0, 0.4), (1.0, 0.6)], "label double, score double")
     assert modeling.area_under_roc(df) is None
+
+
+def test_linear_support_vectors(rows):
+    from dataclasses import replace
+
+    scores, _, _ = modeling.compare_models(rows, replace(QUICK, svm_features=0), ("SVM",), folds=2)
+    assert all(r.test_roc_auc > 0.9 for r in scores.collect())
