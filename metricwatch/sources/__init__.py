@@ -1,2 +1,2 @@
 from metricwatch.sources.catalog import Sources, StandInSources  # noqa: F401
-from metricwatch.sources.lineage import cut_lineage  # noqa: F401
+from metricwatch.sources.lineage import cut_lineage, written  # noqa: F401

@@ -1,21 +1,50 @@
-"""Reliable checkpoints for small intermediate results that several branches read."""
+"""Intermediate results that several branches read, kept in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    A local session without that setting, as in tests, gets a temporary folder once.  A
+    cluster without it is an error: a machine's own folder is not visible to the others.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        master = sc.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="metricwatch-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and return the written rows.
+    """Checkpoint ``df`` in the shared folder and return the written rows.
 
-    The folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster), so the
-    rows outlive lost executors and every branch reads the same values.  Only a session
-    without that setting gets a temporary folder, as in tests.
+    The rows outlive lost executors and every branch reads the same values.  Set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have the files removed with
+    the frame; ``bench.py`` and the tests do.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="metricwatch-checkpoint-"))
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    For large intermediates: compressed, and later branches read only the columns they use.
+    The folder name starts with ``label``, so a finished run's tables are easy to find and drop.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
