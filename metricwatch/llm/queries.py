@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import simhash
+from metricwatch.llm import chat, line_quality, mixing, simhash, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -32,5 +32,25 @@ def op9_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op3_poisson_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_chat_windows(spark, sf_dir):
+    # Conversation -7 quotes control strings.
+    quoted = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string"
+    )
+    return chat.digests(table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra))
+
+
+@query
+def op6_line_frequency_quality(spark, sf_dir):
+    return line_quality.assess(table(spark, sf_dir, "documents"))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.TWINS)
