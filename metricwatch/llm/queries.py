@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import chat, line_quality, mixing, simhash, sql
+from metricwatch.llm import chat, line_quality, mixing, simhash, sql, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -52,5 +52,15 @@ def op6_line_frequency_quality(spark, sf_dir):
     return line_quality.assess(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_suffix_radix_dedup(spark, sf_dir):
+    return suffixes.cut(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes",
+        F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(sql.TWINS)

@@ -109,7 +109,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counts
 """.replace("{words}", _WORDS)
 
+_REPEATS = """
+WITH given AS (
+    -- Two hex digits a byte, so byte positions are exact.
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), windows AS (
+    SELECT doc_id, unnest(range(0, n - 99)) AS start, bytes FROM given WHERE n >= 100
+), named AS (
+    SELECT doc_id, start, md5_number(substr(bytes, 2 * start + 1, 200)) AS name FROM windows
+), later AS (
+    SELECT doc_id, start FROM (
+        SELECT doc_id, start, row_number() OVER (PARTITION BY name ORDER BY doc_id, start) AS k FROM named
+    ) WHERE k > 1
+), opened AS (
+    SELECT doc_id, start, coalesce(start > lag(start) OVER w + 100, TRUE) AS opens FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY start)
+), numbered AS (
+    SELECT doc_id, start, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM opened
+), spans AS (
+    SELECT doc_id, run, min(start) AS lo, max(start) + 100 AS hi FROM numbered GROUP BY ALL
+), gaps AS (
+    SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS past FROM spans
+), pieces AS (
+    SELECT doc_id, sum(hi - lo) AS removed, count(*) AS n_spans, max(hi) AS past,
+        string_agg(substr(bytes, 2 * past + 1, 2 * (lo - past)), '' ORDER BY lo) AS head
+    FROM gaps JOIN given USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(head, '') || substr(bytes, 2 * coalesce(past, 0) + 1))) AS kept_sha256
+FROM given LEFT JOIN pieces USING (doc_id)
+"""
+
 TWINS = {
+    "op10_suffix_radix_dedup": _REPEATS,
     "op3_poisson_mix": _MIX,
     "op4_chat_windows": _CHAT,
     "op6_line_frequency_quality": _QUALITY,
