@@ -11,6 +11,7 @@ from metricwatch.llm.common import identified, map_batches, utf8
 from metricwatch.sources import written
 
 DIGIT = 32  # bytes of the first digit
+FLANK = 7  # windows are told apart eight at a time
 POSITION_BITS = 24
 PIECE = 1 << 20  # bytes hashed at a time; longer texts go in overlapping pieces
 _TABLES = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
@@ -120,14 +121,86 @@ def first_digits(docs: DataFrame, length: int, full: bool) -> DataFrame:
     return map_batches(docs, run, "h long, c long, doc_id long, text_key long, place long" if full else "h long")
 
 
-def _later(column: str) -> str:
+def _later(order: str = "start") -> str:
     """Whether a row comes after the first one of its group; a null doc_id comes before all others."""
     return (
-        f"NOT (doc_id <=> first.doc_id) AND first.doc_id IS NULL OR doc_id > first.doc_id"
-        f" OR doc_id <=> first.doc_id AND {column} > first.{column}"
+        "NOT (doc_id <=> first.doc_id) AND first.doc_id IS NULL OR doc_id > first.doc_id"
+        f" OR doc_id <=> first.doc_id AND {order} > first.{order}"
     )
 
 
+def settle(rows: DataFrame, key: list[str], same: list[str], label: str, *also: str) -> tuple[DataFrame, DataFrame]:
+    """One pass of the sort.  ``rows`` have ``doc_id, text_key, start, stop``.
+
+    Returns the ranges of rows that are equal in ``key`` and ``same`` to an earlier row, and the
+    earliest row of each ``same`` where a ``key`` has several: the ones that further digits have
+    to tell apart.  A key of one row is in neither.
+    """
+    first = F.min(F.struct("doc_id", "start", "stop", "text_key", *also)).alias("first")
+    classes = written(rows.groupBy(*key, *same).agg(first, F.count(F.lit(1)).alias("n")), label)
+    repeated = classes.where("n > 1").select(*key, *same, "first")
+    whole = rows.join(repeated, [*key, *same]).where(_later()).select("doc_id", "text_key", F.col("start").alias("lo"), F.col("stop").alias("hi"))
+    several = classes.groupBy(*key).count().where("count > 1").drop("count")
+    return whole, classes.join(several, key).select(*key, *same, "first.*")
+
+
+def _segments(texts: list[bytes], columns: list[list]):
+    """Buffers of the texts' parts that lie in ranges: ``(data, rows, shift, start, stop, anchor)``.
+
+    Adding ``shift`` to a text position gives the place in ``data``.
+    """
+    data, parts, size = [], [], 0
+    for row, (text, *own) in enumerate(zip(texts, *columns)):
+        start, stop, anchor = (np.array(c, dtype=np.int64) for c in own)
+        order = np.argsort(start, kind="stable")
+        start, stop, anchor = start[order], stop[order], anchor[order]
+        far = start[1:] > np.maximum.accumulate(stop)[:-1]
+        cuts = np.flatnonzero(far | (start[1:] // PIECE != start[:-1] // PIECE)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(start)]):
+            piece = text[start[a] : stop[a:b].max()]
+            data.append(piece)
+            parts.append((np.full(b - a, row), np.full(b - a, size - start[a]), start[a:b], stop[a:b], anchor[a:b]))
+            size += len(piece)
+            if size >= PIECE // 8:
+                yield (np.frombuffer(b"".join(data), np.uint8), *(np.concatenate(p) for p in zip(*parts)))
+                data, parts, size = [], [], 0
+    if parts:
+        yield (np.frombuffer(b"".join(data), np.uint8), *(np.concatenate(p) for p in zip(*parts)))
+
+
+def _bytes_as_long(data: np.ndarray, at: np.ndarray, step: int, count: np.ndarray) -> np.ndarray:
+    """Up to 7 bytes from ``at`` in direction ``step`` as a number, the nearest byte lowest; beyond ``count`` zero."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for k in range(FLANK):
+        there = count > k
+        out[there] |= data[at[there] + step * k].astype(np.int64) << (8 * k)
+    return out
+
+
+def _cores(data, rows, shift, start, stop, anchor, length):
+    """Second-level rows of a buffer: ``(rows, core hashes, left, right, low, high, start)``.
+
+    Windows are taken by lead (anchor minus start) in groups of 8.  All windows of a group hold
+    its core of ``length`` - 7 bytes; a window of rank t in the group adds the t bytes before
+    the core and the 7 - t bytes behind it.  ``low`` and ``high`` are the ranks that occur.
+    """
+    lead_high, lead_low = anchor - start, anchor - (stop - length)
+    groups = lead_high // 8 - lead_low // 8 + 1
+    own = np.repeat(np.arange(len(start)), groups)
+    group = lead_low[own] // 8 + np.arange(len(own)) - np.repeat(np.cumsum(groups) - groups, groups)
+    low = np.maximum(lead_low[own] - 8 * group, 0)
+    high = np.minimum(lead_high[own] - 8 * group, FLANK)
+    core = anchor[own] - 8 * group
+    at = core + shift[own]
+    keys = []
+    for family in (0, 1):
+        hashed = window_hashes(run_hashes(data, 64, family), at, length - FLANK, family)
+        keys.append(_stir((hashed + group.astype(np.uint64)) * _ODD[family][10]))
+    left = _bytes_as_long(data, at - 1, -1, high)
+    right = _bytes_as_long(data, at + length - FLANK, 1, FLANK - low)
+    return rows[own], *keys, left, right, low, high, core - high
+
+
 def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     """``(doc_id, text_key, lo, hi)``: byte ranges that cover exactly the windows of ``length`` bytes that start earlier too.
 
@@ -136,57 +209,71 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
 
     1. The first digit of a window is not its prefix but the 32-byte run in it with the
        smallest hash, which equal windows share at the same place.  About 35 neighbouring
-       windows have the same one and go as one row, so the first pass moves a fraction of the suffixes.
-    2. The second digit is all the bytes of those neighbouring windows.  Rows equal in both
-       digits repeat each other whole: all but the earliest are repeated ranges.
-    3. Where rows agree in the first digit only, the earliest row of each second digit gives
-       its windows one by one, and the last digit is the window itself (128 bits of hash).
-
-    Groups are counted and joined, never gathered; all steps are linear in the rows, however
-    many of them are equal.
+       windows have the same one and go as one row, so the first pass moves a fraction of the
+       suffixes.  Rows that agree in all bytes of their windows repeat each other whole.
+    2. Where rows agree in the first digit only, the earliest of each kind goes on, eight
+       neighbouring windows at a time: the second digit is the bytes that these share.
+    3. The last digit is the up to 7 bytes before and behind, window by window.
+
+    Every pass is grouped counts and minima and a join, never a gathered group, and linear in
+    its rows, however many of them are equal.
     """
     texts = identified(docs)
     shared = first_digits(texts, length, False).groupBy("h").count().where("count > 1").select("h")
     rows = written(first_digits(texts, length, True).join(shared, "h"), "suffix-digits")
     place = F.shiftright("place", 16)
-    rows = rows.withColumn("start", place - F.expr("shiftright(place, 8) & 255")).withColumn("stop", place - F.expr("place & 255") + length)
-    classes = written(
-        rows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "start", "stop", "text_key")).alias("first"), F.count(F.lit(1)).alias("n")),
-        "suffix-classes",
-    )
-    whole = rows.join(classes.where("n > 1").select("h", "c", "first"), ["h", "c"]).where(_later("start"))
-    split = classes.groupBy("h").count().where("count > 1").select("h")
-    ranges = classes.join(split, "h").groupBy("first.doc_id", "first.text_key").agg(
-        F.collect_list("first.start").alias("starts"), F.collect_list("first.stop").alias("stops")
+    rows = rows.select(
+        "h", "c", "doc_id", "text_key", place.alias("anchor"),
+        (place - F.expr("shiftright(place, 8) & 255")).alias("start"), (place - F.expr("place & 255") + length).alias("stop"),
     )
+    whole, first = settle(rows, ["h"], ["c"], "suffix-first", "anchor")
+    ranges = first.groupBy("doc_id", "text_key").agg(*(F.collect_list(c).alias(f"{c}s") for c in ("start", "stop", "anchor")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows, places, hashes = [], [], ([], [])
-        for row, (text, starts, stops) in enumerate(zip(utf8(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-            data = np.frombuffer(text, np.uint8)
-            for lo, hi in zip(starts, stops):
-                at = np.arange(hi - lo - length + 1)
-                for family in (0, 1):
-                    hashes[family].append(window_hashes(run_hashes(data[lo:hi], 64, family), at, length, family))
-                rows.append(np.full(len(at), row))
-                places.append(at + lo)
-        if not rows:
+        columns = [batch.column(f"{c}s").to_pylist() for c in ("start", "stop", "anchor")]
+        found = [_cores(*b, length) for b in _segments(unpacked(batch.column("packed")), columns)]
+        if not found:
             return None
-        rows = pa.array(np.concatenate(rows))
+        rows, k, v, left, right, low, high, start = (np.concatenate(x) for x in zip(*found))
+        rows = pa.array(rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(h).view(np.int64)) for h in hashes]
-            + [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(places))],
-            ["w", "v", "doc_id", "text_key", "start"],
+            [pa.array(k.view(np.int64)), pa.array(v.view(np.int64)), pa.array(left), pa.array(right), pa.array((low << 8 | high).astype(np.int32))]
+            + [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(start)],
+            ["k", "v", "before", "behind", "ranks", "doc_id", "text_key", "start"],
         )
 
-    single = written(
-        map_batches(_with(texts, ranges, "inner"), run, "w long, v long, doc_id long, text_key long, start long"), "suffix-windows"
+    cores = map_batches(
+        _with(packed(texts), ranges, "inner"), run,
+        "k long, v long, before long, behind long, ranks int, doc_id long, text_key long, start long",
     )
-    firsts = single.groupBy("w", "v").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    windows = single.join(firsts, ["w", "v"]).where(_later("start"))
-    return whole.select("doc_id", "text_key", F.col("start").alias("lo"), F.col("stop").alias("hi")).unionByName(
-        windows.select("doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
+    cores = written(cores, "suffix-cores").withColumn("stop", F.expr(f"start + (ranks & 255) - shiftright(ranks, 8) + {length}"))
+    alike, second = settle(cores, ["k", "v"], ["before", "behind", "ranks"], "suffix-second")
+    # A window of rank t starts t bytes before the core; ``start`` is that of the highest rank.
+    single = second.withColumn("t", F.explode(F.expr("sequence(shiftright(ranks, 8), ranks & 255)"))).select(
+        "k", "v", "t", "doc_id", "text_key",
+        F.expr("before & (shiftleft(1L, 8 * t) - 1)").alias("before"),
+        F.expr(f"behind & (shiftleft(1L, 8 * ({FLANK} - t)) - 1)").alias("behind"),
+        F.expr("start + (ranks & 255) - t").alias("start"),
+        F.expr(f"start + (ranks & 255) - t + {length}").alias("stop"),
     )
+    last, _ = settle(written(single, "suffix-windows"), ["k", "v", "t", "before", "behind"], [], "suffix-last")
+    return whole.unionByName(alike).unionByName(last)
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """``identified`` texts compressed, for shuffles that carry whole texts: ``doc_id, text_key, packed``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = pa.array([len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in utf8(batch.column(2))], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["doc_id", "text_key", "packed"])
+
+    return map_batches(texts, run, "doc_id long, text_key long, packed binary")
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    return [
+        pa.decompress(v[8:], decompressed_size=int.from_bytes(v[:8], "little"), codec="zstd", asbytes=True) for v in column.to_pylist()
+    ]
 
 
 def _with(texts: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
@@ -214,7 +301,7 @@ def cut(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, spans, kept = [], [], []
-        for text, lo, hi in zip(utf8(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+        for text, lo, hi in zip(unpacked(batch.column("packed")), batch.column("lo").to_pylist(), batch.column("hi").to_pylist()):
             merged = merge(lo, hi) if lo else []
             ends = [0] + [e for _, e in merged]
             kept.append(b"".join(text[a:b] for a, b in zip(ends, [s for s, _ in merged] + [len(text)])))
@@ -222,12 +309,12 @@ def cut(docs: DataFrame, length: int = 100) -> DataFrame:
             spans.append([{"start": s, "stop": e} for s, e in merged])
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())],
             ["doc_id", "text_key", "n_bytes", "spans", "kept"],
         )
 
     return map_batches(
-        _with(texts, ranges, "left"), run,
+        _with(packed(texts), ranges, "left"), run,
         "doc_id long, text_key long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary",
     )
 
