@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import chat, line_quality, mixing, simhash, sql, suffixes
+import public_tokenizers
+from metricwatch.llm import chat, line_quality, mixing, packing, simhash, sql, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -47,6 +48,14 @@ def op4_chat_windows(spark, sf_dir):
     return chat.digests(table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra))
 
 
+@query
+def op5_curve_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query
 def op6_line_frequency_quality(spark, sf_dir):
     return line_quality.assess(table(spark, sf_dir, "documents"))
