@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -18,40 +19,104 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _AXES = np.random.default_rng(11).standard_normal((BUCKETS, DIMENSIONS))
 
 
+# Fixed value: letters up to here are single letters in composed lower case.
+LAST_LETTER = "\u00ff"
+WORD_END = "\n"
+
+
+def byte_symbols() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary, and its byte."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """A word-end byte-pair vocabulary as ranks, if ranks give the same ids as its list of merges.
+
+    A rank table joins any two neighbours whose bytes are in the vocabulary, a list of merges
+    only the listed pair.  They agree on all words if they do on every token's own bytes: whenever
+    two symbols cover exactly a token's bytes, what happened inside them is what happens to
+    these bytes alone.  ``None`` if that does not hold, or ids do not follow the merges.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    if model.get("end_of_word_suffix") != "</w>" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    symbols, end = byte_symbols(), WORD_END.encode()
+
+    def raw(token: str) -> bytes:
+        body = token.removesuffix("</w>")
+        return bytes(symbols[c] for c in body) + end * (len(body) < len(token))
+
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    order = {m: i for i, m in enumerate(merges)}
+    ids = [model["vocab"][a + b] for a, b in merges]
+    base = [t for t in model["vocab"] if t.removesuffix("</w>") in symbols]
+    if ids != sorted(set(ids)) or len(base) != 512 or max(model["vocab"][t] for t in base) > ids[0]:
+        return None
+    for a, b in merges:
+        parts = list((a + b).removesuffix("</w>"))
+        if (a + b).endswith("</w>"):
+            parts[-1] += "</w>"
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: order.get((parts[i], parts[i + 1]), len(order)))
+            if (parts[best], parts[best + 1]) not in order:
+                return None
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        if parts != [a, b]:
+            return None
+    ranks = {raw(t): model["vocab"][t] for t in base if len(raw(t)) == 2 or raw(t) != end}
+    ranks |= {raw(a + b): i for (a, b), i in zip(merges, ids)}
+    ranks[end] = max(ranks.values()) + 1  # always joined to the byte before it
+    return ranks
+
+
 class WordTokens:
     """Token ids (little-endian 32-bit bytes) of texts, looked up word by word.
 
     The tokenizer lower-cases, drops white space and never merges across it, so a text's ids are
-    the ids of its words, which repeat.  At most ``limit`` words are remembered.
+    the ids of its words, which repeat.  At most ``limit`` words are remembered.  With ``ranks``
+    words of plain letters are encoded from the rank table, many at once.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None, limit: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.stems = Tokenizer.from_file(path), limit, {}, {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > self.limit:
-            self.known, self.stems = {}, {}
-        known = self.known
-        new = {w for words in texts for w in words if w not in known}
-        # Case and a closing mark do not change the ids of a word of ASCII letters.
-        split, plain = {}, []
-        for w in new:
-            stem = w[:-1] if w[-1:] in (b".", b",") else w
-            if stem.isalpha():
-                split[w] = (stem.lower(), w[len(stem) :])
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.marks = dict(zip(("", ".", ","), (b"", *self._encode([".", ","]))))
+        self.plain = None
+        if ranks:
+            import tiktoken
+
+            self.plain = tiktoken.Encoding("words", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens={})
+            self.ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+            self.ends[[i for b, i in ranks.items() if b.endswith(WORD_END.encode())]] = True
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _encode_plain(self, stems: list[str]) -> list[bytes]:
+        ids = np.array(self.plain.encode_ordinary(WORD_END.join(stems) + WORD_END), dtype="<u4")
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def learn(self, words: set[bytes]) -> None:
+        whole, parts = [], []
+        given = list(words)
+        for w, text in zip(given, b"\n".join(given).decode().lower().split("\n")):
+            stem = text[:-1] if text[-1] in ".," else text
+            if self.plain and stem.isalpha() and (stem.isascii() or max(stem) <= LAST_LETTER):
+                parts.append((w, stem, text[len(stem) :]))
             else:
-                plain.append(w)
-        stems = list({s for pair in split.values() for s in pair if s and s not in self.stems})
-        self.stems.update(zip(stems, self._encode(stems)))
-        known.update((w, self.stems[s] + self.stems.get(mark, b"")) for w, (s, mark) in split.items())
-        known.update(zip(plain, self._encode(plain)))
+                whole.append((w, w.decode()))
+        if whole:
+            self.known.update(zip((w for w, _ in whole), self._encode([t for _, t in whole])))
+        if parts:
+            found = self._encode_plain([stem for _, stem, _ in parts])
+            self.known.update((w, ids + self.marks[mark]) for (w, _, mark), ids in zip(parts, found))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         out, at = [], 0
@@ -60,7 +125,12 @@ class WordTokens:
             while end < len(texts) and (end == at or size < 1 << 20):
                 size, end = size + len(texts[end]), end + 1
             words = [t.split() for t in texts[at:end]]
-            self.learn(words)
+            distinct = set().union(*words)
+            new = distinct.difference(self.known)
+            if new:
+                if len(self.known) + len(new) > self.limit:
+                    self.known, new = {}, distinct
+                self.learn(new)
             known = self.known
             out += [b"".join([known[w] for w in ws]) for ws in words]
             at = end
@@ -70,10 +140,10 @@ class WordTokens:
 _LOADED: dict[str, WordTokens] = {}
 
 
-def tokens_of(path: str) -> WordTokens:
+def tokens_of(path: str, ranks: dict[bytes, int] | None) -> WordTokens:
     """One instance per worker process."""
     if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
+        _LOADED[path] = WordTokens(path, ranks)
     return _LOADED[path]
 
 
@@ -116,9 +186,10 @@ def document_vectors(ids: list[np.ndarray]) -> np.ndarray:
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, text_key, doc_tokens, curve, ids)``: each text's ids with ``end_id`` behind, and its place on the curve."""
     end = np.array([end_id], dtype="<u4").tobytes()
+    ranks = docs.sparkSession.sparkContext.broadcast(merge_ranks(tokenizer))  # of the vocabulary's size
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = tokens_of(tokenizer).ids(utf8(batch.column(2)))
+        ids = tokens_of(tokenizer, ranks.value).ids(utf8(batch.column(2)))
         keys = curve_keys(document_vectors([np.frombuffer(i, "<u4") for i in ids]))
         return pa.RecordBatch.from_arrays(
             [

@@ -1,9 +1,11 @@
 """Packing: tokens against the tokenizer itself, and an exact round trip."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -27,9 +29,11 @@ def texts_of():
 
 
 def test_word_lookup_is_the_tokenizer(tokenizer):
-    texts = [t or "" for t in texts_of()]
-    ours = packing.WordTokens(PATH, limit=50)
-    for _ in range(2):
+    table = Path("/root/testdata/sf0.001/documents.parquet")
+    texts = [t or "" for t in texts_of()] + pq.read_table(table, columns=["text"])["text"].to_pylist()
+    ranks = packing.merge_ranks(PATH)
+    assert ranks
+    for ours in [packing.WordTokens(PATH, r, limit) for r in (None, ranks) for limit in (50, 10**6)] * 2:
         found = ours.ids([t.encode() for t in texts])
         assert [np.frombuffer(f, "<u4").tolist() for f in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
