@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from metricwatch.llm import chat, line_dedup, line_quality, mixing, packing, simhash, sql, suffixes, toxicity
+from metricwatch.llm import chat, line_dedup, line_quality, mixing, neighbours, packing, simhash, sql, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -44,6 +44,11 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_posting_list_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op3_poisson_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
