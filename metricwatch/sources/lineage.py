@@ -48,3 +48,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that no later step reads, and let Spark drop finished plans' shuffle files.
+
+    Shuffle files go when the driver's collector finds their plans unused, which a busy driver
+    may put off until the disks are full; so it is asked here.
+    """
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        root = f"{shared_folder(df.sparkSession)}/tables/".split(":", 1)[-1].lstrip("/")
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if root in folder:
+                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        sc._jvm.System.gc()
