@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricwatch.llm.common import identified, map_batches, utf8
-from metricwatch.sources import written
+from metricwatch.sources import discard, written
 
 DIGIT = 32  # bytes of the first digit
 FLANK = 7  # windows are told apart eight at a time
@@ -130,18 +130,22 @@ def _later(order: str = "start") -> str:
 
 
 def settle(rows: DataFrame, key: list[str], same: list[str], label: str, *also: str) -> tuple[DataFrame, DataFrame]:
-    """One pass of the sort.  ``rows`` have ``doc_id, text_key, start, stop``.
+    """One pass of the sort.  ``rows``, a written table, have ``doc_id, text_key, start, stop`` and are deleted.
 
     Returns the ranges of rows that are equal in ``key`` and ``same`` to an earlier row, and the
     earliest row of each ``same`` where a ``key`` has several: the ones that further digits have
     to tell apart.  A key of one row is in neither.
     """
     first = F.min(F.struct("doc_id", "start", "stop", "text_key", *also)).alias("first")
-    classes = written(rows.groupBy(*key, *same).agg(first, F.count(F.lit(1)).alias("n")), label)
+    classes = written(rows.groupBy(*key, *same).agg(first, F.count(F.lit(1)).alias("n")), f"{label}-classes")
     repeated = classes.where("n > 1").select(*key, *same, "first")
     whole = rows.join(repeated, [*key, *same]).where(_later()).select("doc_id", "text_key", F.col("start").alias("lo"), F.col("stop").alias("hi"))
+    whole = written(whole, f"{label}-whole")
+    discard(rows)
     several = classes.groupBy(*key).count().where("count > 1").drop("count")
-    return whole, classes.join(several, key).select(*key, *same, "first.*")
+    split = written(classes.join(several, key).select(*key, *same, "first.*"), f"{label}-split")
+    discard(classes)
+    return whole, split
 
 
 def _segments(texts: list[bytes], columns: list[list]):
@@ -246,7 +250,9 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
         _with(packed(texts), ranges, "inner"), run,
         "k long, v long, before long, behind long, ranks int, doc_id long, text_key long, start long",
     )
-    cores = written(cores, "suffix-cores").withColumn("stop", F.expr(f"start + (ranks & 255) - shiftright(ranks, 8) + {length}"))
+    cores = written(cores, "suffix-cores")
+    discard(first)
+    cores = cores.withColumn("stop", F.expr(f"start + (ranks & 255) - shiftright(ranks, 8) + {length}"))
     alike, second = settle(cores, ["k", "v"], ["before", "behind", "ranks"], "suffix-second")
     # A window of rank t starts t bytes before the core; ``start`` is that of the highest rank.
     single = second.withColumn("t", F.explode(F.expr("sequence(shiftright(ranks, 8), ranks & 255)"))).select(
@@ -256,7 +262,9 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
         F.expr("start + (ranks & 255) - t").alias("start"),
         F.expr(f"start + (ranks & 255) - t + {length}").alias("stop"),
     )
-    last, _ = settle(written(single, "suffix-windows"), ["k", "v", "t", "before", "behind"], [], "suffix-last")
+    single = written(single, "suffix-windows")
+    discard(second)
+    last, _ = settle(single, ["k", "v", "t", "before", "behind"], [], "suffix-last")
     return whole.unionByName(alike).unionByName(last)
 
 
