@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricwatch.sources import written
+
 # A mean above this is drawn as a sum of independent draws, so a distribution table stays short.
 MEAN_PER_DRAW = 16.0
+BROADCAST_SOURCES, SALTS = 5000, 64
 DIGITS = 13  # hex digits of a draw: 52 bits
 
 
@@ -33,12 +36,10 @@ def repetition_rates(docs: DataFrame, source: str = "source", weights: DataFrame
     else:
         named = weights.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("source")).agg(F.sum("weight").cast("double").alias("weight"))
         weighed = sizes.join(named, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    totals = weighed.where("chars > 0").agg(F.sum("weight").alias("weights"), F.sum("chars").alias("all_chars"))
-    rate = F.when(
-        F.col("chars") > 0,
-        F.when(F.col("weights") > 0, F.col("weight") / F.col("weights") * F.col("all_chars") * F.lit(epochs) / F.col("chars")).otherwise(0.0),
-    ).otherwise(1.0)
-    return weighed.join(totals.withColumn("one", F.lit(1)), F.lit(1) == F.col("one"), "left").select("source", "chars", rate.alias("rate"))
+    totals = weighed.where("chars > 0").agg(F.sum("weight").alias("weights"), F.sum("chars").alias("chars")).first()
+    weight_sum, char_sum = totals["weights"] or 0.0, totals["chars"] or 0
+    rate = F.col("weight") / F.lit(weight_sum) * F.lit(char_sum) * F.lit(epochs) / F.col("chars") if weight_sum > 0 else F.lit(0.0)
+    return weighed.select("source", "chars", F.when(F.col("chars") > 0, rate).otherwise(1.0).alias("rate"))
 
 
 def _distributions(rates: DataFrame) -> DataFrame:
@@ -57,6 +58,20 @@ def _distributions(rates: DataFrame) -> DataFrame:
     )
 
 
+def _beside(docs: DataFrame, source: str, rates: DataFrame) -> DataFrame:
+    """Joins every row with its source's distribution without gathering a source's rows.
+
+    Up to ``BROADCAST_SOURCES`` distributions (about a kilobyte each) are broadcast; of more,
+    each is copied to ``SALTS`` keys and a source's rows are dealt out over them.
+    """
+    name = F.coalesce(F.col(source), F.lit(""))
+    if rates.count() <= BROADCAST_SOURCES:
+        return docs.join(F.broadcast(rates), name == F.col("__source"))
+    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = docs.withColumn("__deal", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    return dealt.join(salted, (name == F.col("__source")) & (F.col("__deal") == F.col("__salt"))).drop("__deal", "__salt")
+
+
 def repetitions(docs: DataFrame, source: str, weights: DataFrame | None, temperature: float, epochs: float, seed: int) -> DataFrame:
     """``docs`` with ``__copies``: the Poisson count of each row, inverted from a number hashed from its doc_id."""
     rates = _distributions(repetition_rates(docs, source, weights, temperature, epochs)).select(
@@ -64,7 +79,7 @@ def repetitions(docs: DataFrame, source: str, weights: DataFrame | None, tempera
     )
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     u = F.transform(F.sequence(F.lit(0), F.col("__draws") - 1), lambda j: uniform(name, j.cast("string"), F.lit(str(seed))))
-    joined = docs.join(rates, F.coalesce(docs[source], F.lit("")) == rates["__source"]).withColumn("__u", u)
+    joined = _beside(docs, source, written(rates, "mixing-rates")).withColumn("__u", u)
     count = F.expr("aggregate(__u, 0, (n, u) -> n + size(filter(__levels, f -> f <= u)))")
     return joined.withColumn("__copies", count).drop("__source", "__draws", "__levels", "__u")
 
