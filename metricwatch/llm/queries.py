@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from metricwatch.llm import chat, line_dedup, line_quality, mixing, neighbours, packing, simhash, sql, suffixes, toxicity
+from metricwatch.llm import chat, line_dedup, line_quality, mixing, neighbours, packing, secrets, simhash, sql, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -27,6 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op7_crf_secrets(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    kinds = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    joined = (
+        "array_join(transform(sort_array(transform({}, s -> struct(s.start AS a, array_position(array(" + kinds + "), s.kind) AS k, s.stop AS b))),"
+        " s -> concat_ws(':', element_at(array(" + kinds + "), cast(s.k AS int)), s.a, s.b)), ',')"
+    )
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"),
+        F.expr(joined.format("concat(base, added)")).alias("spans"),
+    )
+
+
 @query
 def op8_nb_ngram_toxicity(spark, sf_dir):
     found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
