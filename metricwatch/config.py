@@ -208,7 +208,7 @@ class ModelSettings:
     logistic_iterations: int = 100
     logistic_c: float = 1.0
     trees: int = 100
-    tree_depth: int = 10
+    tree_depth: int = 30  # Spark's limit; trees otherwise grow until leaves are pure
     neighbours: int = 5
     svm_c: float = 1.0
     svm_features: int = 128  # 0 trains a linear classifier on the plain features

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 20_000
 MAX_SLICES = 4096
+CELLS = 4_000_000  # differences held at a time
 
 _NEIGHBOURS = "id string, d double, n_id string, n_label double"
 
@@ -27,17 +28,23 @@ def _nearest(k: int):
         if tests.empty or trains.empty:
             return pd.DataFrame({"id": [], "d": [], "n_id": [], "n_label": []})
         trains = trains.sort_values("n_id", kind="stable")
-        x = np.stack(trains["n_x"].to_numpy())
-        ids, labels = trains["n_id"].to_numpy(), trains["n_label"].to_numpy()
+        x, q = np.stack(trains["n_x"].to_numpy()), np.stack(tests["x"].to_numpy())
+        ids, labels, asked = trains["n_id"].to_numpy(), trains["n_label"].to_numpy(), tests["id"].to_numpy()
+        wanted = min(k, len(x))
+        step = max(1, CELLS // x.size)
         out = []
-        for test_id, v in zip(tests["id"], tests["x"]):
-            d = ((x - v) ** 2).sum(axis=1)
-            # Stable order: equal distances stay in id order.
-            near = np.argsort(d, kind="stable")[:k]
-            out.append(
-                pd.DataFrame({"id": test_id, "d": d[near], "n_id": ids[near], "n_label": labels[near]})
-            )
-        return pd.concat(out)
+        for at in range(0, len(q), step):
+            d = ((x[None, :, :] - q[at : at + step, None, :]) ** 2).sum(axis=2)
+            bound = np.partition(d, wanted - 1, axis=1)[:, wanted - 1]
+            # All rows at the k-th distance compete; equal distances go in id order.
+            row, col = np.nonzero(d <= bound[:, None])
+            order = np.lexsort((col, d[row, col], row))
+            row, col = row[order], col[order]
+            first = np.searchsorted(row, row)
+            kept = np.arange(len(row)) - first < wanted
+            row, col = row[kept], col[kept]
+            out.append((asked[at + row], d[row, col], ids[col], labels[col]))
+        return pd.DataFrame(dict(zip(("id", "d", "n_id", "n_label"), map(np.concatenate, zip(*out)))))
 
     return nearest
 
@@ -76,7 +83,10 @@ def nearest_neighbours(
     ``test`` has ``(id string, x array<double>)``, ``train`` also ``label``; ``d`` is the
     squared distance, ties go to the smaller id.
     """
-    width = len(train.select("x").head()[0])
+    sample = train.select("x").head()
+    if sample is None:
+        return test.sparkSession.createDataFrame([], _NEIGHBOURS)
+    width = len(sample[0])
     spread = train.agg(*[F.var_pop(F.get("x", F.lit(i))).alias(str(i)) for i in range(width)], F.count(F.lit(1)).alias("n")).head()
     n = spread["n"]
     axis = max(range(width), key=lambda i: spread[str(i)] or 0.0)

@@ -211,7 +211,11 @@ def classification_report(predictions: DataFrame, by: tuple[str, ...] = ()) -> D
 
     Classes are named by their label value.  Undefined ratios are 0.
     """
-    cells = confusion(predictions, by)
+    return report_of(confusion(predictions, by), by)
+
+
+def report_of(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The report of counted labels and predictions."""
     classes = F.explode(
         F.array_distinct(F.array(F.col("label").cast("double"), F.col("prediction").cast("double")))
     )
@@ -265,9 +269,9 @@ def area_under_roc(predictions: DataFrame) -> float | None:
     ).evaluate(predictions)
 
 
-def fold_scores(predictions: DataFrame, timings: DataFrame) -> DataFrame:
+def fold_scores(cells: DataFrame, timings: DataFrame) -> DataFrame:
     """One row per model and fold: times and weighted scores."""
-    report = classification_report(predictions, by=("model", "fold"))
+    report = report_of(cells, by=("model", "fold"))
 
     def pick(row: str, measure: str, name: str) -> Column:
         return F.max(F.when(F.col("class") == row, F.col(measure))).alias(name)
@@ -298,7 +302,7 @@ def compare_models(
     spark: SparkSession = rows.sparkSession
     # Iterative fits run one task per partition and round: even partitions, no more than the
     # rows deserve.
-    rows = rows.repartition(rows.count() // ROWS_PER_PARTITION + 1, "id").persist()
+    rows = cut_lineage(rows.repartition(rows.count() // ROWS_PER_PARTITION + 1, "id"))
     train = rows.where(~F.col("is_test"))
     test = rows.where(F.col("is_test"))
     fits = {m: f for m, f in _classifiers(cfg).items() if models is None or m in models}
@@ -311,10 +315,12 @@ def compare_models(
         predicted = fitted.predict(train.where(F.col("fold") == fold)).select(
             F.lit(name).alias("model"), F.lit(fold).alias("fold"), "label", "prediction", "score"
         )
-        # Read by the curve here and by the report of all folds below.
+        # A fold is reduced to its counts and its curve at once, and released.
         predicted = predicted.persist()
         auc = area_under_roc(predicted)
-        return predicted, (name, fold, trained - started, time.time() - trained, auc)
+        cells = [(name, fold, r["label"], r["prediction"], r["n"]) for r in confusion(predicted).collect()]
+        predicted.unpersist()
+        return cells, (name, fold, trained - started, time.time() - trained, auc)
 
     jobs = [(name, fold) for name in fits for fold in range(folds)]
     with ThreadPool(cfg.parallelism) as pool:
@@ -326,10 +332,10 @@ def compare_models(
             [timing for _, timing in held_out],
             "model string, fold int, fit_time double, score_time double, test_roc_auc double",
         )
-        parts = [part for part, _ in held_out]
-        scores = cut_lineage(fold_scores(reduce(DataFrame.unionByName, parts), timings))
-        for part in parts:
-            part.unpersist()
+        counted = spark.createDataFrame(
+            [cell for cells, _ in held_out for cell in cells], "model string, fold int, label double, prediction double, n long"
+        )
+        scores = cut_lineage(fold_scores(counted, timings))
     predictions = reduce(
         DataFrame.unionByName,
         [

@@ -1,75 +1,41 @@
 """Exact running totals and dense ranks over value order, for groups of any size.
 
-A plain window puts a whole group into one task.  Here equal values are merged first;
-if more remain than fit one task, value buckets become the window partitions, and each
-bucket adds the total of the buckets before it.
+A plain window puts a whole group into one task.  Here equal values are merged first and
+the rest is range-partitioned by Spark, which cuts through groups; windows stay inside a
+partition, and each partition adds the totals of the partitions before it.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricwatch.sources.lineage import cut_lineage
 
-# Distinct values sorted by one task.
-ROWS_PER_TASK = 1_000_000
-MAX_BUCKETS = 4096
 
-
-def running_totals(
-    df: DataFrame,
-    by: list[str],
-    order: str,
-    values: list[str],
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Sums per distinct ``(by, order)`` and sums over all smaller ``order`` values.
-
-    Adds ``<v>`` (sum at this value) and ``<v>_before`` (sum below it) for each of
-    ``values``.  Rows with a NULL ``order`` are left out.
-    """
-    levels = (
-        df.where(F.col(order).isNotNull())
-        .groupBy(*by, order)
-        .agg(*[F.sum(v).alias(v) for v in values])
-    )
-    levels = cut_lineage(levels)
-    n = levels.count()
-    if n <= rows_per_task:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return levels.select(
-            *by, order, *values,
-            *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}_before") for v in values],
-        )
-
-    # Bounds are numbers on the driver (at most MAX_BUCKETS): both branches below see the
-    # same buckets, whatever is recomputed.
-    buckets = min(MAX_BUCKETS, 2 * (n // rows_per_task + 1))
-    probabilities = [i / buckets for i in range(1, buckets)]
-    levels = levels.withColumn("_v", F.col(order).cast("double"))
-    cuts = sorted(set(levels.stat.approxQuantile("_v", probabilities, 0.25 / buckets)))
-    bucketed = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_v", outputCol="_bucket"
-    ).transform(levels)
-    local = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = bucketed.select(
-        *by, order, "_bucket", *values,
+def _running(levels: DataFrame, by: list[str], order: str, direction: Column, values: list[str], partitions: int | None) -> DataFrame:
+    """Adds ``<v>_before`` to ``levels`` of distinct ``(by, order)``."""
+    sort = [*by, direction]
+    ranged = levels.repartitionByRange(partitions, *sort) if partitions else levels.repartitionByRange(*sort)
+    # Written once: the partition of a row never changes, whatever is recomputed.
+    placed = cut_lineage(ranged.sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy(*by, "_part").orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.select(
+        *by, order, "_part", *values,
         *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"_in_{v}") for v in values],
     )
-    # At most MAX_BUCKETS rows per group.
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per group and partition.
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(*by, "_bucket")
+        placed.groupBy(*by, "_part")
         .agg(*[F.sum(v).alias(v) for v in values])
         .select(
             *[F.col(c).alias(f"_o_{c}") for c in by],
-            F.col("_bucket").alias("_o_bucket"),
+            F.col("_part").alias("_o_part"),
             *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_pre_{v}") for v in values],
         )
     )
-    same = F.col("_bucket") == F.col("_o_bucket")
+    same = F.col("_part") == F.col("_o_part")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     return inside.join(offsets, same).select(
@@ -78,28 +44,31 @@ def running_totals(
     )
 
 
-def dense_ranks(
-    df: DataFrame, by: list[str], value: str, name: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def running_totals(df: DataFrame, by: list[str], order: str, values: list[str], partitions: int | None = None) -> DataFrame:
+    """Sums per distinct ``(by, order)`` and sums over all smaller ``order`` values.
+
+    Adds ``<v>`` (sum at this value) and ``<v>_before`` (sum below it) for each of
+    ``values``.  Rows with a NULL ``order`` are left out; NaN is above all numbers.
+    ``partitions`` overrides the number of ranges.
+    """
+    levels = df.where(F.col(order).isNotNull()).groupBy(*by, order).agg(*[F.sum(v).alias(v) for v in values])
+    return _running(levels, by, order, F.col(order).asc(), values, partitions)
+
+
+def dense_ranks(df: DataFrame, by: list[str], value: str, name: str, partitions: int | None = None) -> DataFrame:
     """``(by, value, name)``: dense rank of each distinct value per group, largest first.
 
-    NULL values rank last, as one value.
+    NULL values rank last, as one value; NaN ranks first.  Values keep their type.
     """
-    last = F.lit(float("inf"))
-    down = F.coalesce(-F.col(value), last)
-    levels = df.select(*by, down.alias("_down")).distinct().withColumn("_one", F.lit(1))
-    return running_totals(levels, by, "_down", ["_one"], rows_per_task).select(
-        *by,
-        F.when(F.col("_down") < last, -F.col("_down")).alias(value),
-        (F.col("_one_before") + 1).cast("int").alias(name),
+    levels = df.select(*by, value).distinct().withColumn("_one", F.lit(1))
+    return _running(levels, by, value, F.col(value).desc_nulls_last(), ["_one"], partitions).select(
+        *by, value, (F.col("_one_before") + 1).cast("int").alias(name)
     )
 
 
-def value_counts(
-    df: DataFrame, by: list[str], value: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def value_counts(df: DataFrame, by: list[str], value: str, partitions: int | None = None) -> DataFrame:
     """``(by, value, n, n_before)``: rows at and below each distinct non-NULL value."""
-    return running_totals(df.withColumn("n", F.lit(1)), by, value, ["n"], rows_per_task)
+    return running_totals(df.withColumn("n", F.lit(1)), by, value, ["n"], partitions)
 
 
 def quantiles(counted: DataFrame, by: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:

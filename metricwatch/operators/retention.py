@@ -1,9 +1,8 @@
 """Workspace feature table for retention analysis.
 
-Event tables are reduced to one row per workspace before they meet the workspace table.
-Only the first-day figures need the workspace's dates at event level; that join runs on
-(workspace, day), so a hot workspace is spread over its days, and the aggregate after it
-shuffles on other keys, which lets AQE split what is still skewed.
+Event tables meet the eligible workspaces before they are deduplicated, so events of other
+servers are dropped where they are read or at the first shuffle.  The aggregates after these
+joins shuffle on other keys, which lets AQE split a hot workspace.
 """
 
 from __future__ import annotations
@@ -53,10 +52,10 @@ def workspaces(facts: DataFrame, excluded: DataFrame, licences: DataFrame, as_of
     )
 
 
-def days_to_threshold(details: DataFrame, threshold: int = MIN_REGISTERED_USERS) -> DataFrame:
-    """Days from a workspace's first snapshot to its first with enough registered users."""
+def days_to_threshold(details: DataFrame, base: DataFrame, threshold: int = MIN_REGISTERED_USERS) -> DataFrame:
+    """Days from an eligible workspace's first snapshot to its first with enough registered users."""
     reached = F.min(F.when(F.col("registered_users") >= threshold, F.col("day")))
-    return details.groupBy("server_id").agg(
+    return _of(base, details).groupBy("server_id").agg(
         F.datediff(reached, F.min("day")).cast("bigint").alias("days_to_registered_users")
     )
 
@@ -66,47 +65,33 @@ def post_users(events: DataFrame, base: DataFrame, min_users: int | None = None)
 
     ``min_users`` optionally drops workspaces with fewer distinct users.
     """
-    out = _of(base, _post_user_counts(events, base))
+    out = _post_user_counts(events, base)
     return out if min_users is None else out.where(F.col("post_users") >= min_users)
 
 
-def _of(base: DataFrame, counted: DataFrame) -> DataFrame:
-    return counted.join(base.select("server_id"), "server_id", "left_semi")
+def _of(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of eligible workspaces only, before anything is shuffled for them."""
+    return rows.join(base.select("server_id"), "server_id", "left_semi")
 
 
 def _post_user_counts(events: DataFrame, base: DataFrame) -> DataFrame:
-    """Counts for every server seen in ``events``; day figures only for those in ``base``.
+    """Counts for every workspace in ``base`` with events; others drop out at the first join.
 
     ``events_per_user_second_day`` divides distinct events by distinct events, as the
     established metric does, so it is 0 or 1; the ``_fixed`` column divides by users.
     """
-    first_days = (
-        base.select("server_id", "first_active_date")
-        .distinct()
-        .select(
-            "server_id",
-            F.explode(
-                F.array(
-                    F.struct(F.col("first_active_date").alias("day"), F.lit(1).alias("d1"), F.lit(0).alias("d2")),
-                    F.struct(F.date_add("first_active_date", 1).alias("day"), F.lit(0).alias("d1"), F.lit(1).alias("d2")),
-                )
-            ).alias("k"),
-        )
-        .groupBy("server_id", F.col("k.day").alias("day"))
-        .agg(F.max("k.d1").alias("d1"), F.max("k.d2").alias("d2"))
-    )
+    first_days = base.select("server_id", "first_active_date").distinct()
     keyed = events.select(
         server_key("user_id", "context_server", "context_traits_server").alias("server_id"),
         F.to_date("event_ts").alias("day"),
         F.col("user_actual_id").cast("string").alias("user"),
         F.col("id").cast("string").alias("event"),
-    ).where(F.col("server_id").isNotNull())
-    flagged = keyed.join(first_days, ["server_id", "day"], "left").select(
-        "server_id",
-        F.coalesce("d1", F.lit(0)).alias("d1"),
-        F.coalesce("d2", F.lit(0)).alias("d2"),
-        "user",
-        "event",
+    )
+    def on(day):
+        return F.coalesce((F.col("day") == day).cast("int"), F.lit(0))
+
+    flagged = keyed.join(first_days, "server_id").select(
+        "server_id", on(F.col("first_active_date")).alias("d1"), on(F.date_add("first_active_date", 1)).alias("d2"), "user", "event"
     )
     # One value per row, deduplicated once for all four counts: every event brings its
     # user, only those of the first two days bring their id.
@@ -151,16 +136,9 @@ def _post_user_counts(events: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def usage(events: DataFrame, base: DataFrame, prefix: str, flag: str) -> DataFrame:
-    """Distinct events and a usage flag per workspace that has any.
-
-    Counted before the join: the count shuffles on (workspace, event), the join sees one
-    row per workspace.
-    """
-    return _of(base, _usage_counts(events, prefix, flag))
-
-
-def _usage_counts(events: DataFrame, prefix: str, flag: str) -> DataFrame:
-    counted = events.groupBy(F.col("user_id").alias("server_id")).agg(
+    """Distinct events and a usage flag per eligible workspace that has any."""
+    own = _of(base, events.withColumn("server_id", F.col("user_id")))
+    counted = own.groupBy("server_id").agg(
         F.count_distinct("id").alias(f"{prefix}_events")
     )
     return counted.withColumn(flag, F.when(F.col(f"{prefix}_events") > 0, 1).otherwise(0))
@@ -175,11 +153,10 @@ def retention_features(
     public_domains: DataFrame,
 ) -> DataFrame:
     """One row per eligible workspace with a snapshot on its last day (more where joins fan out)."""
-    # Left-joined to the workspaces below, so servers outside them need no filter here.
     posts = _post_user_counts(telemetry, base)
-    threshold = days_to_threshold(details)
-    incident = _usage_counts(incidents, "incident_mgmt", "used_incident_mgmt")
-    plugin = _usage_counts(plugins, "plugin", "used_plugins")
+    threshold = days_to_threshold(details, base)
+    incident = usage(incidents, base, "incident_mgmt", "used_incident_mgmt")
+    plugin = usage(plugins, base, "plugin", "used_plugins")
     snapshot = details.select(
         "server_id",
         F.col("day").alias("last_telemetry_date"),

@@ -20,7 +20,7 @@ from metricwatch.functions import (
     nice_bytes,
     warehouse_rate,
 )
-from metricwatch.operators.ranking import ROWS_PER_TASK, dense_ranks
+from metricwatch.operators.ranking import dense_ranks
 from metricwatch.sources.lineage import cut_lineage
 
 # What identifies the dearest statement of a day beyond its credits, in tie-break order.
@@ -127,12 +127,12 @@ def ranked_models(daily: DataFrame) -> DataFrame:
     )
 
 
-def spend_report(log: DataFrame, cfg: SpendConfig, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def spend_report(log: DataFrame, cfg: SpendConfig, partitions: int | None = None) -> DataFrame:
     """Dearest statement per model and day with daily, all-time and overall cost, ranked."""
     # The log is read once; everything below works on models x days.
     daily = cut_lineage(daily_costs(statements(log, cfg)))
     rows = ranked_models(daily).withColumn("month", month_start("start_date"))
-    ranks = dense_ranks(rows, ["month"], "credits_alltime", "expensivest_ranking", rows_per_task)
+    ranks = dense_ranks(rows, ["month"], "credits_alltime", "expensivest_ranking", partitions)
     ranked = rows.alias("r").join(
         ranks.alias("k"),
         F.col("r.month").eqNullSafe(F.col("k.month"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricwatch.operators.ranking import ROWS_PER_TASK, quantiles, value_counts
+from metricwatch.operators.ranking import quantiles, value_counts
 
 FORECAST_MEASURES = ("trend", "yhat", "yhat_lower", "yhat_upper", "fact")
 
@@ -44,7 +44,7 @@ def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("value").isNotNull())
 
 
-def describe(df: DataFrame, columns: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def describe(df: DataFrame, columns: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles and max of numeric columns: ``(column, stat, value)``.
 
     Quartiles are exact and interpolated; see :mod:`metricwatch.operators.ranking` for how
@@ -52,7 +52,7 @@ def describe(df: DataFrame, columns: list[str] | None = None, rows_per_task: int
     """
     cells = unpivot(df, columns or numeric_columns(df))
     # One pass over the rows; all statistics come from the distinct values and their counts.
-    counted = value_counts(cells, ["column"], "value", rows_per_task)
+    counted = value_counts(cells, ["column"], "value", partitions)
     sums = counted.groupBy("column").agg(
         F.sum("n").cast("double").alias("count"),
         (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),

@@ -43,10 +43,7 @@ POSTS_RULE = 13
 # Forecast target as far after the last spend day as the established job looked ahead.
 FORECAST_UNTIL = date(2002, 9, 30)
 FORECAST_CUTOFF = date(2001, 8, 1)
-# Fewer rounds and trees than the defaults: the tables hold few workspaces.
-STUDY = ModelSettings(
-    trees=20, tree_depth=5, boosting_rounds=5, boosting_depth=3, logistic_iterations=15, svm_iterations=10
-)
+NEIGHBOURS = ModelSettings().neighbours
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -347,7 +344,9 @@ def workspace_base(spark, sf_dir):
 
 @query
 def days_to_threshold(spark, sf_dir):
-    return retention.days_to_threshold(StandInSources(spark, sf_dir).table("server_daily_details_ext"))
+    return retention.days_to_threshold(
+        StandInSources(spark, sf_dir).table("server_daily_details_ext"), _base(spark, sf_dir)
+    )
 
 
 @query
@@ -448,7 +447,7 @@ def knn_neighbours(spark, sf_dir):
     rows, _ = _model_rows(spark, sf_dir)
     rows = cut_lineage(rows.select("id", vector_to_array("features").alias("x"), "label", "is_test"))
     pairs = nearest_neighbours(
-        rows.where("is_test").dropDuplicates(["id"]), rows.where("NOT is_test"), STUDY.neighbours
+        rows.where("is_test").dropDuplicates(["id"]), rows.where("NOT is_test"), NEIGHBOURS
     )
     # Row hashes differ between engines: keep the workspace part of the ids.
     return rounded(
@@ -458,32 +457,58 @@ def knn_neighbours(spark, sf_dir):
     )
 
 
+# The study of a data folder, kept for the queries that show its parts; all six models, full settings.
+_STUDIES: dict[tuple[str, str], reports.EngagementStudy] = {}
+
+
+def _study(spark, sf_dir) -> reports.EngagementStudy:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STUDIES:
+        study = reports.engagement_study(_features(spark, sf_dir), reports.active_target(ACTIVE_SHARE))
+        _STUDIES[key] = replace(study, report=cut_lineage(study.report))
+    return _STUDIES[key]
+
+
 @query
 def compare_models(spark, sf_dir):
-    rows, _ = _model_rows(spark, sf_dir)
-    scores, _, _ = modeling.compare_models(cut_lineage(rows), STUDY)
-    return scores
+    return _study(spark, sf_dir).scores
 
 
 @query
 def model_report(spark, sf_dir):
-    rows, _ = _model_rows(spark, sf_dir)
-    _, _, predictions = modeling.compare_models(cut_lineage(rows), STUDY, ("LogReg", "RF", "GNB"), folds=0)
-    return modeling.classification_report(predictions, by=("model",))
+    return _study(spark, sf_dir).report
 
 
 @query
 def best_model(spark, sf_dir):
-    rows, _ = _model_rows(spark, sf_dir)
-    scores, _, _ = modeling.compare_models(cut_lineage(rows), STUDY, ("LogReg", "RF", "GNB"))
-    return modeling.select_best(scores)
+    return _study(spark, sf_dir).best
 
 
 @query
 def feature_importance(spark, sf_dir):
-    rows, columns = _model_rows(spark, sf_dir)
-    _, fitted, _ = modeling.compare_models(cut_lineage(rows), STUDY, ("XGB",), folds=0)
-    return modeling.feature_importance(fitted["XGB"], columns, spark)
+    return _study(spark, sf_dir).importance
+
+
+@query
+def engagement_study(spark, sf_dir):
+    # Scores, report and importance of one study, as (part, model, item, measure, value).
+    study = _study(spark, sf_dir)
+    measures = ("precision", "recall", "f1")
+    value = lambda m: F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+    scored = ("test_accuracy", "test_precision_weighted", "test_recall_weighted", "test_f1_weighted", "test_roc_auc")
+    parts = [
+        study.scores.select(F.lit("fold").alias("part"), "model", F.col("fold").cast("string").alias("item"), F.explode(F.array(*map(value, scored))).alias("v")),
+        study.report.select(F.lit("report").alias("part"), "model", F.col("class").alias("item"), F.explode(F.array(*map(value, measures))).alias("v")),
+        study.importance.select(F.lit("importance").alias("part"), F.lit("XGB").alias("model"), F.col("feature").alias("item"), F.struct(F.lit("importance").alias("measure"), F.col("importance").alias("value")).alias("v")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("part", "model", "item", "v.*")
+
+
+@query
+def fold_support(spark, sf_dir):
+    # Training rows per fold and class: what every classifier of the study is scored on.
+    rows, _ = _model_rows(spark, sf_dir)
+    return rows.where("NOT is_test").groupBy("fold", "label").agg(F.count(F.lit(1)).alias("support"))
 
 
 # ---- trend model -----------------------------------------------------------

@@ -165,7 +165,7 @@ def test_spend_report_equals_window_form(spark):
         .drop("day_rank")
     )
     # Few rows per task: the ranks go through value buckets.
-    report = spend.spend_report(log, STAND_IN_SPEND, rows_per_task=50)
+    report = spend.spend_report(log, STAND_IN_SPEND, partitions=50)
     ours = report.select(
         "start_date", "model_key", F.col("max_credits_used_daily").alias("credits"),
         F.col("credits_used_daily").alias("credits_day"),

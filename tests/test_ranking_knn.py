@@ -22,10 +22,10 @@ def values():
     return rows
 
 
-@pytest.mark.parametrize("rows_per_task", [10**6, 20])
-def test_dense_ranks(spark, values, rows_per_task):
+@pytest.mark.parametrize("partitions", [None, 1, 20])
+def test_dense_ranks(spark, values, partitions):
     df = spark.createDataFrame(values, "g string, v double")
-    got = {(r.g, r.v): r.rank for r in dense_ranks(df, ["g"], "v", "rank", rows_per_task).collect()}
+    got = {(r.g, r.v): r.rank for r in dense_ranks(df, ["g"], "v", "rank", partitions).collect()}
     by = defaultdict(set)
     for g, v in values:
         by[g].add(float("-inf") if v is None else v)
@@ -36,27 +36,50 @@ def test_dense_ranks(spark, values, rows_per_task):
     assert got == want
 
 
-@pytest.mark.parametrize("rows_per_task", [10**6, 20])
-def test_running_totals(spark, values, rows_per_task):
+@pytest.mark.parametrize("partitions", [None, 1, 20])
+def test_running_totals(spark, values, partitions):
     df = spark.createDataFrame(values, "g string, v double").withColumn("n", F.lit(1))
-    got = {(r.g, r.v): (r.n, r.n_before) for r in running_totals(df, ["g"], "v", ["n"], rows_per_task).collect()}
+    got = {(r.g, r.v): (r.n, r.n_before) for r in running_totals(df, ["g"], "v", ["n"], partitions).collect()}
     for (g, v), (n, before) in got.items():
         same = [w for h, w in values if h == g and w is not None]
         assert n == same.count(v) and before == sum(w < v for w in same)
     assert len(got) == len({(g, v) for g, v in values if v is not None})
 
 
-@pytest.mark.parametrize("rows_per_task", [10**6, 20])
-def test_quantiles(spark, values, rows_per_task):
+@pytest.mark.parametrize("partitions", [None, 1, 20])
+def test_quantiles(spark, values, partitions):
     df = spark.createDataFrame(values, "g string, v double")
     probabilities = {"q1": 0.25, "q2": 0.5, "q9": 0.9}
-    got = {(r.g, r.stat): r.value for r in quantiles(value_counts(df, ["g"], "v", rows_per_task), ["g"], "v", probabilities).collect()}
+    got = {(r.g, r.stat): r.value for r in quantiles(value_counts(df, ["g"], "v", partitions), ["g"], "v", probabilities).collect()}
     for g in ("a", "b"):
         column = [v for h, v in values if h == g and v is not None]
         for stat, p in probabilities.items():
             assert got[g, stat] == pytest.approx(np.quantile(column, p))
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 9])
+def test_odd_values_rank_exactly(spark, partitions):
+    inf, nan = float("inf"), float("nan")
+    rows = [(f"g{i % 40}", v) for i in range(80) for v in (None, nan, inf, -inf, 0.0, float(i))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = defaultdict(list)
+    for r in dense_ranks(df, ["g"], "v", "rank", partitions).collect():
+        got[r.g].append((r.rank, str(r.v)))
+    for i in range(40):
+        values = [nan, inf, *sorted({0.0, float(i), float(i + 40)}, reverse=True), -inf, None]
+        assert sorted(got[f"g{i}"]) == [(k, str(v)) for k, v in enumerate(values, 1)]
+    counted = {(r.g, str(r.v)): (r.n, r.n_before) for r in value_counts(df, ["g"], "v", partitions).collect()}
+    assert counted["g5", "nan"] == (2, 8) and counted["g5", "-inf"] == (2, 0)
+    big = spark.createDataFrame([("a", 2**53), ("a", 2**53 + 1)], "g string, v long")
+    assert sorted((r.v, r.rank) for r in dense_ranks(big, ["g"], "v", "rank", partitions).collect()) == [(2**53, 2), (2**53 + 1, 1)]
+
+
+def test_no_training_rows(spark):
+    test = spark.createDataFrame([("q", [1.0, 2.0])], "id string, x array<double>")
+    train = spark.createDataFrame([], "id string, x array<double>, label double")
+    assert nearest_neighbours(test, train, 3).count() == 0
+
+
 def test_describe_and_correlation(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=50)
