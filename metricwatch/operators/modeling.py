@@ -346,6 +346,17 @@ def compare_models(
     return scores, fitted, predictions
 
 
+def held_out_counts(rows: DataFrame, model: str, cfg: ModelSettings = ModelSettings(), folds: int = FOLDS) -> DataFrame:
+    """``(fold, label, prediction, n)`` of one classifier on the training rows that each fold holds out."""
+    fit = _classifiers(cfg)[model]
+    train = rows.where(~F.col("is_test"))
+    parts = [
+        confusion(fit(train.where(F.col("fold") != f)).predict(train.where(F.col("fold") == f))).withColumn("fold", F.lit(f))
+        for f in range(folds)
+    ]
+    return reduce(DataFrame.unionByName, parts).select("fold", "label", "prediction", "n")
+
+
 def select_best(scores: DataFrame, metric: str = "test_roc_auc") -> DataFrame:
     """Models by mean fold score, best first."""
     return (

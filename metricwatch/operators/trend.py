@@ -139,7 +139,7 @@ def _cross_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _map_solution(gram, xty, yty, n, inverse_scale, laplace, rounds=500):
-    """MAP coefficients and noise scale by majorise-minimise steps.
+    """MAP coefficients, noise scale and whether they converged, by majorise-minimise steps.
 
     |d| is bounded above by (d*d/w + w)/2 with w the last |d|, which turns each round
     into one ridge system; the noise step is the root of its own stationarity condition.
@@ -149,6 +149,7 @@ def _map_solution(gram, xty, yty, n, inverse_scale, laplace, rounds=500):
     sigma2 = max(yty / n, 1e-8)
     last = np.inf
     beta = np.zeros(p)
+    converged = False
     for _ in range(rounds):
         penalty = np.where(laplace, inverse_scale / np.maximum(weight, 1e-9), inverse_scale)
         beta = np.linalg.solve(gram / sigma2 + np.diag(penalty), xty / sigma2)
@@ -160,9 +161,10 @@ def _map_solution(gram, xty, yty, n, inverse_scale, laplace, rounds=500):
             + np.sum(np.where(laplace, inverse_scale * np.abs(beta), inverse_scale * beta**2 / 2))
         )
         if abs(last - loss) <= 1e-9 * (1 + abs(loss)):
+            converged = True
             break
         last = loss
-    return beta, float(np.sqrt(sigma2))
+    return beta, float(np.sqrt(sigma2)), converged
 
 
 def _solver(cfg: TrendConfig):
@@ -187,8 +189,8 @@ def _solver(cfg: TrendConfig):
             p = design_width(cfg)
             gram = np.sum(np.stack(full["gram"].to_numpy()), axis=0).reshape(p, p)
             xty = np.sum(np.stack(full["xty"].to_numpy()), axis=0)
-            beta, sigma = _map_solution(gram, xty, full["yty"].sum(), n, inverse_scale, laplace)
-            row |= {"beta": beta, "sigma": sigma, "status": "ok"}
+            beta, sigma, converged = _map_solution(gram, xty, full["yty"].sum(), n, inverse_scale, laplace)
+            row |= {"beta": beta, "sigma": sigma, "status": "ok" if converged else "not_converged"}
         return pd.DataFrame([row])
 
     return solve

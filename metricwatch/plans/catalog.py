@@ -504,6 +504,18 @@ def engagement_study(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("part", "model", "item", "v.*")
 
 
+@query
+def gnb_fold_counts(spark, sf_dir):
+    rows, _ = _model_rows(spark, sf_dir)
+    return modeling.held_out_counts(cut_lineage(rows), "GNB")
+
+
+@query
+def knn_fold_counts(spark, sf_dir):
+    rows, _ = _model_rows(spark, sf_dir)
+    return modeling.held_out_counts(cut_lineage(rows), "KNN")
+
+
 @query
 def fold_support(spark, sf_dir):
     # Training rows per fold and class: what every classifier of the study is scored on.
@@ -550,6 +562,12 @@ def trend_fit(spark, sf_dir):
     return models.select("series", "first_ds", "last_ds", "n_obs", "sigma", "status")
 
 
+@query
+def trend_fit_status(spark, sf_dir):
+    models = trend.fit_trend(cut_lineage(_series(spark, sf_dir)), ANOMALY_TREND)
+    return models.select("series", "first_ds", "last_ds", "n_obs", "status")
+
+
 @query
 def trend_fit_stiff(spark, sf_dir):
     models = trend.fit_trend(_spend_series(spark, sf_dir), STIFF_TREND)

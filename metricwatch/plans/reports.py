@@ -23,9 +23,10 @@ from metricwatch.config import (
     TrendConfig,
 )
 from metricwatch.operators import modeling, retention, spend, stats, trend
-from metricwatch.operators.anomalies import label_anomalies
+from metricwatch.operators.anomalies import alerts, label_anomalies
 from metricwatch.operators.series import AsOf, all_series
 from metricwatch.sources import Sources, cut_lineage
+from metricwatch.sources.catalog import write_alerts, write_by_series
 
 
 def daily_metrics(sources: Sources, specs: tuple[SeriesSpec, ...], as_of: AsOf) -> DataFrame:
@@ -41,7 +42,15 @@ def anomaly_report(
 ) -> DataFrame:
     """Every day of every series with its expected band, anomaly label and importance."""
     series = daily_metrics(sources, specs, as_of)
-    return label_anomalies(trend.score_history(series, trend.fit_trend(series, cfg), cfg))
+    return label_anomalies(trend.score_history(series, trend.fit_trend(series, cfg), cfg)).orderBy("series", "ds")
+
+
+def publish_anomalies(report: DataFrame, folder: str, as_of: date, lookback_days: int | None = None, min_importance: float = 0.0) -> DataFrame:
+    """Store an anomaly report by series and its alerts under the run's date; returns the alerts."""
+    write_by_series(report, f"{folder}/series")
+    found = alerts(report, as_of, lookback_days, min_importance)
+    write_alerts(found, f"{folder}/alerts", as_of)
+    return found
 
 
 def spend_report(sources: Sources, cfg: SpendConfig) -> DataFrame:
@@ -66,7 +75,7 @@ def spend_outlook(
     """Spend history with its band and the coming days."""
     series = daily_metrics(sources, (spec,), as_of)
     models = cut_lineage(trend.fit_trend(series, cfg))
-    return trend.forecast(series, cfg, horizon_days, models)
+    return trend.forecast(series, cfg, horizon_days, models).orderBy("ds")
 
 
 def spend_forecast(
