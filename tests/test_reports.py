@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricwatch.config import SERIES_SPECS, ModelSettings, TrendConfig
+from metricwatch.operators.anomalies import label_anomalies
 from metricwatch.plans import reports
 from metricwatch.sources import Sources, StandInSources
 from metricwatch.sources.standins import EVENTS_AS_OF
@@ -64,3 +65,30 @@ def test_engagement_study(spark):
     assert {r.model for r in study.report.select("model").distinct().collect()} == {"RF", "GNB", "XGB"}
     named = [r.feature for r in study.importance.collect()]
     assert "total_days" not in named and "pct_active" not in named and len(named) == 32
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from metricwatch.sources.lineage import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    Context.getCheckpointDir = staticmethod(lambda: "hdfs://shared/")
+    assert shared_folder(Session()) == "hdfs://shared"
+
+
+def test_published_anomalies(spark, tmp_path):
+    rows = [("b", "2020-01-02", 9.0, 1.0, 2.0, 0.0, 5.0), ("a", "2020-01-03", 1.0, 1.0, 2.0, 0.0, 1.0), ("a", "2020-01-01", 1.0, 1.0, 2.0, 0.5, 0.1)]
+    scored = spark.createDataFrame(rows, "series string, day string, trend double, yhat double, yhat_upper double, yhat_lower double, fact double")
+    scored = scored.withColumn("ds", F.to_date("day")).drop("day")
+    found = reports.publish_anomalies(label_anomalies(scored), str(tmp_path), date(2020, 1, 4))
+    assert sorted((r.series, r.direction) for r in found.collect()) == [("a", "below"), ("b", "above")]
+    assert spark.read.parquet(f"{tmp_path}/series").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/alerts").where("as_of = '2020-01-04'").count() == 2
