@@ -139,7 +139,36 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
 FROM given LEFT JOIN pieces USING (doc_id)
 """
 
+_LINES = r"""
+WITH split AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), numbered AS (
+    SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+        row_number() OVER (ORDER BY doc_id NULLS FIRST, i) AS pos
+    FROM split
+), firsts AS (
+    SELECT words, min(pos) AS pos FROM numbered WHERE len(words) >= 5 GROUP BY words
+), shorter AS (
+    SELECT pos, words, len(words) AS n, k, list_concat(words[:k - 1], words[k + 1:]) AS rest
+    FROM (SELECT *, unnest(range(1, len(words) + 1)) AS k FROM firsts)
+), near AS (
+    -- One word replaced: equal without the word at the same place.
+    SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY n, k, rest) AS earliest FROM shorter) WHERE earliest < pos
+    -- One word added or dropped.
+    UNION SELECT greatest(s.pos, f.pos) FROM shorter s JOIN firsts f ON f.words = s.rest
+), judged AS (
+    SELECT doc_id, i, line, n.pos IN (SELECT pos FROM near) OR coalesce(n.pos > f.pos, FALSE) AS gone
+    FROM numbered n LEFT JOIN firsts f ON f.words = n.words
+), rebuilt AS (
+    SELECT doc_id, bool_or(gone) AS cut, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN r.cut THEN r.text ELSE d.text END AS text, d.lang, d.source,
+    CASE WHEN r.cut THEN length(r.text) ELSE d.n_chars END AS n_chars
+FROM documents d LEFT JOIN rebuilt r ON r.doc_id IS NOT DISTINCT FROM d.doc_id
+"""
+
 TWINS = {
+    "op1_line_dedup": _LINES,
     "op10_suffix_radix_dedup": _REPEATS,
     "op3_poisson_mix": _MIX,
     "op4_chat_windows": _CHAT,
