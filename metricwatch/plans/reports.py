@@ -14,6 +14,7 @@ from metricwatch.config import (
     BUDGET_TREND,
     OUTLOOK_DAYS,
     POSTS_TARGET,
+    PREDICTION_CUTOFFS,
     SPEND_CUTOFF,
     SPEND_UNTIL,
     YEAR_AHEAD_TREND,
@@ -23,7 +24,7 @@ from metricwatch.config import (
     TrendConfig,
 )
 from metricwatch.operators import modeling, retention, spend, stats, trend
-from metricwatch.operators.anomalies import alerts, label_anomalies
+from metricwatch.operators.anomalies import alerts, label_anomalies, layer_predictions
 from metricwatch.operators.series import AsOf, all_series
 from metricwatch.sources import Sources, cut_lineage
 from metricwatch.sources.catalog import write_alerts, write_by_series
@@ -78,6 +79,11 @@ def spend_outlook(
     return trend.forecast(series, cfg, horizon_days, models).orderBy("ds")
 
 
+def forecast_layer(forecast: DataFrame, chart: str) -> DataFrame:
+    """Predicted days of a forecast from the first one that the named chart shows."""
+    return layer_predictions(forecast, PREDICTION_CUTOFFS[chart])
+
+
 def spend_forecast(
     sources: Sources,
     spec: SeriesSpec,

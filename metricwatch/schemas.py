@@ -94,16 +94,6 @@ SOURCE_CONTRACTS: dict[str, dict[str, str]] = {
 # Identifiers may be of any type; they are only compared and counted.
 _ANY_TYPE = {"id", "user_actual_id", "anonymous_id"}
 
-SERIES_SCHEMA = T.StructType(
-    [
-        T.StructField("series", T.StringType()),
-        T.StructField("ds", T.DateType()),
-        T.StructField("y", T.DoubleType()),
-    ]
-)
-
-FORECAST_COLUMNS = ("series", "ds", "trend", "yhat", "yhat_lower", "yhat_upper", "fact")
-
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Keep the contract's columns, cast to the contract's types; fail early on a missing one."""

@@ -149,7 +149,3 @@ def as_of_for(spec: SeriesSpec) -> date:
 def oracle_view(name: str) -> str:
     """Text of a stand-in with plain table names, for the SQL checker."""
     return STAND_IN_SQL[name].format(**{t: t for t in DRIVER_TABLES})
-
-
-def oracle_with(*names: str) -> str:
-    return "WITH " + ", ".join(f"{n} AS ({oracle_view(n)})" for n in names)
