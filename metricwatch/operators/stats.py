@@ -50,21 +50,19 @@ def describe(df: DataFrame, columns: list[str] | None = None, partitions: int |
     Quartiles are exact and interpolated; see :mod:`metricwatch.operators.ranking` for how
     they are found without gathering a column.
     """
-    cells = unpivot(df, columns or numeric_columns(df))
-    # One pass over the rows; all statistics come from the distinct values and their counts.
-    counted = value_counts(cells, ["column"], "value", partitions)
-    sums = counted.groupBy("column").agg(
-        F.sum("n").cast("double").alias("count"),
-        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    columns = columns or numeric_columns(df)
+    # Moments combine inside the scan's tasks; only the quartiles shuffle values, merged and counted.
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.agg(
+        *[F.struct(*[f(F.col(c).cast("double")).cast("double").alias(m) for m, f in moments.items()]).alias(c) for c in columns]
     )
-    spread = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2))
-    variances = counted.join(sums.select("column", "mean", "count"), "column").groupBy("column").agg(
-        F.sqrt(spread / F.nullif(F.max("count") - 1, F.lit(0.0))).alias("std")
+    long = (
+        one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("m")) for c in columns])).alias("c"))
+        .select("c.column", "c.m.*")
+        .where("count > 0")
+        .unpivot("column", list(moments), "stat", "value")
     )
-    moments = sums.join(variances, "column")
-    long = moments.unpivot("column", ["count", "mean", "std", "min", "max"], "stat", "value")
+    counted = value_counts(unpivot(df, columns), ["column"], "value", partitions)
     quartiles = quantiles(counted, ["column"], "value", {"25%": 0.25, "50%": 0.5, "75%": 0.75})
     return long.unionByName(quartiles)
 
