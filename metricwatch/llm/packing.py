@@ -184,7 +184,7 @@ def document_vectors(ids: list[np.ndarray]) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, text_key, doc_tokens, curve, ids)``: each text's ids with ``end_id`` behind, and its place on the curve."""
+    """``(doc_id, text_key, doc_tokens, curve, packed)``: each text's ids with ``end_id`` behind, zstd-compressed, and its place on the curve."""
     end = np.array([end_id], dtype="<u4").tobytes()
     ranks = docs.sparkSession.sparkContext.broadcast(merge_ranks(tokenizer))  # of the vocabulary's size
 
@@ -194,12 +194,12 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array([len(i) // 4 + 1 for i in ids], pa.int64()),
-                pa.array(keys), pa.array([i + end for i in ids], pa.binary()),
+                pa.array(keys), pa.array([pa.compress(i + end, codec="zstd", asbytes=True) for i in ids], pa.binary()),
             ],
-            ["doc_id", "text_key", "doc_tokens", "curve", "ids"],
+            ["doc_id", "text_key", "doc_tokens", "curve", "packed"],
         )
 
-    return map_batches(identified(docs), run, "doc_id long, text_key long, doc_tokens long, curve long, ids binary")
+    return map_batches(identified(docs), run, "doc_id long, text_key long, doc_tokens long, curve long, packed binary")
 
 
 def along_curve(rows: DataFrame) -> DataFrame:
@@ -240,8 +240,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         source, start, size, pieces, sequence, offset = [], [], [], [], [], []
-        for row, (ids, at) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("at").to_pylist())):
-            n, done = len(ids) // 4, 0
+        for row, (data, n, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("packed", "doc_tokens", "at")))):
+            ids, done = pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), 0
             while done < n:
                 inside = (at + done) % length
                 take = min(n - done, length - inside)
@@ -261,7 +261,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_
         )
 
     return map_batches(
-        placed.select("doc_id", "text_key", "row", "doc_tokens", "ids", "at"), run,
+        placed.select("doc_id", "text_key", "row", "doc_tokens", "packed", "at"), run,
         "doc_id long, text_key long, row long, doc_tokens long, start long, length long, ids binary, sequence_id long, offset long",
     )
 
