@@ -93,7 +93,8 @@ def log_count_ratios(texts: DataFrame, known: DataFrame, settings: Settings) ->
     Tasks add up their documents, so a task sends at most one row per bucket and label; the
     result has a fixed size.
     """
-    rows = packed(texts).join(known, "doc_id").select("packed", "toxic")
+    # Labels grow with the documents, so both sides are always dealt by id.
+    rows = packed(texts).join(known.hint("merge"), "doc_id").select("packed", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, (1 << settings.bits) + 1), dtype=np.int64)
