@@ -10,7 +10,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from metricwatch.llm.common import identified, map_batches, text_key, utf8
 from metricwatch.llm.suffixes import packed, unpacked
-from metricwatch.sources import written
+from metricwatch.sources import discard, written
 
 LOW = (1 << 64) - 1
 
@@ -126,16 +126,18 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     all_lines = written(lines(texts, min_words), "lines-hashed")
     first = F.min(F.struct("doc_id", "line", "text_key")).alias("first")
     distinct = written(all_lines.groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("n")), "lines-distinct")
-    copies = (
+    copies = written(
         all_lines.drop("keys").join(distinct.where("n > 1").select("h", "g", "first"), ["h", "g"]).alias("own")
         .where("NOT (own.doc_id <=> first.doc_id AND own.line = first.line)")
-        .select("doc_id", "text_key", "line")
+        .select("doc_id", "text_key", "line"),
+        "lines-copies",
     )
     keys = all_lines.select("h", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
     partners = keys.join(shared, "key").select("h").distinct()
     places = distinct.join(partners, "h").select("first.*")
-    wanted = places.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("wanted"))
+    wanted = written(places.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("wanted")), "lines-wanted")
+    discard(all_lines, distinct)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, number, variants, words = [], [], [], []
@@ -161,7 +163,9 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     found = map_batches(joined, run, "doc_id long, text_key long, line long, variants array<long>, words array<string>")
     candidates = written(found.select(F.struct("doc_id", "line", "text_key").alias("place"), "variants", "words"), "lines-candidates")
     near = near_links(candidates).select("place.doc_id", "place.text_key", "place.line")
-    return copies.unionByName(near).distinct()
+    gone = written(copies.unionByName(near).distinct(), "lines-gone")
+    discard(copies, wanted, candidates)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
