@@ -113,9 +113,9 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) ->
                     + IF(leads AND element_at(w, -1).s = 0, 0L, system_tokens) <= {budget},
                 w,
                 concat(w, array(struct(
-                    coalesce(element_at(filter(sequence(IF(leads, 1, 0), i), j ->
+                    coalesce(get(filter(sequence(IF(leads, 1, 0), i), j ->
                         token_sums[i] - token_sums[j] <= {history}
-                        AND system_tokens + token_sums[i + 1] - token_sums[j] <= {budget}), 1), i) AS h,
+                        AND system_tokens + token_sums[i + 1] - token_sums[j] <= {budget}), 0), i) AS h,
                     i AS s)))))"""
         ),
     )
