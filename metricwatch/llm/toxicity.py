@@ -129,7 +129,7 @@ def fit(texts: DataFrame, known: DataFrame, settings: Settings) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [(i, t, y) for b in batches for i, t, y in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist())]
         known.sort()
-        weight, bias = _descend([(text_counts(t, settings), y) for _, t, y in known], ratio, prior, settings)
+        weight, bias = _descend([t for _, t, _ in known], [y for _, _, y in known], ratio, prior, settings)
         yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], ["weight", "bias"])
 
     found = rows.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "weight binary, bias double").first()
@@ -138,26 +138,33 @@ def fit(texts: DataFrame, known: DataFrame, settings: Settings) -> Model:
     return Model(gain.astype(np.float32), np.abs(ratio).astype(np.float32), found["bias"] if found else prior)
 
 
-def _descend(rows: list, ratio: np.ndarray, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
-    weight = np.zeros(len(ratio))
-    labels = np.array([min(max(y, 0), 1) for _, y in rows], dtype=float)
+def _descend(texts: list[bytes], marks: list[int], ratio: np.ndarray, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias; features are held in blocks of texts, 12 bytes a text's n-gram."""
+    weight, speed = np.zeros(len(ratio)), np.full(len(ratio), 1e-12)
+    labels = np.clip(np.array(marks, dtype=float), 0, 1)
     if not len(labels) or labels.min() == labels.max():
         return weight, prior
-    buckets = np.concatenate([b for (b, _), _ in rows])
-    scaled = [n * ratio[b] for (b, n), _ in rows]
-    values = np.concatenate([settings.scale * v / max(np.abs(v).sum(), 1e-9) for v in scaled])
-    row = np.repeat(np.arange(len(rows)), [len(v) for v in scaled])
-    used, at = np.unique(buckets, return_inverse=True)
-    own, speed = np.zeros(len(used)), np.full(len(used), 1e-12)
+    blocks = []
+    for at in range(0, len(texts), 128):
+        counts = [text_counts(t, settings) for t in texts[at : at + 128]]
+        scaled = [n * ratio[b] for b, n in counts]
+        blocks.append((
+            np.concatenate([b for b, _ in counts]).astype(np.int32),
+            np.concatenate([settings.scale * v / max(np.abs(v).sum(), 1e-9) for v in scaled]).astype(np.float32),
+            np.repeat(np.arange(len(counts), dtype=np.int32), [len(v) for v in scaled]),
+            labels[at : at + 128],
+        ))
     bias, bias_speed = prior, 1e-12
     for _ in range(settings.rounds):
-        error = 1 / (1 + np.exp(-np.bincount(row, values * own[at], len(rows)) - bias)) - labels
-        slope = np.bincount(at, values * error[row], len(used)) / len(rows) + settings.penalty * own
+        slope, bias_slope = settings.penalty * weight, 0.0
+        for buckets, values, row, own in blocks:
+            error = 1 / (1 + np.exp(-np.bincount(row, values * weight[buckets], len(own)) - bias)) - own
+            slope += np.bincount(buckets, values * error[row], len(weight)) / len(labels)
+            bias_slope += error.sum() / len(labels)
         speed += slope * slope
-        own -= 0.5 * slope / np.sqrt(speed)
-        bias_speed += error.mean() ** 2
-        bias -= 0.5 * error.mean() / np.sqrt(bias_speed)
-    weight[used] = own
+        weight -= 0.5 * slope / np.sqrt(speed)
+        bias_speed += bias_slope**2
+        bias -= 0.5 * bias_slope / np.sqrt(bias_speed)
     return weight, float(bias)
 
 
