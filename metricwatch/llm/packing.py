@@ -131,8 +131,8 @@ class WordTokens:
                 if len(self.known) + len(new) > self.limit:
                     self.known, new = {}, distinct
                 self.learn(new)
-            known = self.known
-            out += [b"".join([known[w] for w in ws]) for ws in words]
+            known = self.known.__getitem__
+            out += [b"".join(map(known, ws)) for ws in words]
             at = end
         return out
 
