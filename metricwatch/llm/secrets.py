@@ -54,19 +54,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+_SHAPE = {c: "a" if 97 <= c <= 122 else "A" if 65 <= c <= 90 else "0" if 48 <= c <= 57 else "-" for c in range(128)}
+_RUNS = re.compile(r"(.)\1+")
+
+
 def token_features(token: str) -> tuple[int, ...]:
     """Buckets of a token's lower case, shape, alphabet with length, and first letters."""
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^A-Za-z0-9]", "-", re.sub(r"[0-9]", "0", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", token)))))
+    shape = _RUNS.sub(r"\1", token.translate(_SHAPE))[:12] if token.isascii() else "-"
+    digits = 0 if token.isalpha() else sum(c.isdigit() for c in token)
     alphabet = (
-        "hex" if re.fullmatch(r"[0-9a-f]+", token) and re.search(r"[0-9]", token) else
-        "upper" if re.fullmatch(r"[A-Z0-9]+", token) else "letters" if token.isalpha() else "mixed"
+        "hex" if digits and not token.strip("0123456789abcdef") else "upper" if shape.strip("A0") == "" else
+        "letters" if token.isalpha() else "mixed"
     )
-    digits = sum(c.isdigit() for c in token)
-    parts = (
-        token.lower(), shape[:12], f"{alphabet} {min(len(token), 64).bit_length()} {min(digits, 9)} {len(set(token)) * 4 // max(len(token), 1)}",
-        token[:4],
-    )
-    return tuple(zlib.crc32(f"{i} {p}".encode()) % BUCKETS for i, p in enumerate(parts))
+    kind = f"{alphabet} {min(len(token), 64).bit_length()} {min(digits, 9)} {len(set(token)) * 4 // len(token)}"
+    parts = (b"0 " + token.lower().encode(), b"1 " + shape.encode(), b"2 " + kind.encode(), b"3 " + token[:4].encode())
+    return tuple(zlib.crc32(p) % BUCKETS for p in parts)
 
 
 def file_features(text: str) -> tuple[int, ...]:
@@ -98,18 +100,22 @@ class Tagger:
         self.words, self.ids, self.scores, self.n = {}, {}, np.zeros((1 << 14, len(OFFSETS), 3)), 0
 
     def _learn(self, words: list[bytes]) -> None:
+        ids, first, new = self.ids, self.n, []
         for w in words:
-            own = []
-            for token in TOKEN.findall(w.decode("utf-8", "replace")):
-                i = self.ids.get(token)
-                if i is None:
-                    if self.n == len(self.scores):
-                        self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                    i = self.ids[token] = self.n
-                    self.scores[i] = sum(self.field.tokens[:, f, b] for f, b in enumerate(token_features(token)))
-                    self.n += 1
-                own.append(i)
-            self.words[w] = np.array(own, dtype="<i4").tobytes()
+            text = w.decode("utf-8", "replace")
+            tokens = [text] if text.isalpha() and text.isascii() else TOKEN.findall(text)
+            for token in tokens:
+                if token not in ids:
+                    ids[token] = first + len(new)
+                    new.append(token)
+            self.words[w] = b"".join([ids[t].to_bytes(4, "little") for t in tokens])
+        if new:
+            self.n += len(new)
+            while self.n > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            buckets = np.array([token_features(t) for t in new])
+            for f in range(FEATURES):
+                self.scores[first : self.n] += self.field.tokens[:, f, buckets[:, f]].transpose(1, 0, 2)
 
     def chains(self, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all lines, and the number of tokens of each."""
@@ -227,60 +233,41 @@ def fit_field(texts: list[str], settings: Settings) -> Field:
     if not chains:
         return field
     sizes = np.array([len(c[0]) for c in chains])
-    n, longest = len(chains), int(sizes[0])
-    real = np.arange(longest)[None, :] < sizes[:, None]
-    feats = np.zeros((n, longest, FEATURES), dtype=np.int32)
-    tags = np.zeros((n, longest), dtype=np.int8)
-    for i, (rows, own, _) in enumerate(chains):
-        feats[i, : len(rows)], tags[i, : len(rows)] = rows, own
+    n, longest, total = len(chains), int(sizes[0]), int(sizes.sum())
+    chain = np.repeat(np.arange(n), sizes)
+    step = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # Every distinct token once; tokens refer to it.
+    distinct, token = np.unique(np.concatenate([c[0] for c in chains]), axis=0, return_inverse=True)
+    token = token.reshape(-1)
+    tags = np.concatenate([c[1] for c in chains])
     files = np.array([c[2] for c in chains])
-    # Every (offset, feature) reads a flat place of the weights, for the tokens where it exists.
     roles = []
-    for r, offset in enumerate(OFFSETS):
-        here, there = np.nonzero(real)
-        other = there + offset
-        ok = (other >= 0) & (other < sizes[here])
-        at = (here[ok] * longest + there[ok]).astype(np.int64)
-        for f in range(FEATURES):
-            roles.append((r, f, at, feats[here[ok], other[ok], f]))
-    total = int(sizes.sum())
+    for offset in OFFSETS:
+        here = np.flatnonzero((step + offset >= 0) & (step + offset < sizes[chain]))
+        roles.append((here, token[here + offset]))
     active = [int((sizes > t).sum()) for t in range(longest)]
-    gold = np.eye(3)[tags] * real[:, :, None]
+    at = np.cumsum(sizes) - sizes  # place of each chain's first token
     gold_steps = np.zeros((4, 3))
-    np.add.at(gold_steps[3], tags[:, 0], 1)
-    both = real[:, 1:]
-    np.add.at(gold_steps, (tags[:, :-1][both], tags[:, 1:][both]), 1)
+    np.add.at(gold_steps[3], tags[at], 1)
+    inner = np.flatnonzero(step > 0)
+    np.add.at(gold_steps, (tags[inner - 1], tags[inner]), 1)
     speeds = [np.full(x.shape, 1e-8) for x in (field.tokens, field.files, field.steps)]
     for _ in range(settings.rounds):
-        scores = np.zeros((n * longest, 3))
-        for r, f, at, bucket in roles:
-            scores[at] += field.tokens[r, f, bucket]
-        scores = scores.reshape(n, longest, 3)
-        scores += sum(field.files[k, files[:, k]] for k in range(FILE_FEATURES))[:, None, :]
-        ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
-        ahead[:, 0] = scores[:, 0] + field.steps[3]
-        for t in range(1, longest):
-            a = active[t]
-            ahead[:a, t] = scores[:a, t] + np.logaddexp.reduce(ahead[:a, t - 1][:, :, None] + field.steps[:3], axis=1)
-        for t in range(longest - 2, -1, -1):
-            a = active[t + 1]
-            behind[:a, t] = np.logaddexp.reduce((behind[:a, t + 1] + scores[:a, t + 1])[:, None, :] + field.steps[:3], axis=2)
-        whole = np.logaddexp.reduce(ahead[np.arange(n), sizes - 1], axis=1)
-        expected = np.exp(ahead + behind - whole[:, None, None]) * real[:, :, None]
-        steps = np.zeros((4, 3))
-        steps[3] = expected[:, 0].sum(axis=0)
-        for t in range(1, longest):
-            a = active[t]
-            pair = ahead[:a, t - 1][:, :, None] + field.steps[:3] + (scores[:a, t] + behind[:a, t])[:, None, :] - whole[:a, None, None]
-            steps[:3] += np.exp(pair).sum(axis=0)
-        off = (expected - gold).reshape(-1, 3)
+        scores = sum(field.files[k, files[:, k]] for k in range(FILE_FEATURES))[chain]
+        for r, (here, other) in enumerate(roles):
+            own = sum(field.tokens[r, f, distinct[:, f]] for f in range(FEATURES))
+            scores[here] += own[other]
+        expected, steps = _expectations(np.exp(scores - scores.max(axis=1, keepdims=True)), field.steps, at, sizes, active)
+        expected[np.arange(total), tags] -= 1
         slopes = [np.zeros_like(field.tokens), np.zeros_like(field.files), (steps - gold_steps) / total]
-        for r, f, at, bucket in roles:
-            for y in range(3):
-                slopes[0][r, f, :, y] = np.bincount(bucket, off[at, y], BUCKETS) / total
-        per_line = off.reshape(n, longest, 3).sum(axis=1)
-        for k in range(FILE_FEATURES):
-            np.add.at(slopes[1][k], files[:, k], per_line / total)
+        for y in range(3):
+            for r, (here, other) in enumerate(roles):
+                summed = np.bincount(other, expected[here, y], len(distinct)) / total
+                for f in range(FEATURES):
+                    slopes[0][r, f, :, y] = np.bincount(distinct[:, f], summed, BUCKETS)
+            per_chain = np.bincount(chain, expected[:, y], n) / total
+            for k in range(FILE_FEATURES):
+                slopes[1][k, :, y] = np.bincount(files[:, k], per_chain, FILE_BUCKETS)
         slopes[2][[0, 3], INSIDE] = 0
         for own, slope, speed in zip((field.tokens, field.files, field.steps), slopes, speeds):
             slope += settings.penalty * own * (own > NEVER / 2) / 100
@@ -289,6 +276,35 @@ def fit_field(texts: list[str], settings: Settings) -> Field:
     return field
 
 
+def _expectations(potential: np.ndarray, steps: np.ndarray, at: np.ndarray, sizes: np.ndarray, active: list[int]):
+    """Tag probabilities of every token and expected counts of steps, by scaled forward and backward products.
+
+    Chains are ordered by length, so the first ``active[t]`` of them have a token at step t.
+    """
+    move, first = np.exp(steps[:3]), np.exp(steps[3])
+    ahead, behind = np.zeros_like(potential), np.ones_like(potential)
+    ahead[at] = potential[at] * first
+    ahead[at] /= ahead[at].sum(axis=1, keepdims=True)
+    for t in range(1, len(active)):
+        here = at[: active[t]] + t
+        now = (ahead[here - 1] @ move) * potential[here]
+        ahead[here] = now / now.sum(axis=1, keepdims=True)
+    for t in range(len(active) - 1, 0, -1):
+        here = at[: active[t]] + t
+        back = (behind[here] * potential[here]) @ move.T
+        behind[here - 1] = back / back.sum(axis=1, keepdims=True)
+    marginal = ahead * behind
+    marginal /= marginal.sum(axis=1, keepdims=True)
+    counts = np.zeros((4, 3))
+    counts[3] = marginal[at].sum(axis=0)
+    inner = np.ones(len(potential), dtype=bool)
+    inner[at] = False
+    later = np.flatnonzero(inner)
+    pair = ahead[later - 1][:, :, None] * move[None, :, :] * (behind[later] * potential[later])[:, None, :]
+    counts[:3] = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return marginal, counts
+
+
 def fit(texts: DataFrame, settings: Settings) -> Field:
     """Fits on a bounded sample in one task: the texts with the smallest id hashes that match a pattern, and of the others."""
     short = texts.where(F.octet_length("text") <= settings.sample_bytes).select(

@@ -37,7 +37,7 @@ def texts_of(n=150):
         if i % 7 == 0:
             lines.append("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 60))))
         texts.append("\n".join(lines))
-    return texts + [None, "", "\n", "password: token: abcdefgh", "PASSWD=Kabcdefgh", "ſecret=abcdefghi", "z " * 50_000]
+    return texts + [None, "", "\n", "password: token: abcdefgh", "PASSWD=Kabcdefgh", "ſecret=abcdefghi", "z " * 50_000, "a \u00a0 \x85 b \u00a0c"]
 
 
 def test_base_spans():
@@ -54,6 +54,27 @@ def test_viterbi_is_the_best_of_all_taggings():
         assert tuple(secrets.viterbi(scores, steps)) == best
 
 
+def test_expectations_are_those_of_all_taggings():
+    rng = np.random.default_rng(1)
+    sizes = np.array([4, 4, 2, 1])
+    scores, steps = rng.normal(size=(sizes.sum(), 3)), rng.normal(size=(4, 3))
+    at = np.cumsum(sizes) - sizes
+    active = [int((sizes > t).sum()) for t in range(4)]
+    marginal, counts = secrets._expectations(np.exp(scores), steps, at, sizes, active)
+    want, moves = np.zeros_like(marginal), np.zeros((4, 3))
+    for a, n in zip(at, sizes):
+        tags = list(itertools.product(range(3), repeat=n))
+        value = np.array([steps[3, y[0]] + sum(scores[a + t, y[t]] for t in range(n)) + sum(steps[i, j] for i, j in zip(y, y[1:])) for y in tags])
+        share = np.exp(value) / np.exp(value).sum()
+        for y, p in zip(tags, share):
+            moves[3, y[0]] += p
+            for t in range(n):
+                want[a + t, y[t]] += p
+            for i, j in zip(y, y[1:]):
+                moves[i, j] += p
+    assert np.allclose(marginal, want) and np.allclose(counts, moves)
+
+
 def test_lines_left_out_have_no_secret():
     field = secrets.fit_field([t or "" for t in texts_of()], SETTINGS)
     tagger = secrets.Tagger(field, limit=500)
