@@ -1,12 +1,15 @@
 """Secrets: base spans against plain rules, the field against enumeration of all taggings."""
 
+import hashlib
 import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from metricwatch.llm import secrets
+from metricwatch.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, base string, h long"
 SETTINGS = secrets.Settings(sample_rows=200, rounds=40)
@@ -110,3 +113,19 @@ def test_adds_values_that_patterns_miss(spark):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA), SETTINGS).count() == 0
+
+
+def test_query_digests(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{folder}/documents.parquet").to_pylist()}
+    found = queries()["op7_crf_secrets"](spark, folder).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        base = plain_base(texts[r.doc_id])
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        spans = [s for s in r.spans.split(",") if s]
+        assert [s for s in spans if not s.startswith("crf:")] == [s for s in joined.split(",") if s]
+        assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
+    assert any(r.n_assign or r.n_hex or r.n_access for r in found)
