@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours over balanced posting lists with replicated boundary vectors."""
+"""Nearest neighbours over balanced posting lists: a first search of near lists bounds a second one of all within reach."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ class Settings:
     """``sample_rows`` bounds the rows that centroids are fitted on; all rows are indexed.
 
     ``list_rows`` is the length that lists aim at, while the sample has 8 rows a list at least.
+    ``beam`` and ``probe_ratio`` bound the first search of a query only; no result depends on them.
+    ``unit_rows`` and ``unit_queries`` bound what a task of the second search holds.
     """
 
     sample_rows: int = 20_000
@@ -30,6 +32,8 @@ class Settings:
     beam: int = 96
     block_rows: int = 2048
     block_queries: int = 512
+    unit_rows: int = 16_384
+    unit_queries: int = 1024
     seed: int = 5
 
 
@@ -147,10 +151,11 @@ def build_index(rows: DataFrame, settings: Settings) -> Index | None:
 
 
 def posting_lists(rows: DataFrame, index, settings: Settings) -> DataFrame:
-    """``(list, vec_id, v)``: each vector in its nearest centroid's list, and in those of others almost as near.
+    """``(list, vec_id, v, gap, home)``: each vector in its nearest centroid's list, and in those of others almost as near.
 
     A vector near a boundary, where up to ``replicas`` - 1 further centroids are at most
-    ``replica_ratio`` times as far as the nearest, is in all their lists.
+    ``replica_ratio`` times as far as the nearest, is in all their lists.  ``home`` marks one list a
+    vector, and ``gap`` is the distance from the list's centroid.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,17 +166,21 @@ def posting_lists(rows: DataFrame, index, settings: Settings) -> DataFrame:
                 ids, gaps = index.value.search(points, 4 * settings.replicas)
                 taken = (ids >= 0) & (gaps <= settings.replica_ratio * gaps[:, :1])
                 taken[:, settings.replicas :] = False
+                # Distances over the range of doubles find no centroid: such vectors are within reach of every query.
+                taken[:, 0], ids[:, 0] = True, np.maximum(ids[:, 0], 0)
                 row, place = np.nonzero(taken)
                 row_at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row, place]), part.column(0).take(row_at), part.column(1).take(row_at)], ["list", "vec_id", "v"]
+                    [pa.array(ids[row, place]), part.column(0).take(row_at), part.column(1).take(row_at)]
+                    + [pa.array(np.nan_to_num(gaps[row, place], nan=np.inf, posinf=np.inf)), pa.array(place == 0)],
+                    ["list", "vec_id", "v", "gap", "home"],
                 )
 
-    return rows.mapInArrow(run, "list long, vec_id long, v array<double>")
+    return rows.mapInArrow(run, "list long, vec_id long, v array<double>, gap double, home boolean")
 
 
 def probes(queries: DataFrame, index, settings: Settings) -> DataFrame:
-    """``(list, query_id, q)``: the lists whose centroids are at most ``probe_ratio`` times as far as the nearest."""
+    """``(query_id, q, lists)``: the lists whose centroids are at most ``probe_ratio`` times as far as the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,43 +188,93 @@ def probes(queries: DataFrame, index, settings: Settings) -> DataFrame:
                 points = _matrix(part.column(1), index.value.centroids.shape[1])
                 ids, gaps = index.value.search(points, settings.beam)
                 chosen = (ids >= 0) & (gaps <= settings.probe_ratio * gaps[:, :1])
-                row, place = np.nonzero(chosen)
+                lists = [own[take].tolist() for own, take in zip(ids, chosen)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64()))], ["query_id", "q", "lists"]
+                )
+
+    return queries.mapInArrow(run, "query_id long, q array<double>, lists array<long>")
+
+
+def within_reach(asked: DataFrame, index, reach: np.ndarray, unit: np.ndarray) -> DataFrame:
+    """``(list, query_id, q, bound)``: per query of ``asked`` the units with a list that can hold a vector within ``bound``.
+
+    A list can if its centroid is at most ``reach``, the distance of its farthest vector, further
+    away than ``bound``.  ``lists`` of ``asked`` were searched whole and don't count.
+    """
+    units = int(unit.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids = index.value.centroids
+        largest = np.sqrt((centroids * centroids).sum(1).max())
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                points, bound = _matrix(part.column(1), centroids.shape[1]), part.column(3).to_numpy()
+                # Far over the rounding of the distances.
+                slack = 1e-6 * (np.sqrt((points * points).sum(1)) + largest)
+                beyond = _distances(points, centroids) - reach > (bound + slack)[:, None]
+                row, place = np.nonzero(~beyond & (reach >= 0))
+                hit = np.zeros((len(points), units), dtype=np.int64)
+                np.add.at(hit, (row, unit[place]), 1)
+                for i, own in enumerate(part.column(2).to_pylist()):
+                    own = np.array(own, dtype=np.int64)
+                    np.subtract.at(hit[i], unit[own[(reach[own] >= 0) & ~beyond[i, own]]], 1)
+                row, place = np.nonzero(hit)
                 row_at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row, place]), part.column(0).take(row_at), part.column(1).take(row_at)], ["list", "query_id", "q"]
+                    [pa.array(place)] + [part.column(c).take(row_at) for c in (0, 1, 3)], ["list", "query_id", "q", "bound"]
                 )
 
-    return queries.mapInArrow(run, "list long, query_id long, q array<double>")
+    return asked.mapInArrow(run, "list long, query_id long, q array<double>, bound double")
 
 
-def _scan(postings: DataFrame, asked: DataFrame, k: int, settings: Settings) -> DataFrame:
-    """``(query_id, vec_id, score)``: the ``k`` nearest of every block of every list asked for.
+def _scan(postings: DataFrame, asked: DataFrame, k: int, block_rows: int, block_queries: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: the ``k`` nearest within ``bound`` of every block of every list asked for.
 
     Lists are cut into blocks of about ``block_rows`` vectors and their queries into blocks of about
     ``block_queries``, so a pair of blocks fits in a task whatever a list's length.
     """
     pieces = lambda df, rows: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("pieces"))
-    list_pieces = pieces(postings, settings.block_rows).withColumnRenamed("pieces", "blocks")
-    query_pieces = pieces(asked, settings.block_queries).withColumnRenamed("pieces", "turns")
+    list_pieces = pieces(postings, block_rows).withColumnRenamed("pieces", "blocks")
+    query_pieces = pieces(asked, block_queries).withColumnRenamed("pieces", "turns")
     spread = list_pieces.join(query_pieces, "list")
     left = postings.join(spread, "list").select(
         "list", F.expr("pmod(xxhash64(vec_id), blocks)").alias("block"), F.explode(F.expr("sequence(0L, turns - 1L)")).alias("turn"), "vec_id", "v"
     )
     right = asked.join(spread, "list").select(
-        "list", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.expr("pmod(xxhash64(query_id), turns)").alias("turn"), "query_id", "q"
+        "list", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.expr("pmod(xxhash64(query_id), turns)").alias("turn"), "query_id", "q", "bound"
     )
 
     def nearest(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         if rows.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return nothing
         points, ids = np.stack(rows["v"]), rows["vec_id"].to_numpy()
+        repeats = len(np.unique(ids)) < len(ids)
+        norms = (points * points).sum(axis=1)
         out = []
-        for query_id, q in zip(queries["query_id"], queries["q"]):
-            own = ids != query_id
-            score = np.sqrt(((points[own] - q) ** 2).sum(axis=1))
-            at = np.lexsort((ids[own], score))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[own][at], "score": score[at]}))
-        return pd.concat(out)
+        for first in range(0, len(queries), 128):
+            part = queries.iloc[first : first + 128]
+            q, bound = np.stack(part["q"]), part["bound"].to_numpy()
+            own_norms = (q * q).sum(axis=1)
+            # Rough squares by one product; only what may be among the nearest is measured exactly.
+            rough = norms + own_norms[:, None] - 2 * (q @ points.T)
+            slack = 1e-11 * (norms.max() + own_norms)
+            near = ~(rough > (bound**2 + slack)[:, None]) & (ids != part["query_id"].to_numpy()[:, None])
+            for i in np.flatnonzero(near.any(axis=1)):
+                at = np.flatnonzero(near[i])
+                if len(at) > k and not repeats:
+                    kth = np.partition(rough[i, at], k - 1)[k - 1]
+                    at = at[~(rough[i, at] > kth + 2 * slack[i])]
+                score = np.sqrt(((points[at] - q[i]) ** 2).sum(axis=1))
+                order = np.lexsort((ids[at], score))
+                if repeats:
+                    order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+                order = order[:k]
+                out.append((np.full(len(order), part["query_id"].iloc[i]), ids[at][order], score[order]))
+        if not out:
+            return nothing
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*out))})
 
     keys = ["list", "block", "turn"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query_id long, vec_id long, score double")
@@ -229,11 +288,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def nearest(embeddings: DataFrame, is_query, k: int = 10, settings: Settings = Settings(), id_column: str = "vec_id",
             vector: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each vector where ``is_query`` its ``k`` nearest others found.
+    """``(query_id, rank, vec_id, score)``: for each vector where ``is_query`` its ``k`` nearest others.
 
     Scores are Euclidean distances in double precision; ties go to the smaller id.  Each query
-    searches the lists near it; one that meets fewer than ``k`` vectors there searches all lists, so
-    it returns fewer only if there are no more.
+    searches the lists near it, then all others that can hold a vector as near as its ``k``-th (all
+    lists if it met fewer than ``k``), so the result is exact.  Where distances hardly differ, as
+    in many dimensions without clusters, that is most lists: the work grows with queries times rows.
 
     Vectors that are null, empty, zero, of an uncommon length, hold null or non-finite components
     or have a null id take no part.  Rows that share an id count as one candidate, at the smallest
@@ -245,14 +305,24 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10, settings: Settings = S
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     index = rows.sparkSession.sparkContext.broadcast(fitted)  # as bounded as the sample
     postings = written(posting_lists(rows, index, settings), "neighbours-lists")
-    queries = rows.where(is_query)
-    first = written(_best(_scan(postings, probes(queries, index, settings), k, settings), k), "neighbours-found")
-    enough = first.where(F.col("rank") == k).select("query_id")
-    short = written(queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti"), "neighbours-short")
-    if short.isEmpty():
+    asked = written(probes(rows.where(is_query), index, settings), "neighbours-asked")
+    probed = asked.select(F.explode("lists").alias("list"), "query_id", "q", F.lit(float("inf")).alias("bound"))
+    first = written(_best(_scan(postings, probed, k, settings.block_rows, settings.block_queries), k), "neighbours-found")
+
+    home = postings.where("home")
+    sizes = home.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("reach")).orderBy("list").collect()  # as bounded as the sample
+    reach, length = np.full(len(fitted.centroids), -1.0), np.zeros(len(fitted.centroids), dtype=np.int64)
+    for r in sizes:
+        reach[r["list"]], length[r["list"]] = r["reach"], r["n"]
+    # Neighbouring lists make up units of about as many rows.
+    unit_rows = min(max(int(length.sum()) // 64, settings.block_rows), settings.unit_rows)
+    unit = np.unique((np.cumsum(length) - length) // unit_rows, return_inverse=True)[1]
+    bounds = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    bounded = asked.join(bounds, "query_id", "left").select("query_id", "q", "lists", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    wider = within_reach(bounded, index, reach, unit)
+    if wider.isEmpty():
         return first
-    everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(fitted.centroids) - 1)))).select(
-        F.col("list").cast("long").alias("list"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")
-    )
-    again = _best(_scan(postings, everywhere, k, settings), k)
-    return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    units = rows.sparkSession.createDataFrame([(i, int(u)) for i, u in enumerate(unit)], "list long, unit long")
+    held = home.join(F.broadcast(units), "list").select(F.col("unit").alias("list"), "vec_id", "v")
+    again = _scan(held, wider, k, unit_rows, settings.unit_queries)
+    return _best(first.select("query_id", "vec_id", "score").unionByName(again), k)

@@ -65,3 +65,18 @@ def test_small_odd_and_hot(spark):
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(k + 1, i) for k, (_, i) in enumerate(exact)]
     assert neighbours.nearest(df.where("vec_id = 2"), F.lit(True)).count() == 0
     assert neighbours.nearest(df.where("vec_id IN (100, 200)"), F.lit(True)).count() == 0
+
+
+def test_no_neighbour_is_lost_when_few_lists_are_probed(spark):
+    rng = np.random.default_rng(2)
+    rows = rng.standard_normal((4000, 32))
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(4000)
+    ids[3500:3600] = 7  # one candidate, whatever its rows
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, rows)], "vec_id long, embedding array<float>")
+    found = {}
+    settings = neighbours.Settings(list_rows=16, beam=12)
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0, settings=settings).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    exact = brute(rows.astype(float), ids, ids[ids % 100 == 0])
+    assert {q: [i for _, i in sorted(own)] for q, own in found.items()} == {q: [i for _, i in best] for q, best in exact.items()}
