@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricwatch.sources import written
+
 # The template's control strings, and others that a text must not contain unescaped.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTROLS = r"([<\[])(?=\|im_start\||\|im_end\||/?s>|/?INST\]|/?<?/?SYS>|\|endoftext\||\|startoftext\|)"
@@ -36,8 +40,12 @@ def unescaped_role(role: Column) -> Column:
     return role
 
 
+def _block() -> Column:
+    return F.coalesce(F.floor(F.col("turn").cast("long") / BLOCK), F.lit(-(2**62)))
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
-    """One row per conversation and block of turn numbers, with its turns in order and their prefix sums."""
+    """One row per conversation and block of turn numbers, with its turns in order."""
     body = escaped(F.col("text"))
     header = F.concat(F.lit(OPEN), escaped_role(F.col("role")), F.lit("\n"))
     plain = conversations.select(
@@ -49,7 +57,7 @@ def _turns(conversations: DataFrame) -> DataFrame:
     pieces = plain.withColumn("body", body).withColumn("header", header).withColumn(
         "piece", F.concat("header", "body", F.lit(CLOSE + "\n"))
     )
-    blocks = pieces.groupBy("conv_id", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).alias("block")).agg(
+    return pieces.groupBy("conv_id", _block().alias("block")).agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
@@ -62,29 +70,90 @@ def _turns(conversations: DataFrame) -> DataFrame:
             )
         ).alias("turns")
     )
-    sums = "aggregate(turns, array(0L), (a, t) -> concat(a, array(element_at(a, -1) + t.{})))"
-    return blocks.withColumn("token_sums", F.expr(sums.format("tokens"))).withColumn("char_sums", F.expr(sums.format("chars")))
 
 
-def _with_system(blocks: DataFrame) -> DataFrame:
-    """Adds the conversation's leading system turn: ``leads`` where it stands, ``system`` where it is to be repeated."""
-    heads = blocks.groupBy("conv_id").agg(F.min("block").alias("first")).select(F.col("conv_id").alias("__conv"), "first")
-    own = blocks.join(heads, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
-    leading = own.where("block = first AND turns[0].role = 'system'").select(
+def _with_system(blocks: DataFrame, order: DataFrame) -> DataFrame:
+    """Adds the block's number ``step`` of ``steps`` and the conversation's leading system turn.
+
+    ``leads`` is set where the system turn stands, ``system`` where it is to be repeated.
+    """
+    places = order.select(F.col("conv_id").alias("__conv"), F.col("block").alias("__block"), "step", "steps")
+    own = blocks.join(places, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("block") == F.col("__block"))).drop("__conv", "__block")
+    leading = own.where("step = 1 AND turns[0].role = 'system'").select(
         F.col("conv_id").alias("__conv"),
         F.expr("turns[0].piece").alias("system"),
         F.expr("turns[0].tokens").cast("long").alias("system_tokens"),
         F.expr("turns[0].chars").cast("long").alias("system_chars"),
     )
     return own.join(leading, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").select(
-        "conv_id", "block", "turns", "token_sums", "char_sums",
+        "conv_id", "block", "step", "steps", "turns",
         F.coalesce("system", F.lit("")).alias("system"),
         F.coalesce("system_tokens", F.lit(0)).alias("system_tokens"),
         F.coalesce("system_chars", F.lit(0)).alias("system_chars"),
-        (F.col("system").isNotNull() & (F.col("block") == F.col("first"))).alias("leads"),
+        (F.col("system").isNotNull() & (F.col("step") == 1)).alias("leads"),
     )
 
 
+def _starts(blocks: DataFrame, budget: int, history: int) -> DataFrame:
+    """Adds prefix sums and ``starts``, the windows' first turn ``h`` and first new turn ``s``.
+
+    ``turns`` begin with ``known`` turns of the block before, whose last window is open: it starts at
+    ``open``.  The first window has the system turn as a new turn; later ones repeat it before turns h, h + 1, ...
+    """
+    sums = "aggregate(turns, array(0L), (a, t) -> concat(a, array(element_at(a, -1) + t.{})))"
+    summed = blocks.withColumn("token_sums", F.expr(sums.format("tokens"))).withColumn("char_sums", F.expr(sums.format("chars")))
+    return summed.withColumn(
+        "starts",
+        F.expr(
+            f"""aggregate(sequence(known, size(turns) - 1), array(open),
+            (w, i) -> IF(
+                i = 0 OR token_sums[i + 1] - token_sums[element_at(w, -1).h]
+                    + IF(leads AND element_at(w, -1).s = 0, 0L, system_tokens) <= {budget},
+                w,
+                concat(w, array(struct(
+                    coalesce(get(filter(sequence(IF(leads, 1, 0), i), j ->
+                        token_sums[i] - token_sums[j] <= {history}
+                        AND system_tokens + token_sums[i + 1] - token_sums[j] <= {budget}), 0), i) AS h,
+                    i AS s)))))"""
+        ),
+    )
+
+
+def _chained(blocks: DataFrame, steps: int, budget: int, history: int) -> DataFrame:
+    """``_starts`` of conversations of several blocks, one block after the other.
+
+    A block's last window stays open: the next block begins with its turns, and with those that a
+    window's history can reach.  Each has a few tokens of the template, so these are few.
+    """
+    rest = written(blocks, "chat-blocks")
+    done, state = [], None
+    for step in range(1, steps + 1):
+        own = rest.where(F.col("step") == step)
+        if state is None:
+            own = own.withColumn("known", F.lit(0)).withColumn("open", F.expr("struct(0 AS h, 0 AS s)"))
+        else:
+            own = own.drop("leads").join(state, F.col("conv_id").eqNullSafe(F.col("__conv"))).withColumns(
+                {"turns": F.expr("concat(tail, turns)"), "known": F.expr("size(tail)")}
+            ).drop("__conv", "tail")
+        now = written(_starts(own, budget, history), "chat-step")
+        done.append(now)
+        # From the open window's first turn, or from the first one within a window's history if that is earlier.
+        reach = now.where("step < steps").withColumn("last", F.expr("element_at(starts, -1)")).withColumn(
+            "cut",
+            F.expr(
+                f"""least(last.h, coalesce(get(filter(sequence(IF(leads, 1, 0), size(turns)), j ->
+                token_sums[size(turns)] - token_sums[j] <= {history}), 0), size(turns)))"""
+            ),
+        )
+        state = reach.select(
+            F.col("conv_id").alias("__conv"),
+            F.expr("slice(turns, cut + 1, size(turns) - cut)").alias("tail"),
+            F.expr("struct(last.h - cut AS h, last.s - cut AS s)").alias("open"),
+            F.expr("leads AND cut = 0").alias("leads"),
+        )
+    return reduce(DataFrame.unionByName, done)
+
+
 def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
     """Windows of whole turns: ``conv_id, block, window, formatted, loss, repeated, turns, tokens``.
 
@@ -96,32 +165,30 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) ->
     Every turn is new in exactly one window.  ``loss`` are the (start, length) spans, in code points of
     ``formatted``, of new assistant texts; repeated turns, headers and marks are outside the mask.
     ``repeated`` counts the turns at the window's beginning that an earlier window has.
-    History does not reach over a block of 1024 turn numbers.
+    Blocks of 1024 turn numbers are handled one after the other; windows and history reach over their edges,
+    and a window's ``block`` is the one in which the next window starts, or the last.
 
     Null texts and roles are empty ones; a null conv_id is one conversation; null turns come
     first.  Repeated rows are turns of their own.  An empty table gives an empty result; other
     columns are ignored.
     """
-    blocks = _with_system(_turns(conversations))
-    # The first window has the system turn as a new turn; later ones repeat it before turns h, h + 1, ...
-    starts = blocks.withColumn(
-        "starts",
-        F.expr(
-            f"""aggregate(sequence(0, size(turns) - 1), array(struct(0 AS h, 0 AS s)),
-            (w, i) -> IF(
-                i = 0 OR token_sums[i + 1] - token_sums[element_at(w, -1).h]
-                    + IF(leads AND element_at(w, -1).s = 0, 0L, system_tokens) <= {budget},
-                w,
-                concat(w, array(struct(
-                    coalesce(get(filter(sequence(IF(leads, 1, 0), i), j ->
-                        token_sums[i] - token_sums[j] <= {history}
-                        AND system_tokens + token_sums[i + 1] - token_sums[j] <= {budget}), 0), i) AS h,
-                    i AS s)))))"""
-        ),
-    )
+    pairs = conversations.select("conv_id", _block().alias("block")).distinct()
+    within = Window.partitionBy("conv_id")
+    order = pairs.withColumn("step", F.row_number().over(within.orderBy("block"))).withColumn("steps", F.count(F.lit(1)).over(within))
+    most = order.agg(F.max("steps")).first()[0] or 1
+    blocks = _with_system(_turns(conversations), order)
+    single = blocks.where("steps = 1").withColumn("known", F.lit(0)).withColumn("open", F.expr("struct(0 AS h, 0 AS s)"))
+    starts = _starts(single, budget, history)
+    if most > 1:
+        starts = starts.unionByName(_chained(blocks.where("steps > 1"), most, budget, history))
     each = starts.select(
         "conv_id", "block", "turns", "char_sums", "token_sums", "system", "system_tokens", "system_chars", "leads",
-        F.posexplode(F.expr("transform(starts, (w, k) -> struct(w.h AS h, w.s AS s, coalesce(get(starts, k + 1).s, size(turns)) AS e))")).alias("window", "w"),
+        F.posexplode(
+            F.expr(
+                "transform(IF(step < steps, slice(starts, 1, size(starts) - 1), starts),"
+                " (w, k) -> struct(w.h AS h, w.s AS s, coalesce(get(starts, k + 1).s, size(turns)) AS e))"
+            )
+        ).alias("window", "w"),
     ).withColumn("again", F.expr("system <> '' AND NOT (leads AND w.s = 0)"))
     offset = "IF(again, system_chars, 0L)"
     return each.select(

@@ -90,3 +90,35 @@ def test_escape_is_reversible(spark):
     for r in back.collect():
         assert r.t == r.b == r.r
         assert not re.search(r"<\|im_(start|end)\|>|\[/?INST\]|</?s>", r.e)
+
+
+def plain_windows(turns, budget, history):
+    """Strings of a conversation's windows, turn by turn, without blocks."""
+    pieces = [f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in turns]
+    cost = [len(TOKEN.findall(p)) for p in pieces]
+    led = turns[0][0] == "system"
+    again = cost[0] if led else 0
+    out, h, s = [], 0, 0
+    for i in range(1, len(turns) + 1):
+        if i < len(turns) and sum(cost[h : i + 1]) + (0 if led and s == 0 else again) <= budget:
+            continue
+        out.append((pieces[0] if led and s else "") + "".join(pieces[h:i]))
+        if i < len(turns):
+            fits = (j for j in range(led, i) if sum(cost[j:i]) <= history and again + sum(cost[j : i + 1]) <= budget)
+            h, s = next(fits, i), i
+    return out
+
+
+def test_windows_reach_over_blocks(spark):
+    rng = random.Random(5)
+    rows = []
+    for c, first in enumerate((0, 1020, 0)):
+        for t in range(first, first + 2100):
+            role = "system" if c == 0 and t == first else ["user", "assistant"][t % 2]
+            rows.append((c, t, role, " ".join(["word"] * (rng.randint(0, 150) if t % 40 == 23 else rng.randint(0, 12))), 1, 2))
+    rows += [(3, 0, "system", "rules", 1, 2)] + [(3, t, "user", "hi", 1, 2) for t in range(1022, 1026)] + [(4, None, "user", "a", 1, 2), (4, 0, "assistant", "b", 1, 2)]
+    turns = ordered(rows)
+    own = {}
+    for w in chat.windows(spark.createDataFrame(rows, SCHEMA), 200, 60).collect():
+        own.setdefault(w.conv_id, []).append((w.block, w.window, w.formatted))
+    assert {c: [f for _, _, f in sorted(x)] for c, x in own.items()} == {c: plain_windows(x, 200, 60) for c, x in turns.items()}
