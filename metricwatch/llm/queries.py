@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from metricwatch.llm import chat, line_dedup, line_quality, mixing, neighbours, packing, secrets, simhash, sql, suffixes, toxicity
+from metricwatch.llm import chat, divergence, line_dedup, line_quality, mixing, neighbours, packing, secrets, simhash, sql, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -103,5 +103,10 @@ def op10_suffix_radix_dedup(spark, sf_dir):
     )
 
 
+@query
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(sql.TWINS)

@@ -167,7 +167,41 @@ SELECT d.doc_id, CASE WHEN r.cut THEN r.text ELSE d.text END AS text, d.lang, d.
 FROM documents d LEFT JOIN rebuilt r ON r.doc_id IS NOT DISTINCT FROM d.doc_id
 """
 
+_DIVERGENCE = r"""
+WITH given AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), tokens AS (
+    SELECT lang, source, row, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM given
+), vocabulary AS (
+    SELECT lang, term, count(*) AS total FROM tokens GROUP BY ALL HAVING count(DISTINCT row) >= 30
+), langs AS (
+    SELECT lang, count(*) AS v, sum(total) AS n FROM vocabulary GROUP BY lang
+), counts AS (
+    SELECT lang, source, term, count(*) AS c FROM tokens JOIN vocabulary USING (lang, term) GROUP BY ALL
+), sized AS (
+    SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM given) g
+    LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), shares AS (
+    SELECT s.lang, s.source, term, coalesce(c, 0) AS c,
+        1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (s.n + 5 * l.v) AS p,
+        1 + (1000000000::HUGEINT * (w.total + 5)) // (l.n + 5 * l.v) AS q
+    FROM sized s JOIN langs l USING (lang) JOIN vocabulary w USING (lang) LEFT JOIN counts USING (lang, source, term)
+), apart AS (
+    SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS f FROM shares a JOIN shares b USING (lang, term) GROUP BY ALL
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM sized a JOIN sized b USING (lang)
+    LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.other = b.source WHERE a.source <> b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE c > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 TWINS = {
+    "op11_source_divergence": _DIVERGENCE,
     "op1_line_dedup": _LINES,
     "op10_suffix_radix_dedup": _REPEATS,
     "op3_poisson_mix": _MIX,
