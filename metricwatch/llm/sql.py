@@ -200,7 +200,46 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 QUALIFY part = 'pair' OR rank <= 50
 """
 
+_PERIODS = r"""
+WITH given AS (
+    SELECT row_number() OVER () AS row, doc_id, {words} AS words,
+        -- CRC-32 of the decimal digits: eight shifts a byte, the reversed polynomial where a one falls out.
+        xor(4294967295, list_reduce(
+            list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ord(c)::BIGINT)),
+            lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+        )) AS h
+    FROM documents
+), sized AS (
+    SELECT *, len(words) AS n, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM given
+), placed AS (
+    SELECT row, n, i, words[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) ELSE i END] AS word
+    FROM (SELECT *, unnest(range(n)) AS i FROM sized)
+), again AS (
+    SELECT x.row, x.i, y.i - x.i AS q FROM placed x JOIN placed y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+    SELECT row, q AS period, min(i) AS start, count(*) + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM again) GROUP BY row, q, island
+    HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+    SELECT * FROM stretches s WHERE NOT EXISTS (
+        SELECT 1 FROM stretches t WHERE t.row = s.row AND t.period < s.period AND t.start <= s.start AND t.start + t.length >= s.start + s.length
+    )
+), listed AS (
+    SELECT row, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS list,
+        arg_min({'s': start, 'l': length, 'p': period}, {'r': -length / period, 's': start, 'p': period}) AS best
+    FROM runs GROUP BY row
+), kept AS (
+    SELECT row, string_agg(word, ' ' ORDER BY i) AS text FROM placed p
+    WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.row = p.row AND p.i >= r.start + r.period AND p.i < r.start + r.length) GROUP BY row
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period,
+    (1000 * best.l // best.p)::BIGINT AS exponent_milli, sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM sized LEFT JOIN listed USING (row) LEFT JOIN kept USING (row)
+""".replace("{words}", _WORDS)
+
 TWINS = {
+    "op12_periodic_runs": _PERIODS,
     "op11_source_divergence": _DIVERGENCE,
     "op1_line_dedup": _LINES,
     "op10_suffix_radix_dedup": _REPEATS,
