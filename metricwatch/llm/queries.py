@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from metricwatch.llm import chat, divergence, line_dedup, line_quality, mixing, neighbours, packing, periods, secrets, simhash, sql, suffixes, toxicity
+from metricwatch.llm import chat, divergence, extraction, line_dedup, line_quality, mixing, neighbours, packing, periods, secrets, simhash, sql, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -113,5 +113,10 @@ def op12_periodic_runs(spark, sf_dir):
     return periods.periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("runs", "collapsed")
 
 
+@query
+def op13_html_extraction(spark, sf_dir):
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(sql.TWINS)

@@ -238,7 +238,22 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, b
 FROM sized LEFT JOIN listed USING (row) LEFT JOIN kept USING (row)
 """.replace("{words}", _WORDS)
 
+# The pages of the given tables have one article each, so SQL can cut it out.
+_PAGES = r"""
+WITH cut AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS inside FROM pages
+), plain AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(inside, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS text FROM cut
+), decoded AS (
+    SELECT page_id, url, regexp_replace(replace(text, '&quot;', '"'), '&amp;?', '&', 'g') AS text FROM plain
+), done AS (
+    SELECT page_id, url, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS text FROM decoded
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM done
+"""
+
 TWINS = {
+    "op13_html_extraction": _PAGES,
     "op12_periodic_runs": _PERIODS,
     "op11_source_divergence": _DIVERGENCE,
     "op1_line_dedup": _LINES,
