@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricwatch.operators.ranking import quantiles, value_counts
+from metricwatch.operators.selection import column_quantiles
 
 FORECAST_MEASURES = ("trend", "yhat", "yhat_lower", "yhat_upper", "fact")
 
@@ -44,27 +45,23 @@ def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("value").isNotNull())
 
 
-def describe(df: DataFrame, columns: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles and max of numeric columns: ``(column, stat, value)``.
 
-    Quartiles are exact and interpolated; see :mod:`metricwatch.operators.ranking` for how
-    they are found without gathering a column.
+    Quartiles are exact and interpolated; see :mod:`metricwatch.operators.selection`.  Columns without
+    values give no rows.  The columns are read a few times, so they are kept while this runs;
+    only counts and single values are shuffled.
     """
     columns = columns or numeric_columns(df)
-    # Moments combine inside the scan's tasks; only the quartiles shuffle values, merged and counted.
+    named = {f"c{i}": c for i, c in enumerate(columns)}
+    cells = df.select(*[F.col(f"`{c}`").cast("double").alias(k) for k, c in named.items()]).persist(StorageLevel.MEMORY_AND_DISK)
     moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    one = df.agg(
-        *[F.struct(*[f(F.col(c).cast("double")).cast("double").alias(m) for m, f in moments.items()]).alias(c) for c in columns]
-    )
-    long = (
-        one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("m")) for c in columns])).alias("c"))
-        .select("c.column", "c.m.*")
-        .where("count > 0")
-        .unpivot("column", list(moments), "stat", "value")
-    )
-    counted = value_counts(unpivot(df, columns), ["column"], "value", partitions)
-    quartiles = quantiles(counted, ["column"], "value", {"25%": 0.25, "50%": 0.5, "75%": 0.75})
-    return long.unionByName(quartiles)
+    one = cells.agg(*[F.struct(*[f(k).cast("double").alias(m) for m, f in moments.items()]).alias(k) for k in named]).head()
+    counts = {k: int(one[k]["count"]) for k in named}
+    rows = [(k, m, one[k][m]) for k in named if counts[k] for m in moments]
+    rows += column_quantiles(cells, counts, {"25%": 0.25, "50%": 0.5, "75%": 0.75})
+    cells.unpersist()
+    return df.sparkSession.createDataFrame([(named[k], *r) for k, *r in rows], "column string, stat string, value double")
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
