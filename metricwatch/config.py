@@ -182,6 +182,8 @@ ANOMALY_TREND = TrendConfig(interval_width=0.8)
 YEAR_AHEAD_TREND = TrendConfig(interval_width=0.7, yearly_order=10)
 # Budget forecast up to a fixed date.
 BUDGET_TREND = TrendConfig(interval_width=0.95, yearly_order=10, changepoint_prior=0.11)
+# A straight line with its noise band.
+LINE_TREND = TrendConfig(n_changepoints=0, weekly_order=0)
 # Stiffer trend, tried as an alternative.
 STIFF_TREND = TrendConfig(n_changepoints=10, changepoint_prior=0.01, yearly_order=10)
 

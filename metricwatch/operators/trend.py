@@ -138,39 +138,69 @@ def _cross_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out)
 
 
-def _map_solution(gram, xty, yty, n, inverse_scale, laplace, rounds=500):
-    """MAP coefficients, noise scale and whether they converged, by majorise-minimise steps.
+def _penalised_minimum(a, b, ridge, rate, beta):
+    """Minimum of x'ax/2 - b'x + sum(ridge x^2)/2 + sum(rate |x|), by coordinate descent and an exact last step.
 
-    |d| is bounded above by (d*d/w + w)/2 with w the last |d|, which turns each round
-    into one ridge system; the noise step is the root of its own stationarity condition.
+    Descent finds which coefficients are zero and the signs of the others; with these fixed the
+    minimum is one linear system.  It is taken if it keeps the signs and no zero
+    coefficient's gradient exceeds its rate, which is the condition of the optimum.
     """
-    p = len(xty)
-    weight = np.where(laplace, 1.0, 0.0)
-    sigma2 = max(yty / n, 1e-8)
-    last = np.inf
-    beta = np.zeros(p)
-    converged = False
+    full = a + np.diag(ridge)
+    diagonal = np.maximum(np.diag(full), 1e-300)
+    gradient = full @ beta - b
+    slack = 1e-9 * (np.abs(b) + rate + 1e-12)
+    for sweep in range(20_000):
+        largest = 0.0
+        for j in range(len(b)):
+            pull = beta[j] * diagonal[j] - gradient[j]
+            new = np.sign(pull) * max(abs(pull) - rate[j], 0.0) / diagonal[j]
+            if new != beta[j]:
+                gradient += full[:, j] * (new - beta[j])
+                largest = max(largest, abs(new - beta[j]) * np.sqrt(diagonal[j]))
+                beta[j] = new
+        if sweep % 10 == 0 or largest == 0.0:
+            used = (beta != 0) | (rate == 0)
+            exact = np.zeros(len(b))
+            exact[used] = np.linalg.lstsq(full[np.ix_(used, used)], b[used] - rate[used] * np.sign(beta[used]), rcond=None)[0]
+            if _is_optimal(full, b, rate, exact, slack):
+                return exact, True
+            if largest == 0.0:
+                break
+            gradient = full @ beta - b
+    return beta, _is_optimal(full, b, rate, beta, 1e3 * slack)
+
+
+def _is_optimal(full, b, rate, beta, slack) -> bool:
+    """Whether zero is a subgradient at ``beta``."""
+    gradient = full @ beta - b
+    at_zero = np.abs(gradient) <= rate + slack
+    elsewhere = np.abs(gradient + rate * np.sign(beta)) <= slack
+    return bool(np.all(np.where((beta == 0) & (rate > 0), at_zero, elsewhere)))
+
+
+def _map_solution(gram, xty, yty, n, inverse_scale, laplace, rounds=2000):
+    """MAP coefficients, noise scale and whether they are an optimum.
+
+    For a given noise the coefficients are the minimum of a convex function; the noise step is the
+    root of its own stationarity condition.  More noise gives more residue and more residue
+    more noise, so from the largest value the noise falls to its fixed point.
+    """
+    ridge, rate = np.where(laplace, 0.0, inverse_scale), np.where(laplace, inverse_scale, 0.0)
+    beta, found = np.zeros(len(xty)), False
+    sigma2 = max((np.sqrt(n * n + 16 * yty) - n) / 8, 1e-10)
     for _ in range(rounds):
-        penalty = np.where(laplace, inverse_scale / np.maximum(weight, 1e-9), inverse_scale)
-        beta = np.linalg.solve(gram / sigma2 + np.diag(penalty), xty / sigma2)
-        weight = np.where(laplace, np.abs(beta), 0.0)
+        beta, found = _penalised_minimum(gram / sigma2, xty / sigma2, ridge, rate, beta.copy())
         rss = max(yty - 2 * beta @ xty + beta @ gram @ beta, 0.0)
-        sigma2 = max((np.sqrt(n * n + 16 * rss) - n) / 8, 1e-10)
-        loss = (
-            n / 2 * np.log(sigma2) + rss / (2 * sigma2) + 2 * sigma2
-            + np.sum(np.where(laplace, inverse_scale * np.abs(beta), inverse_scale * beta**2 / 2))
-        )
-        if abs(last - loss) <= 1e-9 * (1 + abs(loss)):
-            converged = True
-            break
-        last = loss
-    return beta, float(np.sqrt(sigma2)), converged
+        last, sigma2 = sigma2, max((np.sqrt(n * n + 16 * rss) - n) / 8, 1e-10)
+        if abs(last - sigma2) <= 1e-9 * last:
+            return beta, float(np.sqrt(sigma2)), found
+    return beta, float(np.sqrt(sigma2)), False
 
 
-def _solver(cfg: TrendConfig):
+def penalties(cfg: TrendConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Prior precision of each coefficient, for slope changes the Laplace rate, and which are slope changes."""
     n_cp = cfg.n_changepoints
     seasonal = design_width(cfg) - 2 - n_cp
-    # Prior precision of each coefficient; for slope changes the Laplace rate.
     inverse_scale = np.concatenate(
         [
             np.full(2, 1 / 5.0**2),
@@ -178,7 +208,11 @@ def _solver(cfg: TrendConfig):
             np.full(seasonal, 1 / cfg.seasonality_prior**2),
         ]
     )
-    laplace = np.concatenate([np.zeros(2, bool), np.ones(n_cp, bool), np.zeros(seasonal, bool)])
+    return inverse_scale, np.concatenate([np.zeros(2, bool), np.ones(n_cp, bool), np.zeros(seasonal, bool)])
+
+
+def _solver(cfg: TrendConfig):
+    inverse_scale, laplace = penalties(cfg)
 
     def solve(parts: pd.DataFrame) -> pd.DataFrame:
         full = parts[parts["n_obs"] > 0]
@@ -217,6 +251,41 @@ def _fit(rows: DataFrame, cfg: TrendConfig) -> DataFrame:
     return partial.groupBy("series").applyInPandas(_solver(cfg), MODEL_SCHEMA)
 
 
+def fit_gradients(series: DataFrame, models: DataFrame, cfg: TrendConfig) -> DataFrame:
+    """How far each coefficient of a fit is from its optimum: ``(series, term, beta, slope, room, optimal)``.
+
+    Computed from the rows, not from the fit's sums.  ``slope`` is the derivative of the squared errors and
+    normal priors; a slope change adds its Laplace rate with its sign, and at zero has that rate as
+    ``room``.  ``optimal`` allows a millionth of the summed sizes of the derivative's parts.
+    """
+    inverse_scale, laplace = penalties(cfg)
+    x = design_row(F.col("t"), F.col("ds"), F.col("changepoints"), cfg)
+    rows = series.select("series", "ds", F.col("y").cast("double").alias("y")).where("y IS NOT NULL").join(
+        models.where(F.col("beta").isNotNull()), "series"
+    )
+    parts = (
+        rows.withColumn("t", F.datediff("ds", "first_ds") / F.col("span"))
+        .withColumn("x", x)
+        .withColumn("error", _dot(F.col("x"), F.col("beta")) - F.col("y") / F.col("y_scale"))
+        .withColumn("scale", F.col("sigma") * F.col("sigma"))
+        .select("series", "beta", "scale", "error", (F.col("y") / F.col("y_scale")).alias("y"), F.posexplode("x").alias("term", "v"))
+        .groupBy("series", "term")
+        .agg(
+            F.max(F.get("beta", F.col("term"))).alias("beta"),
+            (F.sum(F.col("v") * F.col("error")) / F.max("scale")).alias("pull"),
+            (F.sum(F.abs(F.col("v") * F.col("y"))) / F.max("scale")).alias("size"),
+        )
+    )
+    prior = F.get(F.array(*map(F.lit, inverse_scale.tolist())), F.col("term"))
+    changes = F.get(F.array(*map(F.lit, laplace.tolist())), F.col("term"))
+    zero = F.lit(0.0)
+    judged = parts.withColumn(
+        "slope", F.col("pull") + F.when(changes, prior * F.signum("beta")).otherwise(prior * F.col("beta"))
+    ).withColumn("room", F.when(changes & (F.col("beta") == 0), prior).otherwise(zero))
+    slack = F.lit(1e-6) * (F.col("size") + prior)
+    return judged.select("series", "term", "beta", "slope", "room", (F.abs("slope") <= F.col("room") + slack).alias("optimal"))
+
+
 # ---- score -----------------------------------------------------------------
 
 

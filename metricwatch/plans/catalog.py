@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from metricwatch.config import (
     ANOMALY_TREND,
     BUDGET_TREND,
+    LINE_TREND,
+    ModelSettings,
     STIFF_TREND,
     YEAR_AHEAD_TREND,
-    ModelSettings,
 )
 from metricwatch.functions import nice_bytes
 from metricwatch.operators import anomalies, modeling, retention, spend, stats, trend
@@ -568,6 +569,37 @@ def trend_fit_status(spark, sf_dir):
     return models.select("series", "first_ds", "last_ds", "n_obs", "status")
 
 
+@query
+def trend_fit_gradient(spark, sf_dir):
+    # Every coefficient of every series' fit stands at its optimum.
+    series = cut_lineage(_series(spark, sf_dir))
+    models = cut_lineage(trend.fit_trend(series, ANOMALY_TREND))
+    return trend.fit_gradients(series, models, ANOMALY_TREND).select("series", "term", "optimal")
+
+
+@query
+def trend_line(spark, sf_dir):
+    # The plain line that remains without slope changes and seasons: closed-form but for the noise.
+    series = cut_lineage(_series(spark, sf_dir))
+    models = trend.fit_trend(series, LINE_TREND)
+    return models.select(
+        "series", "n_obs", "status",
+        *[F.round(F.get("beta", F.lit(i)), 5).alias(name) for i, name in enumerate(("start", "growth"))],
+        F.round("sigma", 5).alias("sigma"),
+    )
+
+
+@query
+def trend_line_band(spark, sf_dir):
+    # Expected value and band of each day around that line, in parts of the series' largest value.
+    series = cut_lineage(_series(spark, sf_dir))
+    models = cut_lineage(trend.fit_trend(series, LINE_TREND))
+    band = trend.score_history(series, models, LINE_TREND).join(models.select("series", "y_scale"), "series", "left")
+    return band.select(
+        "series", "ds", F.round("fact", 4).alias("fact"), *[F.round(F.col(c) / F.col("y_scale"), 4).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")]
+    )
+
+
 @query
 def trend_fit_stiff(spark, sf_dir):
     models = trend.fit_trend(_spend_series(spark, sf_dir), STIFF_TREND)

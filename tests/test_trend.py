@@ -93,3 +93,39 @@ def test_components_add_up(spark, series):
 
 def test_horizon_ends_before_target():
     assert trend.horizon_until(date(2022, 1, 28), date(2022, 1, 1)) == 27
+
+
+def random_problem(seed):
+    rng = np.random.default_rng(seed)
+    n, p = int(rng.integers(2, 200)), 12
+    x = rng.normal(size=(n, p)) * 10.0 ** rng.integers(-3, 2, p)
+    x[:, 5] = x[:, 4]  # equal columns
+    y = x[:, :3] @ rng.normal(size=3) * rng.choice([0.0, 1.0]) + rng.normal(size=n) * rng.choice([0.0, 1e-3, 1.0])
+    laplace = np.arange(p) >= 4
+    return x, y, np.where(laplace, 20.0, 0.04), laplace
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_solver_ends_at_the_optimum(seed):
+    x, y, prior, laplace = random_problem(seed)
+    beta, sigma, found = trend._map_solution(x.T @ x, x.T @ y, float(y @ y), len(y), prior, laplace)
+    assert found
+
+    def loss(b):
+        rss = np.sum((y - x @ b) ** 2)
+        return rss / (2 * sigma**2) + np.sum(np.where(laplace, prior * np.abs(b), prior * b**2 / 2))
+
+    best, rng = loss(beta), np.random.default_rng(seed)
+    for _ in range(300):  # no neighbour is better, in any direction and at any distance
+        step = rng.normal(size=len(beta)) * 10.0 ** rng.integers(-6, 1) * (rng.random(len(beta)) < 0.4)
+        assert loss(beta + step) >= best - 1e-7 * (1 + abs(best))
+
+
+def test_gradient_is_zero_at_the_fit_and_nowhere_else(spark, series):
+    cfg = TrendConfig(yearly_order=2)
+    models = trend.fit_trend(series, cfg).cache()
+    judged = trend.fit_gradients(series, models, cfg)
+    assert judged.count() == 3 * trend.design_width(cfg)
+    assert judged.where("NOT optimal").count() == 0
+    moved = models.withColumn("beta", F.transform("beta", lambda b: b + 0.01))
+    assert trend.fit_gradients(series, moved, cfg).where("NOT optimal AND series = 's'").count() > 20
