@@ -3,21 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +26,11 @@ from metricwatch.config import (
     ModelSettings,
 )
 from metricwatch.functions import hash_percent
+from metricwatch.operators import grouped
 from metricwatch.operators.knn import knn_scores
+from metricwatch.operators.ranking import running_totals
 from metricwatch.sources.lineage import cut_lineage
 
-# Training rows in one partition.
-ROWS_PER_PARTITION = 50_000
-
 SCORE_SCHEMA = (
     "model string, fold int, fit_time double, score_time double, test_accuracy double, "
     "test_precision_weighted double, test_recall_weighted double, test_f1_weighted double, "
@@ -115,18 +107,6 @@ def _spark_ml(estimator, score: Callable[[DataFrame], DataFrame]):
     return fit
 
 
-def _logistic(cfg: ModelSettings):
-    def fit(train: DataFrame) -> Fitted:
-        # Penalty per row, as the usual C is a penalty on the summed loss.
-        reg = 1.0 / (cfg.logistic_c * max(train.count(), 1))
-        estimator = LogisticRegression(
-            maxIter=cfg.logistic_iterations, regParam=reg, standardization=False
-        )
-        return _spark_ml(estimator, _probability)(train)
-
-    return fit
-
-
 def _neighbours(cfg: ModelSettings):
     def fit(train: DataFrame) -> Fitted:
         known = train.select("id", vector_to_array("features").alias("x"), "label")
@@ -180,21 +160,60 @@ def _kernel_svm(cfg: ModelSettings):
     return fit
 
 
-def _classifiers(cfg: ModelSettings) -> dict[str, Callable[[DataFrame], Fitted]]:
+def _per_group(fit_one: Callable[[DataFrame], Fitted], cfg: ModelSettings):
+    """A classifier that is fitted group by group, side by side; a group with one class predicts that class."""
+
+    def fit(train: DataFrame, folds: int) -> GroupFit:
+        counts = grouped.class_counts(train, folds + 1)
+        usable = [g for g in range(folds + 1) if counts[g].min() > 0]
+        with ThreadPool(cfg.parallelism) as pool:
+            found = pool.map(lambda g: fit_one(train.where(F.col("fold") != g)), usable, chunksize=1)
+        fitted = dict(zip(usable, found))
+
+        def predict(rows: DataFrame) -> DataFrame:
+            parts = [f.predict(rows.where(F.col("group") == g)).select(*rows.columns, "score", "prediction") for g, f in fitted.items()]
+            for g in set(range(folds + 1)) - set(usable):
+                sole = float(counts[g, 1] > 0)
+                parts.append(rows.where(F.col("group") == g).select("*", F.lit(2 * sole - 1).alias("score"), F.lit(sole).alias("prediction")))
+            return reduce(DataFrame.unionByName, parts)
+
+        return GroupFit(predict, fitted)
+
+    return fit
+
+
+def _together(fit_groups: Callable[[DataFrame, int, int], grouped.GroupedModel]):
+    """A classifier whose groups are fitted in common passes."""
+
+    def fit(train: DataFrame, folds: int) -> GroupFit:
+        model = fit_groups(train, folds + 1, grouped.vector_width(train))
+        return GroupFit(model.predict, model)
+
+    return fit
+
+
+@dataclass
+class GroupFit:
+    """``predict`` adds ``score`` and ``prediction`` to rows with ``(id, features, x, group)``, each by its group's model."""
+
+    predict: Callable[[DataFrame], DataFrame]
+    model: object
+
+
+def _boosting(cfg: ModelSettings) -> grouped.Boosting:
+    return grouped.Boosting(cfg.boosting_rounds, cfg.boosting_depth, cfg.boosting_step)
+
+
+def _classifiers(cfg: ModelSettings) -> dict[str, Callable[[DataFrame, int], GroupFit]]:
+    boosting = _boosting(cfg)
+    forest = RandomForestClassifier(numTrees=cfg.trees, maxDepth=cfg.tree_depth, seed=cfg.seed)
     return {
-        "LogReg": _logistic(cfg),
-        "RF": _spark_ml(
-            RandomForestClassifier(numTrees=cfg.trees, maxDepth=cfg.tree_depth, seed=cfg.seed), _probability
-        ),
-        "KNN": _neighbours(cfg),
-        "SVM": _kernel_svm(cfg),
-        "GNB": _spark_ml(NaiveBayes(modelType="gaussian"), _probability),
-        "XGB": _spark_ml(
-            GBTClassifier(
-                maxIter=cfg.boosting_rounds, maxDepth=cfg.boosting_depth, stepSize=cfg.boosting_step, seed=cfg.seed
-            ),
-            _probability,
-        ),
+        "LogReg": _together(lambda t, g, w: grouped.logistic(t, g, w, 1.0 / cfg.logistic_c, cfg.logistic_iterations)),
+        "RF": _per_group(_spark_ml(forest, _probability), cfg),
+        "KNN": _per_group(_neighbours(cfg), cfg),
+        "SVM": _per_group(_kernel_svm(cfg), cfg),
+        "GNB": _together(grouped.naive_bayes),
+        "XGB": _together(lambda t, g, w: grouped.boosted_trees(t, g, w, boosting)),
     }
 
 
@@ -260,18 +279,25 @@ def _ratio(a: str, b: str) -> Column:
     return F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
 
 
-def area_under_roc(predictions: DataFrame) -> float | None:
-    """Exact area under the ROC curve; None unless both classes occur."""
-    if predictions.agg(F.min("label") != F.max("label")).head()[0] is not True:
-        return None
-    return BinaryClassificationEvaluator(
-        rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0
-    ).evaluate(predictions)
+def area_under_roc(predictions: DataFrame, by: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
+    """Exact area under the ROC curve per group: ``(by, test_roc_auc)``; NULL unless both classes occur.
+
+    It is the share of (positive, negative) pairs that the score orders rightly, ties counting half: a
+    positive with this score beats the negatives below it and half of those beside it.
+    """
+    positive = F.col("label") == 1
+    levels = running_totals(
+        predictions.select(*by, "score", positive.cast("long").alias("pos"), (~positive).cast("long").alias("neg")),
+        list(by), "score", ["pos", "neg"], partitions,
+    )
+    won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
+    pairs = F.sum("pos") * F.sum("neg")
+    return levels.groupBy(*by).agg((won / F.nullif(pairs.cast("double"), F.lit(0.0))).alias("test_roc_auc"))
 
 
-def fold_scores(cells: DataFrame, timings: DataFrame) -> DataFrame:
-    """One row per model and fold: times and weighted scores."""
-    report = report_of(cells, by=("model", "fold"))
+def fold_scores(predictions: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Accuracy, weighted scores and ROC area of every (model, fold), computed in one frame."""
+    report = report_of(confusion(predictions, ("model", "fold")), by=("model", "fold"))
 
     def pick(row: str, measure: str, name: str) -> Column:
         return F.max(F.when(F.col("class") == row, F.col(measure))).alias(name)
@@ -280,81 +306,68 @@ def fold_scores(cells: DataFrame, timings: DataFrame) -> DataFrame:
         pick("accuracy", "precision", "test_accuracy"),
         *[pick("weighted avg", m, f"test_{m}_weighted") for m in ("precision", "recall", "f1")],
     )
-    columns = [c.split()[0] for c in SCORE_SCHEMA.split(", ")]
-    return timings.join(weighted, ["model", "fold"], "left").select(*columns)
+    return weighted.join(area_under_roc(predictions, ("model", "fold"), partitions), ["model", "fold"])
 
 
 # ---- comparison ------------------------------------------------------------
 
 
+def grouped_rows(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Labelled rows as the fits take them: ``x`` as an array, folds below ``folds``, and the ``group`` that judges each row."""
+    folded = rows.withColumn("fold", F.pmod("fold", F.lit(folds)).cast("int"))
+    return folded.withColumn("x", vector_to_array("features")).withColumn("group", grouped.group_column(folds))
+
+
+def held_out(rows: DataFrame, models: tuple[str, ...], cfg: ModelSettings = ModelSettings(), folds: int = FOLDS) -> DataFrame:
+    """``(model, fold, id, label, prediction, score)`` of the training rows, each judged without its fold."""
+    rows = grouped_rows(rows, folds)
+    train = rows.where(~F.col("is_test"))
+    fits = _classifiers(cfg)
+    judged = [fits[m](train, folds).predict(train).select(F.lit(m).alias("model"), "fold", "id", "label", "prediction", "score") for m in models]
+    return reduce(DataFrame.unionByName, judged)
+
+
 def compare_models(
     rows: DataFrame,
     cfg: ModelSettings = ModelSettings(),
     models: tuple[str, ...] | None = None,
     folds: int = FOLDS,
-) -> tuple[DataFrame, dict[str, Fitted], DataFrame]:
-    """Cross-validate each classifier on the training rows, then fit it on all of them.
+) -> tuple[DataFrame, dict[str, GroupFit], DataFrame]:
+    """Cross-validate each classifier on the training rows, and fit it on all of them.
 
-    Returns the score frame (one row per model and fold), the fitted models and the test
-    predictions of all models.  Fits run side by side, like Spark ML's own
-    ``CrossValidator(parallelism=...)``.
+    Returns the score frame (one row per model and fold), the fits and the test predictions of all
+    models.  Classifiers run side by side; fits of the folds and of all training rows are made
+    together where their sums can be, so ``fit_time`` and ``score_time`` are those of all folds.
     """
     spark: SparkSession = rows.sparkSession
     # Iterative fits run one task per partition and round: even partitions, no more than the
     # rows deserve.
-    rows = cut_lineage(rows.repartition(rows.count() // ROWS_PER_PARTITION + 1, "id"))
+    rows = cut_lineage(grouped_rows(rows.repartition(rows.count() // grouped.ROWS_PER_PARTITION + 1, "id"), folds))
     train = rows.where(~F.col("is_test"))
-    test = rows.where(F.col("is_test"))
     fits = {m: f for m, f in _classifiers(cfg).items() if models is None or m in models}
+    if not fits:
+        raise ValueError(f"no classifier is named {models}")
 
-    def one_fold(job: tuple[str, int]):
-        name, fold = job
+    def one_model(name: str):
         started = time.time()
-        fitted = fits[name](train.where(F.col("fold") != fold))
+        fitted = fits[name](train, folds)
         trained = time.time()
-        predicted = fitted.predict(train.where(F.col("fold") == fold)).select(
-            F.lit(name).alias("model"), F.lit(fold).alias("fold"), "label", "prediction", "score"
-        )
-        # A fold is reduced to its counts and its curve at once, and released.
-        predicted = predicted.persist()
-        auc = area_under_roc(predicted)
-        cells = [(name, fold, r["label"], r["prediction"], r["n"]) for r in confusion(predicted).collect()]
-        predicted.unpersist()
-        return cells, (name, fold, trained - started, time.time() - trained, auc)
-
-    jobs = [(name, fold) for name in fits for fold in range(folds)]
+        judged = fitted.predict(rows).select(F.lit(name).alias("model"), "group", "id", "label", "prediction", "score")
+        return fitted, cut_lineage(judged), trained - started, time.time() - trained
+
     with ThreadPool(cfg.parallelism) as pool:
-        held_out = pool.map(one_fold, jobs, chunksize=1)
-        fitted = dict(zip(fits, pool.map(lambda name: fits[name](train), list(fits), chunksize=1)))
-    scores = spark.createDataFrame([], SCORE_SCHEMA)
-    if held_out:
-        timings = spark.createDataFrame(
-            [timing for _, timing in held_out],
-            "model string, fold int, fit_time double, score_time double, test_roc_auc double",
-        )
-        counted = spark.createDataFrame(
-            [cell for cells, _ in held_out for cell in cells], "model string, fold int, label double, prediction double, n long"
-        )
-        scores = cut_lineage(fold_scores(counted, timings))
-    predictions = reduce(
-        DataFrame.unionByName,
-        [
-            f.predict(test).select(F.lit(name).alias("model"), "id", "label", "prediction", "score")
-            for name, f in fitted.items()
-        ],
-    )
-    return scores, fitted, predictions
+        done = dict(zip(fits, pool.map(one_model, list(fits), chunksize=1)))
+    judged = reduce(DataFrame.unionByName, [j for _, j, _, _ in done.values()])
+    timings = spark.createDataFrame([(m, fit, score) for m, (_, _, fit, score) in done.items()], "model string, fit_time double, score_time double")
+    scored = fold_scores(judged.where(F.col("group") < folds).withColumnRenamed("group", "fold"))
+    columns = [c.split()[0] for c in SCORE_SCHEMA.split(", ")]
+    scores = cut_lineage(scored.join(F.broadcast(timings), "model").select(*columns))
+    return scores, {m: d[0] for m, d in done.items()}, judged.where(F.col("group") == folds).drop("group")
 
 
 def held_out_counts(rows: DataFrame, model: str, cfg: ModelSettings = ModelSettings(), folds: int = FOLDS) -> DataFrame:
     """``(fold, label, prediction, n)`` of one classifier on the training rows that each fold holds out."""
-    fit = _classifiers(cfg)[model]
-    train = rows.where(~F.col("is_test"))
-    parts = [
-        confusion(fit(train.where(F.col("fold") != f)).predict(train.where(F.col("fold") == f))).withColumn("fold", F.lit(f))
-        for f in range(folds)
-    ]
-    return reduce(DataFrame.unionByName, parts).select("fold", "label", "prediction", "n")
+    return confusion(held_out(rows, (model,), cfg, folds), ("fold",)).select("fold", "label", "prediction", "n")
 
 
 def select_best(scores: DataFrame, metric: str = "test_roc_auc") -> DataFrame:
@@ -366,9 +379,22 @@ def select_best(scores: DataFrame, metric: str = "test_roc_auc") -> DataFrame:
     )
 
 
-def feature_importance(fitted: Fitted, features: list[str], spark: SparkSession) -> DataFrame:
-    """``(feature, importance)`` of a tree model, largest first."""
-    values: Mapping[str, float] = dict(zip(features, fitted.model.featureImportances.toArray().tolist()))
-    return spark.createDataFrame(list(values.items()), "feature string, importance double").orderBy(
+def boosted_importance(rows: DataFrame, features: list[str], cfg: ModelSettings = ModelSettings()) -> DataFrame:
+    """:func:`feature_importance` of boosted trees fitted on all training rows, without a study."""
+    train = cut_lineage(grouped_rows(rows).where(~F.col("is_test")).select("x", "label", F.lit(-1).alias("fold")))
+    model = grouped.boosted_trees(train, 1, len(features), _boosting(cfg))
+    return feature_importance(GroupFit(model.predict, model), features, rows.sparkSession)
+
+
+def feature_importance(fitted: GroupFit, features: list[str], spark: SparkSession) -> DataFrame:
+    """``(feature, importance)`` of a tree model of all training rows, largest first.
+
+    Boosted trees: the mean gain of a feature's splits; forests: Spark's importances; both as shares.
+    """
+    if isinstance(fitted.model, grouped.GroupedModel):
+        shares = fitted.model.detail.importances
+    else:
+        shares = fitted.model[max(fitted.model)].model.featureImportances.toArray()
+    return spark.createDataFrame(list(zip(features, shares.tolist())), "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )

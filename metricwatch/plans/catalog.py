@@ -14,13 +14,14 @@ from pyspark.sql import types as T
 from metricwatch.config import (
     ANOMALY_TREND,
     BUDGET_TREND,
+    FOLDS,
     LINE_TREND,
     ModelSettings,
     STIFF_TREND,
     YEAR_AHEAD_TREND,
 )
 from metricwatch.functions import nice_bytes
-from metricwatch.operators import anomalies, modeling, retention, spend, stats, trend
+from metricwatch.operators import anomalies, grouped, modeling, retention, spend, stats, trend
 from metricwatch.operators.baseline import band_baseline
 from metricwatch.operators.knn import nearest_neighbours
 from metricwatch.operators.ranking import dense_ranks
@@ -487,7 +488,8 @@ def best_model(spark, sf_dir):
 
 @query
 def feature_importance(spark, sf_dir):
-    return _study(spark, sf_dir).importance
+    rows, columns = _model_rows(spark, sf_dir)
+    return modeling.boosted_importance(rows, columns)
 
 
 @query
@@ -517,6 +519,23 @@ def knn_fold_counts(spark, sf_dir):
     return modeling.held_out_counts(cut_lineage(rows), "KNN")
 
 
+@query
+def fold_scores(spark, sf_dir):
+    # The classifiers that SQL can fit too: scores of every fold in one frame.
+    rows, _ = _model_rows(spark, sf_dir)
+    return rounded(modeling.fold_scores(modeling.held_out(cut_lineage(rows), ("KNN", "GNB"))))
+
+
+@query
+def logistic_optimum(spark, sf_dir):
+    # Every coefficient of every fold's logistic regression stands where the penalised loss is flat.
+    rows, columns = _model_rows(spark, sf_dir)
+    train = cut_lineage(modeling.grouped_rows(rows).where("NOT is_test").select("x", "label", "fold"))
+    fit = grouped.logistic(train, FOLDS + 1, len(columns))
+    slopes = grouped.logistic_gradients(train, fit.detail)
+    return slopes.select("group", "term", (F.abs("slope") <= 1e-6 * (1 + F.col("size"))).alias("flat"))
+
+
 @query
 def fold_support(spark, sf_dir):
     # Training rows per fold and class: what every classifier of the study is scored on.

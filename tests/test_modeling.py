@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from metricwatch.config import ModelSettings
@@ -62,9 +63,29 @@ def test_compare_models(spark, rows):
     assert importance[0].feature == "signal"
 
 
-def test_one_class_has_no_roc(spark):
-    df = spark.createDataFrame([(1.0, 0.4), (1.0, 0.6)], "label double, score double")
-    assert modeling.area_under_roc(df) is None
+def test_roc_area_counts_pairs(spark):
+    rng = np.random.default_rng(8)
+    data = [(int(f), float(a), float(s)) for f, a, s in zip(rng.integers(0, 3, 400), rng.integers(0, 2, 400), rng.integers(0, 9, 400))]
+    data += [(7, 1.0, 0.4), (7, 1.0, 0.6)]  # one class: no area
+    df = spark.createDataFrame(data, "fold int, label double, score double")
+    got = {r.fold: r.test_roc_auc for r in modeling.area_under_roc(df, ("fold",), 3).collect()}
+    assert got.pop(7) is None
+    for fold, area in got.items():
+        pos, neg = ([s for f, a, s in data if f == fold and a == c] for c in (1.0, 0.0))
+        wins = [1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg]
+        assert area == pytest.approx(np.mean(wins))
+
+
+@pytest.mark.parametrize("model", ["LogReg", "RF", "KNN", "SVM", "GNB", "XGB"])
+def test_folds_that_lack_a_class(spark, model):
+    rows = [(f"r{i}", 1.0, [float(i % 7), float(i % 3)], False, i % 2) for i in range(20)]
+    rows += [("only", 0.0, [1.0, 2.0], False, 0)]  # without fold 0 all labels are 1
+    df = spark.createDataFrame(rows, "id string, label double, x array<double>, is_test boolean, fold int")
+    df = df.withColumn("features", array_to_vector("x")).drop("x")
+    got = modeling.held_out(df, (model,), QUICK, folds=2).collect()
+    assert len(got) == 21 and {r.prediction for r in got if r.fold == 0} == {1.0}
+    assert all(r.score is not None for r in got)
+    assert {r.prediction for r in got} <= {0.0, 1.0}
 
 
 def test_linear_support_vectors(rows):
