@@ -1,30 +1,31 @@
-"""Removal of lines that repeat an earlier line up to one word, found through deletion neighbourhoods."""
+"""Removal of lines that repeat an earlier line, long ones up to one word, found through deletion neighbourhoods."""
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from metricwatch.llm.common import identified, map_batches, text_key, utf8
+from metricwatch.llm.common import SPACE, identified, text_key, utf8
+from metricwatch.llm.line_quality import BLANKS
 from metricwatch.llm.suffixes import packed, unpacked
 from metricwatch.sources import discard, written
 
 LOW = (1 << 64) - 1
+# Bytes of numbers and lines that a task holds before it sends them on.
+SLICE_BYTES = 4 << 20
 
 
 def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def line_words(text: bytes, min_words: int) -> list[tuple[int, list[bytes]]]:
-    """Number and words of the lines that take part: those of ``min_words`` words or more."""
-    split = ((i, line.split()) for i, line in enumerate(text.split(b"\n")))
-    return [(i, words) for i, words in split if len(words) >= min_words]
-
-
 def half_keys(words: list[bytes]) -> list[int]:
     """Four keys, one of which lines within one word of each other share.
 
@@ -44,27 +45,55 @@ def deletion_hashes(words: list[bytes]) -> list[int]:
     return [_signed(xxh3_64_intdigest(b" ".join(v))) for v in variants]
 
 
+class _Slice:
+    """Rows about to be sent on, as flat numbers: no object per number."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.ids = batch.select(["doc_id", "text_key"])
+        self.rows, self.line = array("q"), array("q")
+        self.flat, self.ends = array("q"), array("i", [0])  # the rows' lists of numbers
+        self.columns: dict[str, list | array] = {}
+
+    def size(self) -> int:
+        return 8 * (len(self.rows) + len(self.flat))
+
+    def arrays(self, list_name: str) -> dict[str, pa.Array]:
+        rows = pa.array(np.frombuffer(self.rows, np.int64))
+        lists = pa.ListArray.from_arrays(np.frombuffer(self.ends, np.int32), np.frombuffer(self.flat, np.int64))
+        own = {"doc_id": self.ids.column(0).take(rows), "text_key": self.ids.column(1).take(rows)}
+        return own | {"line": pa.array(np.frombuffer(self.line, np.int64)), list_name: lists}
+
+
 def lines(texts: DataFrame, min_words: int) -> DataFrame:
-    """``(doc_id, text_key, line, h, g, keys)``: 128 bits of hash and the half keys of every line."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, number, h, g, keys = [], [], [], [], []
-        for row, text in enumerate(utf8(batch.column(2))):
-            for i, words in line_words(text, min_words):
-                digest = xxh3_128_intdigest(b" ".join(words))
-                rows.append(row)
-                number.append(i)
-                h.append(_signed(digest >> 64))
-                g.append(_signed(digest & LOW))
-                keys.append(half_keys(words))
-        rows = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows)]
-            + [pa.array(x, pa.int64()) for x in (number, h, g)] + [pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "text_key", "line", "h", "g", "keys"],
-        )
-
-    return map_batches(texts, run, "doc_id long, text_key long, line long, h long, g long, keys array<long>")
+    """``(doc_id, text_key, line, keys, h, g)``: 128 bits of hash of every line with a word; half keys from ``min_words`` words on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, h, g = _Slice(batch), array("q"), array("q")
+
+            def sent(out=out, h=h, g=g) -> pa.RecordBatch:
+                hashes = {"h": pa.array(np.frombuffer(h, np.int64)), "g": pa.array(np.frombuffer(g, np.int64))}
+                return pa.RecordBatch.from_pydict(out.arrays("keys") | hashes)
+
+            for row, text in enumerate(utf8(batch.column(2))):
+                for i, line in enumerate(text.split(b"\n")):
+                    if not (words := line.split()):
+                        continue
+                    digest = xxh3_128_intdigest(b" ".join(words))
+                    out.rows.append(row)
+                    out.line.append(i)
+                    h.append(_signed(digest >> 64))
+                    g.append(_signed(digest & LOW))
+                    if len(words) >= min_words:
+                        out.flat.extend(half_keys(words))
+                    out.ends.append(len(out.flat))
+                if out.size() > SLICE_BYTES:
+                    yield sent(out, h, g)
+                    out, h, g = _Slice(batch), array("q"), array("q")
+            if out.rows:
+                yield sent(out, h, g)
+
+    return texts.mapInArrow(run, "doc_id long, text_key long, line long, keys array<long>, h long, g long")
 
 
 def _before(a: str, b: str) -> Column:
@@ -89,7 +118,7 @@ def within_one_word(a: Column, b: Column) -> Column:
 def near_links(candidates: DataFrame) -> DataFrame:
     """``(place, earlier)``: lines and an earlier line that differs by one word, from the lines' deletion neighbourhoods.
 
-    ``candidates`` have ``place``, ``variants`` and ``words``.  Lines of equal length differ in
+    ``candidates`` have ``place``, ``variants`` and ``text``.  Lines of equal length differ in
     one word if they agree without the word at the same position; lines of unequal length if
     one is the other without some word.  Each group of equal variants is reduced to its
     earliest line, and only that one is compared, so a group of any size costs one row a member.
@@ -104,11 +133,12 @@ def near_links(candidates: DataFrame) -> DataFrame:
     )
     dropped = variants.join(mixed, "k").select("place", F.when(F.col("gap") == 0, F.col("longer")).otherwise(F.col("whole")).alias("earlier"))
     pairs = replaced.unionByName(dropped).where(_before("earlier", "place")).distinct()
-    texts = candidates.select("place", "words")
+    # Only the lines of pairs are parted into words again.
+    texts = candidates.select("place", "text")
     return (
-        pairs.join(texts.withColumnsRenamed({"words": "own"}), "place")
-        .join(texts.select(F.col("place").alias("earlier"), F.col("words").alias("other")), "earlier")
-        .where(within_one_word(F.col("own"), F.col("other")))
+        pairs.join(texts.withColumnsRenamed({"text": "own"}), "place")
+        .join(texts.select(F.col("place").alias("earlier"), F.col("text").alias("other")), "earlier")
+        .where(within_one_word(F.split(F.btrim("own", F.lit(BLANKS)), SPACE), F.split(F.btrim("other", F.lit(BLANKS)), SPACE)))
         .select("place", "earlier")
     )
 
@@ -116,8 +146,8 @@ def near_links(candidates: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """``(doc_id, text_key, line)`` of the lines to remove: all that an earlier line equals up to one word.
 
-    1. Lines are reduced to hashes of their words; equal ones keep the earliest place.
-    2. Lines that share one of the halves that an edit leaves alone are candidates.  The
+    1. Lines with a word are reduced to hashes of their words; equal ones keep the earliest place.
+    2. Lines of ``min_words`` or more that share one of the halves that an edit leaves alone are candidates.  The
        deletion neighbourhood, one variant a word, is made for those only: a line without such a
        partner has no partner at all.
     3. Equal variants are joined, the distance is verified on the words, the earliest stays.
@@ -139,29 +169,34 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     wanted = written(places.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("wanted")), "lines-wanted")
     discard(all_lines, distinct)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, number, variants, words = [], [], [], []
-        for row, (text, own) in enumerate(zip(unpacked(batch.column("packed")), batch.column("wanted").to_pylist())):
-            split = text.split(b"\n")
-            for i in own:
-                line = split[i].split()
-                rows.append(row)
-                number.append(i)
-                variants.append(deletion_hashes(line))
-                words.append([w.decode() for w in line])
-        rows = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(number, pa.int64())]
-            + [pa.array(variants, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))],
-            ["doc_id", "text_key", "line", "variants", "words"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, kept, size = _Slice(batch), [], 0
+
+            def sent(out: _Slice, kept: list[bytes]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict(out.arrays("variants") | {"text": pa.array(kept, pa.binary()).cast(pa.string())})
+
+            for row, own in enumerate(batch.column("wanted").to_pylist()):
+                split = unpacked(batch.column("packed").slice(row, 1))[0].split(b"\n")
+                for i in own:
+                    out.rows.append(row)
+                    out.line.append(i)
+                    out.flat.extend(deletion_hashes(split[i].split()))
+                    out.ends.append(len(out.flat))
+                    kept.append(split[i])
+                    size += len(split[i])
+                if out.size() + size > SLICE_BYTES:
+                    yield sent(out, kept)
+                    out, kept, size = _Slice(batch), [], 0
+            if kept:
+                yield sent(out, kept)
 
     other = wanted.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
     joined = packed(texts).dropDuplicates(["doc_id", "text_key"]).join(
         other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
     ).drop("__id", "__key")
-    found = map_batches(joined, run, "doc_id long, text_key long, line long, variants array<long>, words array<string>")
-    candidates = written(found.select(F.struct("doc_id", "line", "text_key").alias("place"), "variants", "words"), "lines-candidates")
+    found = joined.mapInArrow(run, "doc_id long, text_key long, line long, variants array<long>, text string")
+    candidates = written(found.select(F.struct("doc_id", "line", "text_key").alias("place"), "variants", "text"), "lines-candidates")
     near = near_links(candidates).select("place.doc_id", "place.text_key", "place.line")
     gone = written(copies.unionByName(near).distinct(), "lines-gone")
     discard(copies, wanted, candidates)
@@ -174,7 +209,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     Lines are cut at \\n and compared by their words (between ASCII white space).  Earlier means
     a smaller doc_id, or further ahead in the same text; the earlier line need not stay itself, so a
     chain of small edits leaves its first line.  Lines of fewer than ``min_words`` words (one
-    word of five is a fifth) always stay.
+    word of five is a fifth) go only as exact repeats; lines without words stay.
 
     Rows and columns stay; ``text`` is rewritten and ``n_chars``, if there is one, counted anew where lines went.
     A text that loses all its lines is empty.  Null and empty texts stay as they are.  A null

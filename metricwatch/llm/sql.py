@@ -147,15 +147,15 @@ WITH split AS (
         row_number() OVER (ORDER BY doc_id NULLS FIRST, i) AS pos
     FROM split
 ), firsts AS (
-    SELECT words, min(pos) AS pos FROM numbered WHERE len(words) >= 5 GROUP BY words
+    SELECT words, min(pos) AS pos FROM numbered WHERE len(words) > 0 GROUP BY words
 ), shorter AS (
     SELECT pos, words, len(words) AS n, k, list_concat(words[:k - 1], words[k + 1:]) AS rest
-    FROM (SELECT *, unnest(range(1, len(words) + 1)) AS k FROM firsts)
+    FROM (SELECT *, unnest(range(1, len(words) + 1)) AS k FROM firsts WHERE len(words) >= 5)
 ), near AS (
     -- One word replaced: equal without the word at the same place.
     SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY n, k, rest) AS earliest FROM shorter) WHERE earliest < pos
     -- One word added or dropped.
-    UNION SELECT greatest(s.pos, f.pos) FROM shorter s JOIN firsts f ON f.words = s.rest
+    UNION SELECT greatest(s.pos, f.pos) FROM shorter s JOIN firsts f ON f.words = s.rest WHERE len(f.words) >= 5
 ), judged AS (
     SELECT doc_id, i, line, n.pos IN (SELECT pos FROM near) OR coalesce(n.pos > f.pos, FALSE) AS gone
     FROM numbered n LEFT JOIN firsts f ON f.words = n.words

@@ -20,8 +20,12 @@ def plain(rows, min_words=5):
         ((d is not None, d or 0, i), line.encode().split())
         for d, text in rows for i, line in enumerate((text or "").split("\n"))
     ]
-    lines = [(p, w) for p, w in lines if len(w) >= min_words]
-    gone = {p + (tuple(w),) for p, w in lines if any(q < p and distance_at_most_one(v, w) for q, v in lines)}
+    lines = [(p, w) for p, w in lines if w]
+
+    def repeats(v, w):
+        return v == w or min(len(v), len(w)) >= min_words and distance_at_most_one(v, w)
+
+    gone = {p + (tuple(w),) for p, w in lines if any(q < p and repeats(v, w) for q, v in lines)}
     out = []
     for d, text in rows:
         if text is not None:
@@ -60,5 +64,13 @@ def test_matches_all_pairs(spark):
     assert all(r.n_chars == len(r.text or "") for r in kept)
 
 
+def test_slices_hold_whole_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SLICE_BYTES", 100)
+    rows = rows_of()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = line_dedup.dedup_lines(df).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in kept) == plain(rows)
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
