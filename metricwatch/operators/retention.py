@@ -1,8 +1,10 @@
 """Workspace feature table for retention analysis.
 
 Event tables meet the eligible workspaces before they are deduplicated, so events of other
-servers are dropped where they are read or at the first shuffle.  The aggregates after these
-joins shuffle on other keys, which lets AQE split a hot workspace.
+servers are dropped where they are read or at the first shuffle.  Joined rows are then shuffled on
+all that they are deduplicated by: the join's partitioning by workspace is not kept, so a hot
+workspace's values are spread over the tasks, and AQE may split it in the join.  What is reduced
+to a row per workspace combines before it shuffles.
 """
 
 from __future__ import annotations
@@ -55,9 +57,9 @@ def workspaces(facts: DataFrame, excluded: DataFrame, licences: DataFrame, as_of
 def days_to_threshold(details: DataFrame, base: DataFrame, threshold: int = MIN_REGISTERED_USERS) -> DataFrame:
     """Days from an eligible workspace's first snapshot to its first with enough registered users."""
     reached = F.min(F.when(F.col("registered_users") >= threshold, F.col("day")))
-    return _of(base, details).groupBy("server_id").agg(
-        F.datediff(reached, F.min("day")).cast("bigint").alias("days_to_registered_users")
-    )
+    # Reduced before the join: a workspace has one row a task then, however many snapshots.
+    days = details.groupBy("server_id").agg(F.datediff(reached, F.min("day")).cast("bigint").alias("days_to_registered_users"))
+    return _of(base, days)
 
 
 def post_users(events: DataFrame, base: DataFrame, min_users: int | None = None) -> DataFrame:
@@ -110,9 +112,8 @@ def _post_user_counts(events: DataFrame, base: DataFrame) -> DataFrame:
             )
         ).alias("v"),
     )
-    distinct = values.groupBy("server_id", "v.kind", "v.value").agg(
-        F.max("d1").alias("d1"), F.max("d2").alias("d2")
-    )
+    spread = values.select("server_id", "d1", "d2", "v.*").repartition("server_id", "kind", "value")
+    distinct = spread.groupBy("server_id", "kind", "value").agg(F.max("d1").alias("d1"), F.max("d2").alias("d2"))
     is_user = (F.col("kind") == "u") & F.col("value").isNotNull()
     is_event = F.col("kind") == "e"
 
@@ -137,10 +138,8 @@ def _post_user_counts(events: DataFrame, base: DataFrame) -> DataFrame:
 
 def usage(events: DataFrame, base: DataFrame, prefix: str, flag: str) -> DataFrame:
     """Distinct events and a usage flag per eligible workspace that has any."""
-    own = _of(base, events.withColumn("server_id", F.col("user_id")))
-    counted = own.groupBy("server_id").agg(
-        F.count_distinct("id").alias(f"{prefix}_events")
-    )
+    own = _of(base, events.select(F.col("user_id").alias("server_id"), "id"))
+    counted = own.repartition("server_id", "id").distinct().groupBy("server_id").agg(F.count("id").alias(f"{prefix}_events"))
     return counted.withColumn(flag, F.when(F.col(f"{prefix}_events") > 0, 1).otherwise(0))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from metricwatch.config import (
     YEAR_AHEAD_TREND,
 )
 from metricwatch.functions import nice_bytes
-from metricwatch.operators import anomalies, grouped, modeling, retention, spend, stats, trend
+from metricwatch.operators import anomalies, grouped, modeling, retention, sketches, spend, stats, trend
 from metricwatch.operators.baseline import band_baseline
 from metricwatch.operators.knn import nearest_neighbours
 from metricwatch.operators.ranking import dense_ranks
@@ -113,6 +114,22 @@ def series_approx_visitors(spark, sf_dir):
     return all_series(StandInSources(spark, sf_dir).table, [spec], as_of_for)
 
 
+@query
+def visitors_by_span(spark, sf_dir):
+    # Distinct visitors of weeks, months and years from daily sketches, held against exact counts.
+    visits = StandInSources(spark, sf_dir).table("daily_website_traffic").select("event_ts", "anonymous_id")
+    days = cut_lineage(sketches.daily_sketches(visits, "event_ts", "anonymous_id"))
+    exact = visits.where("anonymous_id IS NOT NULL").select(F.to_date("event_ts").alias("ds"), "anonymous_id").distinct()
+    parts = []
+    for span in sketches.SPANS:
+        counted = exact.groupBy(F.date_trunc(span, "ds").cast("date").alias("start")).agg(F.count_distinct("anonymous_id").alias("visitors"))
+        parts.append(
+            sketches.distinct_by_span(days, span).join(counted, "start")
+            .select(F.lit(span).alias("span"), "start", "visitors", sketches.within(F.col("distinct"), F.col("visitors")).alias("within"))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def series_pageviews(spark, sf_dir):
     return _series(spark, sf_dir, "pageviews")

@@ -17,7 +17,7 @@ from metricwatch.functions import (
     ratio_or_zero,
     warehouse_rate,
 )
-from metricwatch.operators import anomalies, retention, series, spend, stats
+from metricwatch.operators import anomalies, retention, series, sketches, spend, stats
 from metricwatch.schemas import conform
 from metricwatch.sources import Sources, cut_lineage
 from metricwatch.sources.catalog import write_alerts, write_by_series
@@ -269,3 +269,38 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_cut_lineage_keeps_rows(spark):
     assert sorted(values(cut_lineage(spark.range(5)), "id")) == [0, 1, 2, 3, 4]
+
+
+def test_hot_workspace_is_spread(spark):
+    day = datetime(2020, 1, 1, 5)
+    base = spark.createDataFrame([("hot", date(2020, 1, 1)), ("cold", date(2020, 1, 1))], "server_id string, first_active_date date")
+    rows = [("hot", None, None, day, f"u{i % 50}", f"e{i % 900}") for i in range(3000)] + [("cold", None, None, day, "u", "e"), ("other", None, None, day, "u", "e")]
+    events = spark.createDataFrame(rows, "user_id string, context_server string, context_traits_server string, event_ts timestamp, user_actual_id string, id string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        posts, used = retention.post_users(events, base), retention.usage(events, base, "x", "used_x")
+        plans = [df._jdf.queryExecution().toString() for df in (posts, used)]
+        got = {r.server_id: r for r in posts.collect()}
+        events_of = {r.server_id: r.x_events for r in used.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # The join's partitioning by workspace alone is left before values are deduplicated.
+    assert "hashpartitioning(server_id" in plans[0] and "kind#" in plans[0].split("SortMergeJoin")[0].split("Physical Plan")[-1]
+    assert "id#" in plans[1]
+    assert got["hot"].post_users == 50 and got["hot"].events_per_user_first_day == 900 / 50
+    assert events_of == {"hot": 900, "cold": 1} and set(got) == {"hot", "cold"}
+
+
+def test_spans_merge_daily_sketches(spark):
+    rows = [(datetime(2020, 1, 1 + d, 3), f"v{i % (40 + d)}", "a" if i % 2 else "b") for d in range(20) for i in range(300)] + [(datetime(2020, 3, 1), None, "a")]
+    events = spark.createDataFrame(rows, "ts timestamp, visitor string, site string")
+    days = sketches.daily_sketches(events, "ts", "visitor", ("site",))
+    assert days.count() == 40
+    got = {(r.site, r.start): r["distinct"] for r in sketches.distinct_by_span(days, "month", ("site",)).collect()}
+    assert set(got) == {("a", date(2020, 1, 1)), ("b", date(2020, 1, 1))}
+    for site in "ab":
+        exact = len({v for _, v, s in rows if s == site and v})
+        assert abs(got[site, date(2020, 1, 1)] - exact) <= max(0.5, sketches.relative_error() * exact)
+    with pytest.raises(ValueError):
+        sketches.distinct_by_span(days, "decade")
