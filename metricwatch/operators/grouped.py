@@ -359,7 +359,7 @@ def boosted_trees(train: DataFrame, groups: int, width: int, cfg: Boosting = Boo
     fitted = BoostedTrees(cuts, start)
     gains, uses = np.zeros(width), np.zeros(width)
     schema = "label double, fold int, bins binary, margins binary"
-    # Rounds are many and short: few, even partitions; a single one needs no exchange to add up.
+    # Rounds are many and short: few, even partitions.
     parts = -(-int(counts[-1].sum()) // ROWS_PER_PARTITION)
     spread = train.select("x", "label", "fold")
     spread = spread.repartition(parts) if parts > 1 else spread.coalesce(1)
@@ -368,9 +368,10 @@ def boosted_trees(train: DataFrame, groups: int, width: int, cfg: Boosting = Boo
     for _ in range(cfg.rounds):
         growing = _Trees.stumps(groups, cfg.depth)
         for level in range(cfg.depth):
-            cells = rows.mapInArrow(
-                _level_sums(pending, growing, level, groups, cfg.depth, cfg.bins), "cell long, g double, h double"
-            ).groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+            cells = rows.mapInArrow(_level_sums(pending, growing, level, groups, cfg.depth, cfg.bins), "cell long, g double, h double")
+            if parts > 1:  # a single task's sums are whole already
+                cells = cells.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+            cells = cells.toArrow()
             sums = np.zeros((2, groups * 2**level * width * cfg.bins))
             at = cells["cell"].to_numpy()
             sums[0, at], sums[1, at] = cells["g"].to_numpy(), cells["h"].to_numpy()

@@ -75,8 +75,9 @@ def plain_tree(bins, g, h, cfg, level=0):
     return lambda b: np.where(b[:, f] <= cut, low(b), high(b))
 
 
-@pytest.mark.parametrize("pending", [2, 10])
-def test_boosted_trees(train, data, pending):
+@pytest.mark.parametrize("pending, rows_a_task", [(2, 50_000), (10, 50)])
+def test_boosted_trees(train, data, monkeypatch, pending, rows_a_task):
+    monkeypatch.setattr(grouped, "ROWS_PER_PARTITION", rows_a_task)  # one task or several
     x, y, fold = data
     cfg = grouped.Boosting(rounds=5, depth=3, bins=8, pending=pending)
     model = grouped.boosted_trees(train, FOLDS + 1, 4, cfg)
