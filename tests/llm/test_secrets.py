@@ -111,6 +111,46 @@ def test_adds_values_that_patterns_miss(spark):
     assert sum(len(r.added) for r in plain) == 0
 
 
+def test_finds_planted_secrets_that_no_pattern_matches():
+    """Production settings, fitted on sf0.01: recall on planted lines, and no span in texts without a secret."""
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    likely = [t for t in texts if secrets.base_spans(t)]
+    clean = [t for t in texts if not secrets.base_spans(t)]
+    tagger = secrets.Tagger(secrets.fit_field(likely + clean[: len(clean) // 2], secrets.Settings()))
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = ['my credential = "{}"', "auth_key: {}", "passphrase = {}", "pwd={}", "signing -> {}", "Authorization: Bearer {}", "{}"]
+    lines = []
+    for form in forms:
+        for n in (16, 20, 24, 32, 40):
+            lines += [(form, "".join(rng.choices(letters, k=n))) for _ in range(10)]
+    found = 0
+    for form, value in lines:
+        line = form.format(value)
+        assert not secrets.base_spans(line)
+        at = line.index(value)
+        found += any(a < at + len(value) and b > at and b - a >= 0.8 * len(value) for a, b in tagger.spans(line.encode(), line))
+    assert found >= 0.8 * len(lines), found / len(lines)
+    unseen = clean[len(clean) // 2 :]
+    wrong = sum(len(tagger.spans(t.encode(), t)) for t in unseen)
+    assert wrong <= len(unseen) / 200, wrong
+    for line in ("version = 1.2.3", "port: 8080", 'name = "Alexander"', "total: 4068516892505468", "see https://www.example.com/page.html now"):
+        assert not tagger.spans(line.encode(), line), line
+
+
+def test_texts_together_are_tagged_as_alone():
+    texts = [t or "" for t in texts_of()]
+    field = secrets.fit_field(texts, SETTINGS)
+    alone, together = secrets.Tagger(field), secrets.Tagger(field, limit=300)
+    want = [alone.spans(t.encode(), t) for t in texts]
+    for limit in (1, 2_000, 1 << 20):
+        got = []
+        for group in secrets._groups([t.encode() for t in texts], limit):
+            got += together.spans_of(group, [t.decode() for t in group])
+        assert got == want
+    assert any(want)
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA), SETTINGS).count() == 0
 
