@@ -213,7 +213,9 @@ class ModelSettings:
     tree_depth: int = 30  # Spark's limit; trees otherwise grow until leaves are pure
     neighbours: int = 5
     svm_c: float = 1.0
-    svm_features: int = 128  # 0 trains a linear classifier on the plain features
+    svm_features: int = 256  # landmarks at most; 0 trains a linear classifier on the plain features
+    svm_candidates: int = 4096  # rows among which landmarks are chosen
+    svm_tolerance: float = 1e-4  # kernel error at which no more landmarks are taken
     svm_iterations: int = 100
     boosting_rounds: int = 100
     boosting_depth: int = 6

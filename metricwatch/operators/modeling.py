@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -26,7 +24,7 @@ from metricwatch.config import (
     ModelSettings,
 )
 from metricwatch.functions import hash_percent
-from metricwatch.operators import grouped
+from metricwatch.operators import grouped, kernel
 from metricwatch.operators.knn import knn_scores
 from metricwatch.operators.ranking import running_totals
 from metricwatch.sources.lineage import cut_lineage
@@ -121,38 +119,21 @@ def _neighbours(cfg: ModelSettings):
     return fit
 
 
-def fourier_features(x: Column, n_inputs: int, n_out: int, gamma: float, seed: int) -> Column:
-    """Random Fourier features of the RBF kernel (Rahimi & Recht 2007), Arrow-batched."""
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(0.0, np.sqrt(2 * gamma), (n_inputs, n_out))
-    phase = rng.uniform(0, 2 * np.pi, n_out)
-
-    @F.pandas_udf("array<double>")
-    def transform(rows: pd.Series) -> pd.Series:
-        z = np.cos(np.stack(rows.to_numpy()) @ weights + phase) * np.sqrt(2.0 / n_out)
-        return pd.Series(list(z))
-
-    return array_to_vector(transform(x))
-
-
 def _kernel_svm(cfg: ModelSettings):
-    """Support vector classifier with an RBF kernel of width 1 / (features x variance)."""
+    """Support vector classifier with an RBF kernel of width 1 / (features x variance), on a basis that the rows choose."""
 
     def fit(train: DataFrame) -> Fitted:
-        cells = train.select(F.explode(vector_to_array("features")).alias("v"))
-        stats = cells.agg(F.var_pop("v").alias("var"), F.count("v").alias("n")).head()
-        n_rows = max(train.count(), 1)
-        width = stats["n"] // n_rows
-        gamma = 1.0 / (width * stats["var"]) if stats["var"] else 1.0
+        known = train.select("id", vector_to_array("features").alias("x"))
+        gamma, _, n_rows = kernel.scale(known)
+        basis = kernel.fit_basis(known, gamma, cfg.svm_features, cfg.svm_candidates, cfg.svm_tolerance) if cfg.svm_features else None
 
         def lift(df: DataFrame) -> DataFrame:
-            if cfg.svm_features == 0:
+            if basis is None:
                 return df.withColumn("lifted", F.col("features"))
-            x = vector_to_array("features")
-            return df.withColumn("lifted", fourier_features(x, width, cfg.svm_features, gamma, cfg.seed))
+            return df.withColumn("lifted", array_to_vector(kernel.lift(vector_to_array("features"), basis)))
 
         estimator = LinearSVC(
-            featuresCol="lifted", maxIter=cfg.svm_iterations, regParam=1.0 / (cfg.svm_c * n_rows), standardization=False
+            featuresCol="lifted", maxIter=cfg.svm_iterations, regParam=1.0 / (cfg.svm_c * max(n_rows, 1)), standardization=False
         )
         model = estimator.fit(lift(train))
         return Fitted(lambda df: _margin(model.transform(lift(df))).drop("lifted"), model)
@@ -160,6 +141,15 @@ def _kernel_svm(cfg: ModelSettings):
     return fit
 
 
+def kernel_error(rows: DataFrame, cfg: ModelSettings = ModelSettings()) -> DataFrame:
+    """:func:`kernel.residuals` of the support vector classifier's basis, over all training rows."""
+    train = cut_lineage(grouped_rows(rows).where(~F.col("is_test")).select("id", "x"))
+    gamma, _, n_rows = kernel.scale(train)
+    if not n_rows:
+        return train.sparkSession.createDataFrame([], "n_rows long, landmarks int, mean_residual double, max_residual double, mean_kernel double")
+    return kernel.residuals(train, kernel.fit_basis(train, gamma, cfg.svm_features, cfg.svm_candidates, cfg.svm_tolerance))
+
+
 def _per_group(fit_one: Callable[[DataFrame], Fitted], cfg: ModelSettings):
     """A classifier that is fitted group by group, side by side; a group with one class predicts that class."""
 

@@ -553,6 +553,16 @@ def logistic_optimum(spark, sf_dir):
     return slopes.select("group", "term", (F.abs("slope") <= 1e-6 * (1 + F.col("size"))).alias("flat"))
 
 
+@query
+def svm_kernel_error(spark, sf_dir):
+    # What the support vector classifier's basis makes of the kernel: its mean over all pairs of training rows, taken
+    # from summed features, and whether the mean error is within the tolerance.
+    rows, _ = _model_rows(spark, sf_dir)
+    error = modeling.kernel_error(rows)
+    within = F.col("mean_residual") <= ModelSettings().svm_tolerance
+    return error.select("n_rows", F.round("mean_kernel", 3).alias("mean_kernel"), within.alias("within"))
+
+
 @query
 def fold_support(spark, sf_dir):
     # Training rows per fold and class: what every classifier of the study is scored on.
