@@ -9,6 +9,7 @@ most ``sqrt(r r')``; ``r = 1 - |features|^2`` is known for every row without a p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,7 +55,13 @@ def choose(x: np.ndarray, gamma: float, most: int, tolerance: float) -> Basis:
         left[i] = 0.0
         picked.append(i)
     lower = np.tril(parts[: len(picked), picked].T)
-    return Basis(x[picked], np.linalg.inv(lower), gamma)
+    # The inverse row by row; the general one is not needed for a triangle.
+    whiten = np.zeros_like(lower)
+    for i in range(len(lower)):
+        whiten[i] = -(lower[i, :i] @ whiten[:i])
+        whiten[i, i] += 1.0
+        whiten[i] /= lower[i, i]
+    return Basis(x[picked], whiten, gamma)
 
 
 def scale(train: DataFrame) -> tuple[float, int, int]:
@@ -95,9 +102,21 @@ def residuals(rows: DataFrame, basis: Basis) -> DataFrame:
     ``mean_kernel`` is the mean of the approximated kernel over all pairs of rows, taken from summed
     features; the kernel's own mean is larger by at most ``mean_residual``.
     """
-    lifted = rows.select(lift("x", basis).alias("f"))
-    left = F.greatest(1 - F.aggregate("f", F.lit(0.0), lambda s, v: s + v * v), F.lit(0.0))
-    sums = [F.avg(F.get("f", F.lit(j))).alias(f"m{j}") for j in range(basis.size)]
-    one = lifted.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(left).alias("mean_residual"), F.max(left).alias("max_residual"), *sums)
-    total = sum((F.col(f"m{j}") * F.col(f"m{j}") for j in range(basis.size)), F.lit(0.0))
-    return one.select("n_rows", F.lit(basis.size).alias("landmarks"), "mean_residual", "max_residual", total.alias("mean_kernel"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                f = basis.features(np.stack(batch["x"].to_numpy()))
+                left = np.maximum(1 - (f * f).sum(axis=1), 0.0)
+                yield pd.DataFrame({"term": range(basis.size), "n": len(f), "total": f.sum(axis=0), "r": left.sum(), "worst": left.max()})
+
+    # One short row per landmark and Arrow batch, so an aggregate has few columns whatever the basis.
+    terms = (
+        rows.select("x").mapInPandas(sums, "term int, n long, total double, r double, worst double")
+        .groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "total", "r")], F.max("worst").alias("worst"))
+    )
+    mean = F.col("total") / F.col("n")
+    return terms.agg(
+        F.max("n").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("landmarks"), F.max(F.col("r") / F.col("n")).alias("mean_residual"),
+        F.max("worst").alias("max_residual"), F.sum(mean * mean).alias("mean_kernel"),
+    )
