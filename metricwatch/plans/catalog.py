@@ -461,21 +461,33 @@ def classification_report_counts(spark, sf_dir):
     return rounded(modeling.classification_report(rows))
 
 
-@query
-def knn_neighbours(spark, sf_dir):
+def _neighbour_pairs(spark, sf_dir) -> DataFrame:
+    # Row hashes differ between engines: keep the workspace part of the ids.
     rows, _ = _model_rows(spark, sf_dir)
     rows = cut_lineage(rows.select("id", vector_to_array("features").alias("x"), "label", "is_test"))
     pairs = nearest_neighbours(
         rows.where("is_test").dropDuplicates(["id"]), rows.where("NOT is_test"), NEIGHBOURS
     )
-    # Row hashes differ between engines: keep the workspace part of the ids.
+    workspace = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
+    return pairs.select(workspace("id").alias("server_id"), workspace("n_id").alias("n_server_id"), "n_label", "d")
+
+
+@query
+def knn_neighbours(spark, sf_dir):
     return rounded(
-        pairs.select(F.split_part("id", F.lit("/"), F.lit(1)).alias("server_id"), "d")
+        _neighbour_pairs(spark, sf_dir)
         .groupBy("server_id")
         .agg(F.count(F.lit(1)).alias("neighbours"), F.min("d").alias("nearest"), F.max("d").alias("farthest"))
     )
 
 
+@query
+def knn_neighbour_ids(spark, sf_dir):
+    # Who the neighbours are; equal distances go in id order.
+    pairs = _neighbour_pairs(spark, sf_dir).groupBy("server_id", "n_server_id", "n_label")
+    return pairs.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("d"), 6).alias("d"))
+
+
 # The study of a data folder, kept for the queries that show its parts; all six models, full settings.
 _STUDIES: dict[tuple[str, str], reports.EngagementStudy] = {}
 
