@@ -1,21 +1,24 @@
 """Exact k-nearest-neighbour vote as a partitioned join.
 
-Training rows are cut into blocks along their widest feature, whose difference is a lower
-bound of the distance.  A test row first measures one block near it, which bounds its
-k-th distance, then visits exactly the blocks that can hold anything nearer.  Both sides
-of a visit are split by size, so copies of one value cannot overload a task, and a visit
-passes on k neighbours per row, not pairs.
+A k-d tree over a bounded sample cuts the training rows into leaves; the distance to a leaf's
+box, over all features, is a lower bound of the distance to its rows.  A test row first measures
+one block of the nearest leaf, which bounds its k-th distance, then visits exactly the leaves
+that can hold anything nearer.  Both sides of a visit are split by size, so copies of one value
+cannot overload a task, and a visit passes on k neighbours per row, not pairs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 20_000
-MAX_SLICES = 4096
+MAX_LEAVES = 4096
+SAMPLE_PER_LEAF = 16
 CELLS = 4_000_000  # differences held at a time
 
 _NEIGHBOURS = "id string, d double, n_id string, n_label double"
@@ -75,6 +78,66 @@ def _visit(tests: DataFrame, train: DataFrame, k: int, block_rows: int) -> DataF
     )
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Axes and cuts of the inner nodes in heap order; rows above a node's cut go to its second child."""
+
+    axes: np.ndarray
+    cuts: np.ndarray
+
+    @classmethod
+    def of(cls, sample: np.ndarray, leaves: int) -> Tree:
+        """A tree of at least ``leaves`` leaves: every node halves its rows along their widest feature."""
+        inner = (1 << max(leaves - 1, 0).bit_length()) - 1
+        axes, cuts, rows = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf), {0: sample}
+        for node in range(inner):
+            here = rows.pop(node, sample[:0])
+            spread = here.var(axis=0) if len(here) else np.zeros(sample.shape[1])
+            if spread.max(initial=0.0) > 0:
+                axis = int(spread.argmax())
+                values = np.sort(here[:, axis])
+                # Below the largest value, so that neither side is empty however many copies there are.
+                cut = min(values[(len(values) - 1) // 2], values[values < values[-1]][-1])
+                axes[node], cuts[node] = axis, cut
+                above = here[:, axis] > cut
+                rows[2 * node + 1], rows[2 * node + 2] = here[~above], here[above]
+        return cls(axes, cuts)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), dtype=np.int64)
+        for _ in range((len(self.axes) + 1).bit_length() - 1):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.axes[node]] > self.cuts[node])
+        return node - len(self.axes)
+
+
+@dataclass(frozen=True)
+class Boxes:
+    """Leaves that hold rows, and the least and largest value of every feature in each."""
+
+    leaves: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Distance of every row to every box."""
+        out = np.zeros((len(x), len(self.leaves)))
+        for j in range(x.shape[1]):
+            gap = np.maximum(self.low[:, j] - x[:, j, None], x[:, j, None] - self.high[:, j])
+            out += np.maximum(gap, 0.0) ** 2
+        return np.sqrt(out)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        step = max(1, CELLS // len(self.leaves))
+        return np.concatenate([self.leaves[self.distances(x[a : a + step]).argmin(axis=1)] for a in range(0, len(x), step)])
+
+    def within(self, x: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
+        step, out = max(1, CELLS // len(self.leaves)), []
+        for a in range(0, len(x), step):
+            near = self.distances(x[a : a + step]) <= reach[a : a + step, None]
+            out += [self.leaves[row] for row in near]
+        return out
+
+
 def nearest_neighbours(
     test: DataFrame, train: DataFrame, k: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -83,71 +146,60 @@ def nearest_neighbours(
     ``test`` has ``(id string, x array<double>)``, ``train`` also ``label``; ``d`` is the
     squared distance, ties go to the smaller id.
     """
-    sample = train.select("x").head()
-    if sample is None:
-        return test.sparkSession.createDataFrame([], _NEIGHBOURS)
-    width = len(sample[0])
-    spread = train.agg(*[F.var_pop(F.get("x", F.lit(i))).alias(str(i)) for i in range(width)], F.count(F.lit(1)).alias("n")).head()
-    n = spread["n"]
-    axis = max(range(width), key=lambda i: spread[str(i)] or 0.0)
-    train = train.withColumn("p", F.get("x", F.lit(axis)))
-    test = test.withColumn("p", F.get("x", F.lit(axis)))
-
-    slices = min(MAX_SLICES, n // block_rows + 1)
-    cuts: list[float] = []
-    if slices > 1:
-        shares = [i / slices for i in range(1, slices)]
-        cuts = sorted(set(train.stat.approxQuantile("p", shares, 0.25 / slices)))
-    slice_of = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("p"))) if cuts else F.lit(0)
-    train = train.withColumn("slice", slice_of)
-    test = test.withColumn("home", slice_of)
-    # One row per slice, at most MAX_SLICES: collected so that every step cuts alike.
-    bounds = (
-        train.groupBy("slice")
-        .agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .orderBy("slice")
-        .collect()
-    )
-    parts = {r["slice"]: r["n"] // block_rows + 1 for r in bounds}
-    part_count = F.create_map(*[F.lit(v) for kv in parts.items() for v in kv])
-    best = Window.partitionBy("id").orderBy("d", "n_id")
-    if len(bounds) == 1 and set(parts.values()) == {1}:
+    spark = test.sparkSession
+    n = train.count()
+    if not n:
+        return spark.createDataFrame([], _NEIGHBOURS)
+    if n < block_rows:
         # All training rows fit one block: a single visit is the answer.
-        only = test.select("id", "x", F.lit(bounds[0]["slice"]).alias("slice"), F.lit(0).alias("part"))
-        return _visit(only, train.withColumn("part", F.lit(0)), k, block_rows)
-    train = train.withColumn("part", F.pmod(F.xxhash64("id"), part_count[F.col("slice")]).cast("int"))
-    blocks = F.array(
-        *[
-            F.struct(
-                F.lit(r["slice"]).alias("slice"), F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi"),
-                F.lit(parts[r["slice"]]).alias("parts"),
-            )
-            for r in bounds
-        ]
+        only = test.select("id", "x", F.lit(0).alias("slice"), F.lit(0).alias("part"))
+        return _visit(only, train.withColumn("slice", F.lit(0)).withColumn("part", F.lit(0)), k, block_rows)
+    leaves = min(MAX_LEAVES, n // block_rows + 1)
+    sample = train.select(F.xxhash64("id").alias("place"), "id", "x").orderBy("place", "id").limit(SAMPLE_PER_LEAF * leaves).collect()
+    tree = Tree.of(np.array([r["x"] for r in sample]), leaves)
+
+    @F.pandas_udf("int")
+    def leaf_of(x: pd.Series) -> pd.Series:
+        return pd.Series(tree.leaf(np.stack(x.to_numpy()))) if len(x) else pd.Series([], dtype="int32")
+
+    train = train.withColumn("slice", leaf_of("x"))
+    # One row per leaf, at most twice MAX_LEAVES: collected so that every step prunes alike.
+    width = len(sample[0]["x"])
+    ends = [f(F.get("x", F.lit(j))).alias(f"{name}{j}") for j in range(width) for name, f in (("lo", F.min), ("hi", F.max))]
+    found = train.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), *ends).orderBy("slice").collect()
+    boxes = Boxes(
+        np.array([r["slice"] for r in found]),
+        np.array([[r[f"lo{j}"] for j in range(width)] for r in found]),
+        np.array([[r[f"hi{j}"] for j in range(width)] for r in found]),
     )
+    parts = spark.createDataFrame([(r["slice"], r["n"] // block_rows + 1) for r in found], "slice int, parts int")
+    train = train.join(parts, "slice").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
 
     # First visit: any k training rows bound the k-th distance from above.
-    present = F.array(*[F.lit(r["slice"]) for r in bounds])
-    nearest_home = F.array_min(
-        F.transform(present, lambda s: F.struct(F.abs(s - F.col("home")).alias("gap"), s.alias("slice")))
-    )["slice"]
+    @F.pandas_udf("int")
+    def nearest_leaf(x: pd.Series) -> pd.Series:
+        return pd.Series(boxes.nearest(np.stack(x.to_numpy()))) if len(x) else pd.Series([], dtype="int32")
+
     first = _visit(
-        test.select("id", "x", nearest_home.alias("slice"), F.lit(0).alias("part")), train, k, block_rows
+        test.select("id", "x", nearest_leaf("x").alias("slice"), F.lit(0).alias("part")), train, k, block_rows
     )
     reach = first.groupBy("id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d"))).otherwise(F.lit(float("inf"))).alias("reach")
-    )
-    # Second visit: every block whose interval the reach touches, itself included.
-    slack = F.col("reach") * (1 + 1e-9) + 1e-12
-    reachable = F.filter(
-        blocks, lambda b: (b["lo"] <= F.col("p") + slack) & (b["hi"] >= F.col("p") - slack)
+        F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d")) * (1 + 1e-9) + 1e-12).otherwise(F.lit(float("inf"))).alias("reach")
     )
+
+    # Second visit: every leaf whose box the reach touches, the first included.
+    @F.pandas_udf("array<int>")
+    def leaves_within(x: pd.Series, reach: pd.Series) -> pd.Series:
+        return pd.Series(boxes.within(np.stack(x.to_numpy()), reach.to_numpy()) if len(x) else [], dtype=object)
+
     todo = (
         test.join(reach, "id", "left")
         .withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-        .select("id", "x", F.explode(reachable).alias("b"))
-        .select("id", "x", "b.slice", F.explode(F.sequence(F.lit(0), F.col("b.parts") - 1)).alias("part"))
+        .select("id", "x", F.explode(leaves_within("x", "reach")).alias("slice"))
+        .join(parts, "slice")
+        .select("id", "x", "slice", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     )
+    best = Window.partitionBy("id").orderBy("d", "n_id")
     return (
         _visit(todo, train, k, block_rows)
         .withColumn("_rank", F.row_number().over(best))

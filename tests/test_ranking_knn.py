@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metricwatch.operators.knn import nearest_neighbours
+from metricwatch.operators.knn import Boxes, Tree, nearest_neighbours
 from metricwatch.operators.ranking import dense_ranks, quantiles, running_totals, value_counts
 from metricwatch.operators.stats import correlation, describe
 
@@ -112,3 +112,23 @@ def test_nearest_neighbours(spark, block_rows):
     for i, q in enumerate(test):
         want = sorted((float(((q - x) ** 2).sum()), f"t{j:03d}") for j, x in enumerate(train))[:k]
         assert [n for _, n in sorted(got[f"q{i:03d}"])] == [n for _, n in want]
+
+
+def test_tree_leaves_and_boxes():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.full((100, 5), 1.0), rng.normal(size=(200, 5)) * [1, 9, 2, 5, 1]])
+    tree = Tree.of(x[::3], 16)
+    leaf = tree.leaf(x)
+    assert len(tree.axes) == 15 and leaf.min() >= 0 and leaf.max() < 16 and len(set(tree.axes)) > 1
+    held = np.unique(leaf)
+    boxes = Boxes(held, np.array([x[leaf == i].min(axis=0) for i in held]), np.array([x[leaf == i].max(axis=0) for i in held]))
+    asked = rng.normal(size=(30, 5)) * 6
+    nearest = np.sqrt(((asked[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    bounds = boxes.distances(asked)
+    for j, i in enumerate(held):
+        assert (bounds[:, j] <= nearest[:, leaf == i].min(axis=1) + 1e-9).all()
+    reach = nearest.min(axis=1) + 1e-9
+    for found, row in zip(boxes.within(asked, reach), nearest):
+        assert leaf[row.argmin()] in found and len(found) < len(held)
+    assert len(Tree.of(np.ones((9, 2)), 4).axes) == 3 and set(Tree.of(np.ones((9, 2)), 4).leaf(np.ones((3, 2)))) == {0}
+    assert list(Tree.of(x, 1).leaf(x[:2])) == [0, 0]
