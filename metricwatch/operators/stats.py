@@ -7,11 +7,12 @@ from datetime import date
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricwatch.operators.selection import column_quantiles
+from metricwatch.sources.lineage import cut_lineage
 
 FORECAST_MEASURES = ("trend", "yhat", "yhat_lower", "yhat_upper", "fact")
 
@@ -113,3 +114,26 @@ def fiscal_total(forecast: DataFrame, cutoff: date, measures=FORECAST_MEASURES)
     """One row per series: sums of all measures from ``cutoff`` on."""
     rows = forecast.where(F.col("ds") >= F.lit(cutoff))
     return rows.groupBy("series").agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in measures])
+
+
+def out_of_order(df: DataFrame, keys: list[Column], ascending: tuple[bool, ...]) -> DataFrame:
+    """``(rows, out_of_order)``: rows of ``df``, and those that its own order puts behind a row they should precede.
+
+    ``keys`` must not be NULL.  Rows are compared inside their partition, and each partition's first row with the
+    last one of the filled partition before it.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    position = F.monotonically_increasing_id()
+    placed = cut_lineage(df.select(*[k.alias(n) for k, n in zip(keys, names)]).select("*", F.spark_partition_id().alias("part"), position.alias("at")))
+    key = F.struct(*names)
+    inside = Window.partitionBy("part").orderBy("at")
+    # One row per partition.
+    ends = placed.groupBy("part").agg(F.min_by(key, "at").alias("key"), F.max_by(key, "at").alias("last"))
+    across = ends.select("key", F.lag("last").over(Window.orderBy("part")).alias("before"))
+    pairs = placed.select(key.alias("key"), F.lag(key).over(inside).alias("before")).unionByName(across)
+    wrong = F.lit(False)
+    for name, up in reversed(list(zip(names, ascending))):
+        now, then = F.col(f"key.{name}"), F.col(f"before.{name}")
+        wrong = (now < then if up else now > then) | ((now == then) & wrong)
+    found = pairs.agg(F.count(F.when(F.col("before").isNotNull() & wrong, 1)).alias("out_of_order"))
+    return placed.agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(found))

@@ -411,6 +411,13 @@ def forecast_future(models: DataFrame, cfg: TrendConfig, horizon_days: int) -> D
     )
 
 
+def quantile_error(cfg: TrendConfig) -> float:
+    """Standard error of a simulated bound, in parts of the noise, where only noise is simulated."""
+    tail = (1 - cfg.interval_width) / 2
+    density = np.exp(-interval_z(cfg.interval_width) ** 2 / 2) / np.sqrt(2 * np.pi)
+    return float(np.sqrt(tail * (1 - tail) / cfg.draws) / density)
+
+
 def forecast(series: DataFrame, cfg: TrendConfig, horizon_days: int, models: DataFrame | None = None) -> DataFrame:
     """History and ``horizon_days`` further days in one forecast frame."""
     models = fit_trend(series, cfg) if models is None else models

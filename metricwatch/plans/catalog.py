@@ -28,7 +28,7 @@ from metricwatch.operators.knn import nearest_neighbours
 from metricwatch.operators.ranking import dense_ranks
 from metricwatch.operators.series import all_series, daily_series, human_visits
 from metricwatch.plans import reports
-from metricwatch.sources import StandInSources, cut_lineage
+from metricwatch.sources import StandInSources, cut_lineage, new_folder
 from metricwatch.sources.standins import (
     EVENTS_AS_OF,
     ORDERS_AS_OF,
@@ -47,6 +47,9 @@ POSTS_RULE = 13
 FORECAST_UNTIL = date(2002, 9, 30)
 FORECAST_CUTOFF = date(2001, 8, 1)
 NEIGHBOURS = ModelSettings().neighbours
+LINE_AHEAD_DAYS = 365
+# Standard errors that a quantile of simulated draws may be off.
+QUANTILE_ERRORS = 6
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -575,6 +578,26 @@ def svm_kernel_error(spark, sf_dir):
     return error.select("n_rows", F.round("mean_kernel", 3).alias("mean_kernel"), within.alias("within"))
 
 
+def _closed_study(spark, sf_dir):
+    # The classifiers that SQL can fit too, through the whole comparison: folds, final fits, test predictions.
+    rows, _ = _model_rows(spark, sf_dir)
+    return modeling.compare_models(cut_lineage(rows), models=("KNN", "GNB"))
+
+
+@query
+def closed_form_report(spark, sf_dir):
+    # The final fits of all training rows, judged on the test rows.
+    _, _, predictions = _closed_study(spark, sf_dir)
+    return rounded(modeling.classification_report(predictions, by=("model",)))
+
+
+@query
+def closed_form_best(spark, sf_dir):
+    # Models by mean ROC area of the folds, best first.
+    scores, _, _ = _closed_study(spark, sf_dir)
+    return rounded(modeling.select_best(scores))
+
+
 @query
 def fold_support(spark, sf_dir):
     # Training rows per fold and class: what every classifier of the study is scored on.
@@ -658,6 +681,151 @@ def trend_line_band(spark, sf_dir):
     )
 
 
+@query
+def trend_gradient_seasonal(spark, sf_dir):
+    # The same test for the configurations with yearly terms: outlook, budget and the stiff alternative.
+    series = _spend_series(spark, sf_dir)
+    configs = {"outlook": YEAR_AHEAD_TREND, "budget": BUDGET_TREND, "stiff": STIFF_TREND}
+    slopes = [
+        trend.fit_gradients(series, cut_lineage(trend.fit_trend(series, cfg)), cfg).select(
+            F.lit(name).alias("config"), "series", "term", "optimal"
+        )
+        for name, cfg in configs.items()
+    ]
+    return reduce(DataFrame.unionByName, slopes)
+
+
+@query
+def forecast_line(spark, sf_dir):
+    # Every series' straight line over its days and a year more, in parts of its largest value.  Without slope changes
+    # the simulated bounds are those of the noise but for the error of the draws' quantiles.
+    series = cut_lineage(_series(spark, sf_dir))
+    models = cut_lineage(trend.fit_trend(series, LINE_TREND))
+    days = trend.forecast(series, LINE_TREND, LINE_AHEAD_DAYS, models)
+    scaled = days.join(models.select("series", "sigma", "y_scale", "last_seen"), "series", "left")
+    future = F.col("ds") > F.col("last_seen")
+    slack = F.when(future, trend.quantile_error(LINE_TREND) * QUANTILE_ERRORS).otherwise(1e-9)
+    z = trend.interval_z(LINE_TREND.interval_width)
+
+    def near(bound: str, side: int):
+        away = (F.col(bound) - F.col("yhat")) / F.col("y_scale") - side * z * F.col("sigma")
+        return F.abs(away) <= slack * F.col("sigma") + 1e-9
+
+    return scaled.select(
+        "series", "ds", F.coalesce(future, F.lit(False)).alias("ahead"), F.round("fact", 4).alias("fact"),
+        *[F.round(F.col(c) / F.col("y_scale"), 4).alias(c) for c in ("trend", "yhat")],
+        (near("yhat_lower", -1) & near("yhat_upper", 1)).alias("bounded"),
+    )
+
+
+def _budget_line(spark, sf_dir) -> tuple[reports.SpendForecast, DataFrame]:
+    done = reports.spend_forecast(
+        StandInSources(spark, sf_dir), SPECS["warehouse_spend"], ORDERS_AS_OF, FORECAST_UNTIL, FORECAST_CUTOFF, LINE_TREND
+    )
+    return done, done.forecast.groupBy("series").agg(F.max(F.abs("fact")).alias("scale"))
+
+
+@query
+def forecast_line_monthly(spark, sf_dir):
+    # Monthly sums of the line's budget forecast, in parts of the largest day.
+    done, scale = _budget_line(spark, sf_dir)
+    return done.monthly.join(scale, "series").select(
+        "series", "month_end", *[F.round(F.col(c) / F.col("scale"), 4).alias(c) for c in ("trend", "yhat", "fact")],
+        ((F.col("yhat_lower") < F.col("yhat")) & (F.col("yhat") < F.col("yhat_upper"))).alias("inside"),
+    )
+
+
+@query
+def forecast_line_total(spark, sf_dir):
+    done, scale = _budget_line(spark, sf_dir)
+    return done.total.join(scale, "series").select(
+        "series", *[F.round(F.col(c) / F.col("scale"), 4).alias(c) for c in ("trend", "yhat", "fact")],
+        ((F.col("yhat_lower") < F.col("yhat")) & (F.col("yhat") < F.col("yhat_upper"))).alias("inside"),
+    )
+
+
+@query
+def forecast_parts(spark, sf_dir):
+    # The budget forecast, day by day: its trend, weekly and yearly parts add up to the expected value, which lies inside
+    # its bounds, and only past days have facts.
+    series = _spend_series(spark, sf_dir)
+    models = cut_lineage(trend.fit_trend(series, BUDGET_TREND))
+    days = cut_lineage(trend.forecast(series, BUDGET_TREND, trend.horizon_until(FORECAST_UNTIL, ORDERS_AS_OF), models))
+    parts = trend.components(days, models, BUDGET_TREND).groupBy("series", "ds").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("value").alias("whole"),
+        F.sum(F.when(F.col("component") == "trend", F.col("value"))).alias("base"),
+    )
+    size = F.greatest(F.abs("yhat"), F.abs("trend"), F.lit(1.0)) * 1e-9
+    return days.join(parts, ["series", "ds"]).select(
+        "series", "ds", "parts", F.col("fact").isNotNull().alias("observed"),
+        ((F.abs(F.col("whole") - F.col("yhat")) <= size) & (F.abs(F.col("base") - F.col("trend")) <= size)).alias("adds_up"),
+        ((F.col("yhat_lower") < F.col("yhat")) & (F.col("yhat") < F.col("yhat_upper"))).alias("inside"),
+    )
+
+
+@query
+def forecast_slope_changes(spark, sf_dir):
+    # The budget trend bends at each changepoint by the slope change reported there: the trend of the day before, the
+    # day itself and the day after, against the table of changepoints.
+    series = _spend_series(spark, sf_dir)
+    models = cut_lineage(trend.fit_trend(series, BUDGET_TREND))
+    points = trend.changepoints(models, BUDGET_TREND)
+    around = points.select("series", F.col("ds").alias("point"), "slope_change", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("step"))
+    around = cut_lineage(around.withColumn("ds", F.date_add("point", F.col("step"))))
+    base = trend.components(around.select("series", "ds").distinct(), models, BUDGET_TREND).where("component = 'trend'")
+    bend = F.sum(F.when(F.col("step") == 0, -2 * F.col("value")).otherwise(F.col("value")))
+    bent = around.join(base, ["series", "ds"]).groupBy("series", "point").agg(
+        bend.alias("bend"), F.max("slope_change").alias("slope_change"), F.max(F.abs("value")).alias("size")
+    )
+    return bent.select(
+        "series", F.col("point").alias("ds"), (F.abs(F.col("bend") - F.col("slope_change")) <= 1e-9 * F.col("size")).alias("bends"),
+    )
+
+
+def _line_report(spark, sf_dir) -> DataFrame:
+    return reports.anomaly_report(StandInSources(spark, sf_dir), STAND_IN_SERIES, as_of_for, LINE_TREND)
+
+
+@query
+def anomaly_report_line(spark, sf_dir):
+    # The whole report with the model that SQL can fit too.
+    return _line_report(spark, sf_dir).select("series", "ds", F.round("fact", 4).alias("fact"), "anomaly", F.round("importance", 4).alias("importance"))
+
+
+@query
+def published_alerts(spark, sf_dir):
+    # That report and its alerts, stored and read back: the series' folders against the alerts of the run's date.
+    folder = new_folder(spark, "published")
+    report = cut_lineage(_line_report(spark, sf_dir))
+    reports.publish_anomalies(report, folder, EVENTS_AS_OF)
+    scale = spark.read.parquet(f"{folder}/series").groupBy("series").agg(F.max(F.abs("fact")).alias("scale"))
+    return spark.read.parquet(f"{folder}/alerts").join(scale, "series").select(
+        "as_of", "series", "ds", F.round("fact", 4).alias("fact"), F.round(F.col("bound") / F.col("scale"), 4).alias("bound"),
+        "direction", F.round("importance", 4).alias("importance"),
+    )
+
+
+@query
+def report_order(spark, sf_dir):
+    # Rows of each sorted report, and how many of them come before their predecessor.
+    sources = StandInSources(spark, sf_dir)
+    rows, columns = _model_rows(spark, sf_dir)
+    reported = {
+        "anomalies": (_line_report(spark, sf_dir), [F.col("series"), F.col("ds")], (True, True)),
+        "spend": (
+            spend.spend_report(sources.table("query_history"), STAND_IN_SPEND),
+            [F.coalesce("cash_money_alltime", F.lit(float("-inf"))), F.unix_micros(F.col("start_time").cast("timestamp"))],
+            (False, False),
+        ),
+        "importance": (modeling.boosted_importance(rows, columns), [F.col("importance"), F.col("feature")], (False, True)),
+    }
+    found = [
+        stats.out_of_order(df, keys, ascending).select(F.lit(name).alias("report"), "rows", "out_of_order")
+        for name, (df, keys, ascending) in reported.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def trend_fit_stiff(spark, sf_dir):
     models = trend.fit_trend(_spend_series(spark, sf_dir), STIFF_TREND)

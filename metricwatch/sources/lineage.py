@@ -39,13 +39,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path of a folder below the shared one that nothing has written to yet."""
+    return f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     For large intermediates: compressed, and later branches read only the columns they use.
     The folder name starts with ``label``, so a finished run's tables are easy to find and drop.
     """
-    path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricwatch.config import SERIES_SPECS, ModelSettings, TrendConfig
+from metricwatch.operators import stats
 from metricwatch.operators.anomalies import label_anomalies
 from metricwatch.plans import reports
 from metricwatch.sources import Sources, StandInSources
@@ -92,3 +93,18 @@ def test_published_anomalies(spark, tmp_path):
     assert sorted((r.series, r.direction) for r in found.collect()) == [("a", "below"), ("b", "above")]
     assert spark.read.parquet(f"{tmp_path}/series").count() == 3
     assert spark.read.parquet(f"{tmp_path}/alerts").where("as_of = '2020-01-04'").count() == 2
+
+
+def test_out_of_order_counts_rows_behind_a_later_one(spark):
+    rows = spark.createDataFrame([(a, b) for a in (3, 1, 2, 1) for b in (1.0, 0.0)], "a int, b double")
+    keys = [F.col("a"), F.col("b")]
+    assert tuple(stats.out_of_order(rows.orderBy("a", "b"), keys, (True, True)).head()) == (8, 0)
+    assert tuple(stats.out_of_order(rows.orderBy(F.desc("a"), "b"), keys, (False, True)).head()) == (8, 0)
+    # Sorted up, read down: every step to another value of a.
+    assert tuple(stats.out_of_order(rows.orderBy("a", "b"), [F.col("a")], (False,)).head()) == (8, 2)
+    # One task, two pairs that fall in b and two steps that fall in a.
+    assert tuple(stats.out_of_order(rows.coalesce(1), keys, (True, True)).head()) == (8, 6)
+    assert tuple(stats.out_of_order(rows.where("a > 9"), keys, (True, True)).head()) == (0, 0)
+    # Each task in order, the tasks against each other not.
+    halves = rows.where("a = 3").orderBy("b").unionByName(rows.where("a = 1").orderBy("b"))
+    assert tuple(stats.out_of_order(halves, [F.col("a")], (True,)).head()) == (6, 1)

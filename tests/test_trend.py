@@ -129,3 +129,9 @@ def test_gradient_is_zero_at_the_fit_and_nowhere_else(spark, series):
     assert judged.where("NOT optimal").count() == 0
     moved = models.withColumn("beta", F.transform("beta", lambda b: b + 0.01))
     assert trend.fit_gradients(series, moved, cfg).where("NOT optimal AND series = 's'").count() > 20
+
+
+def test_quantile_error_is_that_of_normal_draws():
+    cfg = TrendConfig(interval_width=0.8, draws=400)
+    draws = np.random.default_rng(7).standard_normal((2000, cfg.draws))
+    assert np.quantile(draws, 0.9, axis=1).std() == pytest.approx(trend.quantile_error(cfg), rel=0.1)
