@@ -70,12 +70,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def shared_lines(docs: DataFrame, host: str, max_docs: int) -> DataFrame:
-    """``(doc_id, text_key, h, chars, total...)``: per row its distinct lines, with ``frequent`` set on those to remove.
+def host_sizes(docs: DataFrame, host: str) -> DataFrame:
+    """``(host, host_docs)``: distinct documents of each host, counted in two steps that combine before they shuffle."""
+    named = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col("doc_id").cast("long").alias("doc_id"))
+    return named.groupBy("host", "doc_id").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
 
-    A line is frequent if more than ``max_docs`` documents of its host have it.  The host's first
+
+def shared_lines(docs: DataFrame, host: str, max_docs: int, max_percent: int) -> DataFrame:
+    """``(doc_id, text_key, host, h, chars)``: per row its distinct lines, with ``frequent`` set on those to remove.
+
+    A line is frequent if more than ``max_docs`` documents of its host have it and these are more than
+    ``max_percent`` percent of the host's documents, so the limit grows with the host.  The host's first
     document with the line keeps it, so no text is lost to the corpus.  Documents are counted
-    after rows are reduced to (host, line, document), and both counts combine before they shuffle.
+    after rows are reduced to (host, line, document), and both counts combine before they shuffle; only lines
+    over ``max_docs`` meet their host's size.
     """
     text = F.coalesce("text", F.lit(""))
     lines = docs.select(
@@ -92,6 +100,9 @@ def shared_lines(docs: DataFrame, host: str, max_docs: int) -> DataFrame:
         .groupBy("host", "h")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("keeper"))
         .where(F.col("n_docs") > max_docs)
+        .join(host_sizes(docs, host), "host")
+        .where(F.col("n_docs") * 100 > F.col("host_docs") * max_percent)
+        .drop("host_docs")
     )
     return own.join(spread, ["host", "h"], "left").select(
         "doc_id", "text_key", "host", "h", "chars",
@@ -99,12 +110,12 @@ def shared_lines(docs: DataFrame, host: str, max_docs: int) -> DataFrame:
     )
 
 
-def line_verdicts(docs: DataFrame, host: str = "source", max_docs: int = 100, min_left: float = 0.3) -> DataFrame:
+def line_verdicts(docs: DataFrame, host: str = "source", max_docs: int = 10, max_percent: int = 1, min_left: float = 0.3) -> DataFrame:
     """``(doc_id, text_key, host, removed_chars, line_chars, depleted)`` of rows that have a line with a word.
 
     A row is depleted if less than ``min_left`` of its lines' characters stays.
     """
-    sums = shared_lines(docs, host, max_docs).groupBy("doc_id", "text_key", "host").agg(
+    sums = shared_lines(docs, host, max_docs, max_percent).groupBy("doc_id", "text_key", "host").agg(
         F.sum(F.when(F.col("frequent"), F.col("chars")).otherwise(0)).alias("removed_chars"),
         F.sum("chars").alias("line_chars"),
     )
@@ -112,19 +123,19 @@ def line_verdicts(docs: DataFrame, host: str = "source", max_docs: int = 100, mi
     return sums.withColumn("depleted", left < F.lit(min_left) * F.col("line_chars"))
 
 
-def assess(docs: DataFrame, host: str = "source", max_docs: int = 100, min_left: float = 0.3) -> DataFrame:
+def assess(docs: DataFrame, host: str = "source", max_docs: int = 10, max_percent: int = 1, min_left: float = 0.3) -> DataFrame:
     """Counts and verdict per row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
 
     A row fails the base rules with fewer than 50 words or when windows of three words that
     occur twice cover more than half of its words.  Otherwise it is kept unless the removal of
-    lines that more than ``max_docs`` documents of its host share leaves it depleted.
+    lines that more than ``max_docs`` documents and ``max_percent`` percent of its host share leaves it depleted.
 
     Null and empty texts have no words and fail the base rules.  A null host counts as the host
     ''.  Null doc_ids count as one document.  Repeated rows stay and give equal results; rows
     that share id, text and host count once.  An empty table gives an empty result; other columns are ignored.
     """
     base = base_counts(docs.withColumn("doc_id", F.col("doc_id")))
-    thin = line_verdicts(docs, host, max_docs, min_left).groupBy("doc_id", "text_key").agg(F.max("depleted").alias("depleted"))
+    thin = line_verdicts(docs, host, max_docs, max_percent, min_left).groupBy("doc_id", "text_key").agg(F.max("depleted").alias("depleted"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * F.lit(REPEAT_SHARE) * F.col("n_words"))
     b, t = base.alias("b"), thin.alias("t")
     joined = b.join(
@@ -137,12 +148,12 @@ def assess(docs: DataFrame, host: str = "source", max_docs: int = 100, min_left:
     )
 
 
-def clean(docs: DataFrame, host: str = "source", max_docs: int = 100, min_left: float = 0.3) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", max_docs: int = 10, max_percent: int = 1, min_left: float = 0.3) -> DataFrame:
     """``docs`` without the frequent lines, and without the rows that this leaves depleted.
 
     Columns stay; only ``text`` changes.  Rows without any line to remove keep their text as it is.
     """
-    lines = shared_lines(docs, host, max_docs)
+    lines = shared_lines(docs, host, max_docs, max_percent)
     per_row = lines.groupBy("doc_id", "text_key", "host").agg(
         F.collect_set(F.when(F.col("frequent"), F.col("h"))).alias("__gone"),
         F.sum(F.when(F.col("frequent"), 0).otherwise(F.col("chars"))).alias("__left"),

@@ -91,7 +91,10 @@ WITH given AS (
 ), doubled AS (
     SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM named GROUP BY doc_id
 ), spread AS (
-    SELECT host, plain, min(doc_id) AS keeper FROM named GROUP BY ALL HAVING count(DISTINCT doc_id) > 100
+    SELECT host, plain, keeper
+    FROM (SELECT host, plain, min(doc_id) AS keeper, count(DISTINCT doc_id) AS n FROM named GROUP BY ALL)
+    JOIN (SELECT host, count(DISTINCT doc_id) AS docs FROM given GROUP BY host) USING (host)
+    WHERE n > 10 AND 100 * n > 1 * docs
 ), thin AS (
     SELECT doc_id, sum(length(line)) FILTER (keeper IS NULL OR keeper = doc_id) AS kept_chars, sum(length(line)) AS all_chars
     FROM named LEFT JOIN spread USING (host, plain) GROUP BY doc_id

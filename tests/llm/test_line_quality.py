@@ -79,3 +79,24 @@ def test_clean(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert line_quality.assess(empty).count() == 0 and line_quality.clean(empty).count() == 0
+
+
+def test_limits_of_the_query_grow_with_the_host(spark):
+    """A host of 1500 documents removes lines of 16 documents on, one of 40 those of 11 on; texts made of them go."""
+    own = lambda host, i: " ".join(f"{host}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    shared = lambda name: " ".join(f"{name}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    groups = {"big": {"often": 16, "seldom": 15}, "small": {"often": 11, "seldom": 10}}
+    rows, doc = [], 0
+    for host, size in (("big", 1500), ("small", 40)):
+        names = [name for name, n in groups[host].items() for _ in range(n)]
+        for i in range(size):
+            rows.append((doc, shared(host + names[i]) if i < len(names) else own(host, i), host))
+            doc += 1
+    df = spark.createDataFrame([(d, t, s, 1, "x") for d, t, s in rows], SCHEMA).repartition(5)
+    found = {r.doc_id: r for r in line_quality.assess(df).collect()}
+    assert len(found) == 1540 and not any(r.base_failed for r in found.values())
+    # The first document with a line keeps it.
+    gone = [d for d, r in found.items() if not r.kept]
+    assert sorted(gone) == [*range(1, 16), *range(1501, 1511)]
+    left = {r.doc_id for r in line_quality.clean(df).collect()}
+    assert left == set(found) - set(gone)
