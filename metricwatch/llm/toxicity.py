@@ -34,11 +34,12 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """Per n-gram bucket ``gain`` (log-count ratio times weight) and ``size`` (absolute ratio), and the bias."""
+    """Per n-gram bucket ``gain`` (log-count ratio times weight) and ``size`` (absolute ratio), the bias, and the labels' log odds."""
 
     gain: np.ndarray
     size: np.ndarray
     bias: float
+    prior: float
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -135,7 +136,7 @@ def fit(texts: DataFrame, known: DataFrame, settings: Settings) -> Model:
     found = rows.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "weight binary, bias double").first()
     weight = np.frombuffer(found["weight"], float) if found else np.zeros(1 << settings.bits)
     gain = settings.scale * ratio * weight
-    return Model(gain.astype(np.float32), np.abs(ratio).astype(np.float32), found["bias"] if found else prior)
+    return Model(gain.astype(np.float32), np.abs(ratio).astype(np.float32), found["bias"] if found else prior, prior)
 
 
 def _descend(texts: list[bytes], marks: list[int], ratio: np.ndarray, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
@@ -198,8 +199,10 @@ class Scorer:
             if new:
                 self.learn(new)
             at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            # The bias is fitted beside features that never cancel; without a word only the labels' share is known.
             gain, size = self.sums[:, at].sum(axis=1) if words else (0.0, 0.0)
-            out.append(float(1 / (1 + np.exp(-gain / max(size, 1e-9) - self.model.bias))))
+            odds = gain / max(size, 1e-9) + self.model.bias if words else self.model.prior
+            out.append(float(1 / (1 + np.exp(-odds))))
         return out
 
 
@@ -210,7 +213,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     log-count ratio and over the sum of their absolute values; a logistic model weighs them.
     It learns from labelled ids outside the held-out quarter only.
 
-    Null, empty and wordless texts get the model's bias alone.  Rows with a null doc_id are scored and
+    Null, empty and wordless texts get the share of toxic labels.  Rows with a null doc_id are scored and
     not held out.  Repeated rows get equal scores.  Empty ``docs`` give an empty result, empty labels
     one score for all; other columns are ignored.
     """
@@ -232,9 +235,15 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 
 def reject(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without the rows predicted toxic; all columns stay, ``text`` as it is."""
+    """``docs`` without the rows predicted toxic; all columns stay, ``text`` as it is.
+
+    Null, empty and wordless texts score the share of toxic labels.  Where ``docs`` has no labelled texts of both
+    kinds nothing is learned and all rows stay.
+    """
     texts = identified(docs)
     model = fit(texts, written(training_labels(labels), "toxicity-labels"), settings)
+    if not model.gain.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,13 +26,13 @@ def test_word_sums_are_text_counts():
     settings = toxicity.Settings(bits=12)
     rng = np.random.default_rng(0)
     ratio, weight = rng.normal(size=1 << 12), rng.normal(size=1 << 12)
-    model = toxicity.Model(settings.scale * ratio * weight, np.abs(ratio), -0.5)
+    model = toxicity.Model(settings.scale * ratio * weight, np.abs(ratio), -0.5, -2.0)
     texts = ["a bad Text", "É ß 🙂 word word", "", " ", "x" * 1000, "\x02 \x03b", "one two three " * 500]
     scorer = toxicity.Scorer(model, settings, limit=4)
     for text, score in zip(texts, scorer.scores([t.encode() for t in texts])):
         buckets, counts = toxicity.text_counts(text.encode(), settings)
         scaled = counts * ratio[buckets]
-        z = settings.scale * (scaled / max(np.abs(scaled).sum(), 1e-9) * weight[buckets]).sum() - 0.5
+        z = settings.scale * (scaled / max(np.abs(scaled).sum(), 1e-9) * weight[buckets]).sum() - 0.5 if text.split() else -2.0
         assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
 
 
@@ -48,7 +48,9 @@ def test_odd_rows(spark):
         if r.doc_id is not None and r.doc_id < 120:
             assert r.predicted == int(r.doc_id % 3 == 0)
     blank = {r.score for r in found if r.doc_id in (500, 501, 502)}
-    assert len(blank) == 1
+    used = [i % 3 == 0 for i in (*range(120), 3) if zlib.crc32(str(i).encode()) % 4 != 2]
+    odds = (sum(used) + 1) / (len(used) - sum(used) + 1)
+    assert len(blank) == 1 and abs(blank.pop() - odds / (1 + odds)) < 1e-9
     kept = toxicity.reject(docs, labels)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in found if not r.predicted)
