@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricwatch.sources import written
+from metricwatch.sources import new_folder, written
 
 # The template's control strings, and others that a text must not contain unescaped.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -125,7 +125,10 @@ def _chained(blocks: DataFrame, steps: int, budget: int, history: int) -> DataFr
     A block's last window stays open: the next block begins with its turns, and with those that a
     window's history can reach.  Each has a few tokens of the template, so these are few.
     """
-    rest = written(blocks, "chat-blocks")
+    # A folder a step, so that each step reads its own blocks only.
+    folder = new_folder(blocks.sparkSession, "chat-blocks")
+    blocks.write.partitionBy("step").parquet(folder)
+    rest = blocks.sparkSession.read.schema(blocks.schema).parquet(folder)
     done, state = [], None
     for step in range(1, steps + 1):
         own = rest.where(F.col("step") == step)
