@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,23 @@ def identified(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets ``docs`` have columns named like an operator's own ones, which begin with ``__``: these get other names meanwhile."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        free = (name for i in range(2 * len(taken) + 1) if (name := f"shielded_{i}") not in taken)
+        hidden = {c: next(free) for c in docs.columns if c.startswith("__")}
+        if not hidden:
+            return operator(docs, *args, **kwargs)
+        named = lambda v: hidden.get(v, v) if isinstance(v, str) else v
+        found = operator(docs.withColumnsRenamed(hidden), *map(named, args), **{k: named(v) for k, v in kwargs.items()})
+        return found.withColumnsRenamed({name: c for c, name in hidden.items()})
+
+    return run
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; null is empty."""
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from metricwatch.llm.common import SPACE, identified, text_key, utf8
+from metricwatch.llm.common import SPACE, identified, shielded, text_key, utf8
 from metricwatch.llm.line_quality import BLANKS
 from metricwatch.llm.suffixes import packed, unpacked
 from metricwatch.sources import discard, written
@@ -203,6 +203,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     return gone
 
 
+@shielded
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """``docs`` without the lines that repeat an earlier line up to one replaced, added or dropped word.
 

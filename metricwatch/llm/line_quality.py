@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricwatch.llm.common import SPACE, text_key
+from metricwatch.llm.common import SPACE, shielded, text_key
 
 # White space, symbols and base limits of the rules.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -148,6 +148,7 @@ def assess(docs: DataFrame, host: str = "source", max_docs: int = 10, max_percen
     )
 
 
+@shielded
 def clean(docs: DataFrame, host: str = "source", max_docs: int = 10, max_percent: int = 1, min_left: float = 0.3) -> DataFrame:
     """``docs`` without the frequent lines, and without the rows that this leaves depleted.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricwatch.llm.common import shielded
 from metricwatch.sources import written
 
 # A mean above this is drawn as a sum of independent draws, so a distribution table stays short.
@@ -84,6 +85,7 @@ def repetitions(docs: DataFrame, source: str, weights: DataFrame | None, tempera
     return joined.withColumn("__copies", count).drop("__source", "__draws", "__levels", "__u")
 
 
+@shielded
 def mix(docs: DataFrame, source: str = "source", weights: DataFrame | None = None, temperature: float = 2.0,
         epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """``docs`` repeated to the target mixture in a global random order; adds ``copy`` (from 1) and ``shuffle_key``.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from metricwatch.llm.common import components, identified, map_batches, text_key, utf8
+from metricwatch.llm.common import components, identified, map_batches, shielded, text_key, utf8
 from metricwatch.sources import written
 
 SEED = 42
@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bucket_limit: int = 32) ->
     )
 
 
+@shielded
 def keep_one(docs: DataFrame, width: int = 3, bucket_limit: int = 32) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id, then text key.
 
