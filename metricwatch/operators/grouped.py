@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from metricwatch.sources.lineage import cut_lineage
 
 # Training rows in one partition.
-ROWS_PER_PARTITION = 50_000
+ROWS_PER_PARTITION = 10_000
 
 
 def members(fold: np.ndarray, groups: int) -> np.ndarray:

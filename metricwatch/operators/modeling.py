@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import LinearSVC, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ from metricwatch.functions import hash_percent
 from metricwatch.operators import grouped, kernel
 from metricwatch.operators.knn import knn_scores
 from metricwatch.operators.ranking import running_totals
-from metricwatch.sources.lineage import cut_lineage
+from metricwatch.sources.lineage import cut_lineage, new_folder
 
 SCORE_SCHEMA = (
     "model string, fold int, fit_time double, score_time double, test_accuracy double, "
@@ -93,14 +94,49 @@ def _margin(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.get(vector_to_array("rawPrediction"), F.lit(1)))
 
 
-def _probability(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+# The driver holds the nodes of the trees it grows, and a deep tree's nodes grow with its rows: so many
+# rows times trees at a time, for so many groups side by side.
+TREE_ROWS = 400_000
+FORESTS_AT_ONCE = 3
 
 
-def _spark_ml(estimator, score: Callable[[DataFrame], DataFrame]):
+@dataclass
+class Forest:
+    """Parts of a forest in the shared folder, and the shares of its features' importance."""
+
+    parts: list[str]
+    importances: np.ndarray
+
+
+def _forest(cfg: ModelSettings):
+    """A random forest, grown and applied part by part; a part's trees leave the driver when they are written or applied."""
+
     def fit(train: DataFrame) -> Fitted:
-        model = estimator.fit(train)
-        return Fitted(lambda df: score(model.transform(df)), model)
+        size = min(max(TREE_ROWS // max(train.count(), 1), 1), cfg.trees)
+        forest = Forest([], np.zeros(len(train.first()["features"])))
+        for k, first in enumerate(range(0, cfg.trees, size)):
+            trees = min(size, cfg.trees - first)
+            # Spark's own choice for several trees, also where a part has but one.
+            features = "sqrt" if cfg.trees > 1 else "auto"
+            model = RandomForestClassifier(
+                numTrees=trees, maxDepth=cfg.tree_depth, featureSubsetStrategy=features, seed=cfg.seed + 1_000_003 * k
+            ).fit(train)
+            forest.parts.append(new_folder(train.sparkSession, "forest"))
+            model.write().save(forest.parts[-1])
+            forest.importances += model.featureImportances.toArray() * trees / cfg.trees
+            del model
+
+        def predict(df: DataFrame) -> DataFrame:
+            votes = df.withColumn("_votes", F.array(F.lit(0.0), F.lit(0.0)))
+            own = vector_to_array("rawPrediction")
+            for part in forest.parts:
+                judged = RandomForestClassificationModel.load(part).transform(votes)
+                total = F.zip_with("_votes", own, lambda a, b: a + b)
+                votes = cut_lineage(judged.select(*df.columns, total.alias("_votes")))
+            no, yes = (F.get("_votes", F.lit(c)) for c in (0, 1))
+            return votes.withColumn("score", yes / (no + yes)).withColumn("prediction", (yes > no).cast("double")).drop("_votes")
+
+        return Fitted(predict, forest)
 
     return fit
 
@@ -150,18 +186,20 @@ def kernel_error(rows: DataFrame, cfg: ModelSettings = ModelSettings()) -> DataF
     return kernel.residuals(train, kernel.fit_basis(train, gamma, cfg.svm_features, cfg.svm_candidates, cfg.svm_tolerance))
 
 
-def _per_group(fit_one: Callable[[DataFrame], Fitted], cfg: ModelSettings):
-    """A classifier that is fitted group by group, side by side; a group with one class predicts that class."""
+def _per_group(fit_one: Callable[[DataFrame], Fitted], at_once: int):
+    """A classifier that is fitted group by group, some side by side; a group with one class predicts that class."""
 
     def fit(train: DataFrame, folds: int) -> GroupFit:
         counts = grouped.class_counts(train, folds + 1)
         usable = [g for g in range(folds + 1) if counts[g].min() > 0]
-        with ThreadPool(cfg.parallelism) as pool:
+        with ThreadPool(at_once) as pool:
             found = pool.map(lambda g: fit_one(train.where(F.col("fold") != g)), usable, chunksize=1)
         fitted = dict(zip(usable, found))
 
         def predict(rows: DataFrame) -> DataFrame:
-            parts = [f.predict(rows.where(F.col("group") == g)).select(*rows.columns, "score", "prediction") for g, f in fitted.items()]
+            judged = lambda g: fitted[g].predict(rows.where(F.col("group") == g)).select(*rows.columns, "score", "prediction")
+            with ThreadPool(at_once) as pool:
+                parts = pool.map(judged, usable, chunksize=1)
             for g in set(range(folds + 1)) - set(usable):
                 sole = float(counts[g, 1] > 0)
                 parts.append(rows.where(F.col("group") == g).select("*", F.lit(2 * sole - 1).alias("score"), F.lit(sole).alias("prediction")))
@@ -196,12 +234,11 @@ def _boosting(cfg: ModelSettings) -> grouped.Boosting:
 
 def _classifiers(cfg: ModelSettings) -> dict[str, Callable[[DataFrame, int], GroupFit]]:
     boosting = _boosting(cfg)
-    forest = RandomForestClassifier(numTrees=cfg.trees, maxDepth=cfg.tree_depth, seed=cfg.seed)
     return {
         "LogReg": _together(lambda t, g, w: grouped.logistic(t, g, w, 1.0 / cfg.logistic_c, cfg.logistic_iterations)),
-        "RF": _per_group(_spark_ml(forest, _probability), cfg),
-        "KNN": _per_group(_neighbours(cfg), cfg),
-        "SVM": _per_group(_kernel_svm(cfg), cfg),
+        "RF": _per_group(_forest(cfg), min(FORESTS_AT_ONCE, cfg.parallelism)),
+        "KNN": _per_group(_neighbours(cfg), cfg.parallelism),
+        "SVM": _per_group(_kernel_svm(cfg), cfg.parallelism),
         "GNB": _together(grouped.naive_bayes),
         "XGB": _together(lambda t, g, w: grouped.boosted_trees(t, g, w, boosting)),
     }
@@ -384,7 +421,7 @@ def feature_importance(fitted: GroupFit, features: list[str], spark: SparkSessio
     if isinstance(fitted.model, grouped.GroupedModel):
         shares = fitted.model.detail.importances
     else:
-        shares = fitted.model[max(fitted.model)].model.featureImportances.toArray()
+        shares = fitted.model[max(fitted.model)].model.importances
     return spark.createDataFrame(list(zip(features, shares.tolist())), "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )

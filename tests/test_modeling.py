@@ -93,3 +93,22 @@ def test_linear_support_vectors(rows):
 
     scores, _, _ = modeling.compare_models(rows, replace(QUICK, svm_features=0), ("SVM",), folds=2)
     assert all(r.test_roc_auc > 0.9 for r in scores.collect())
+
+
+def test_a_forest_is_grown_in_parts_of_bounded_size(spark, rows, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    grown, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: grown.append((self.getNumTrees(), df.count())) or fit(self, df))
+    whole, fitted, _ = modeling.compare_models(rows, QUICK, ("RF",), folds=2)
+    assert [n for n, _ in grown] == [QUICK.trees] * 3
+    grown.clear()
+    monkeypatch.setattr(modeling, "TREE_ROWS", 300)
+    scores, parts, predictions = modeling.compare_models(rows, QUICK, ("RF",), folds=2)
+    assert sum(n for n, _ in grown) == 3 * QUICK.trees and all(n == 1 or n * m <= 300 for n, m in grown) and len(grown) > 6
+    assert predictions.count() == rows.where("is_test").count()
+    for a, b in zip(whole.orderBy("fold").collect(), scores.orderBy("fold").collect()):
+        assert abs(a.test_roc_auc - b.test_roc_auc) < 0.1
+    for found in (fitted["RF"], parts["RF"]):
+        assert [r.feature for r in modeling.feature_importance(found, ["signal", "noise"], spark).collect()] == ["signal", "noise"]
+        assert modeling.feature_importance(found, ["signal", "noise"], spark).agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
