@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 5_000
 MAX_LEAVES = 4096
 SAMPLE_PER_LEAF = 16
-CELLS = 4_000_000  # differences held at a time
+CELLS = 1_000_000  # differences held at a time
 
 _NEIGHBOURS = "id string, d double, n_id string, n_label double"
 

@@ -1,12 +1,15 @@
 """Partitioned ranks, quantiles and neighbours against brute force."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from metricwatch.operators import knn
 from metricwatch.operators.knn import Boxes, Tree, nearest_neighbours
 from metricwatch.operators.ranking import dense_ranks, quantiles, running_totals, value_counts
 from metricwatch.operators.stats import correlation, describe
@@ -132,3 +135,16 @@ def test_tree_leaves_and_boxes():
         assert leaf[row.argmin()] in found and len(found) < len(held)
     assert len(Tree.of(np.ones((9, 2)), 4).axes) == 3 and set(Tree.of(np.ones((9, 2)), 4).leaf(np.ones((3, 2)))) == {0}
     assert list(Tree.of(x, 1).leaf(x[:2])) == [0, 0]
+
+
+def test_a_block_of_neighbours_takes_little_memory():
+    rng, n = np.random.default_rng(1), 2000
+    trains = pd.DataFrame({"n_id": [f"t{i:05d}" for i in range(n)], "n_x": list(rng.normal(size=(n, 25))), "n_label": 0.0})
+    tests = pd.DataFrame({"id": [f"q{i}" for i in range(n)], "x": list(rng.normal(size=(n, 25)))})
+    tracemalloc.start()
+    try:
+        found = knn._nearest(5)(tests, trains)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 5 * n and peak < 25e6
