@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from metricwatch.llm.common import SPACE, identified, shielded, text_key, utf8
+from metricwatch.llm.common import SPACE, identified, shielded, small_batches, text_key, utf8
 from metricwatch.llm.line_quality import BLANKS
 from metricwatch.llm.suffixes import packed, unpacked
 from metricwatch.sources import discard, written
@@ -153,7 +153,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     3. Equal variants are joined, the distance is verified on the words, the earliest stays.
     """
     texts = identified(docs)
-    all_lines = written(lines(texts, min_words), "lines-hashed")
+    with small_batches(docs.sparkSession):
+        all_lines = written(lines(texts, min_words), "lines-hashed")
     first = F.min(F.struct("doc_id", "line", "text_key")).alias("first")
     distinct = written(all_lines.groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("n")), "lines-distinct")
     copies = written(
@@ -196,7 +197,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
         other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
     ).drop("__id", "__key")
     found = joined.mapInArrow(run, "doc_id long, text_key long, line long, variants array<long>, text string")
-    candidates = written(found.select(F.struct("doc_id", "line", "text_key").alias("place"), "variants", "text"), "lines-candidates")
+    with small_batches(docs.sparkSession):
+        candidates = written(found.select(F.struct("doc_id", "line", "text_key").alias("place"), "variants", "text"), "lines-candidates")
     near = near_links(candidates).select("place.doc_id", "place.text_key", "place.line")
     gone = written(copies.unionByName(near).distinct(), "lines-gone")
     discard(copies, wanted, candidates)

@@ -2,7 +2,7 @@
 
 import random
 
-from metricwatch.llm import line_dedup
+from metricwatch.llm import common, line_dedup
 
 SCHEMA = "doc_id long, text string, n_chars int, h string, line string"
 
@@ -74,3 +74,24 @@ def test_slices_hold_whole_lines(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    before, written, during = spark.conf.get(common.BATCH_SETTING), line_dedup.written, {}
+
+    def noted(df, label):
+        during[label] = spark.conf.get(common.BATCH_SETTING)
+        return written(df, label)
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    line_dedup.dedup_lines(spark.createDataFrame(rows_of(), "doc_id long, text string")).count()
+    assert {during["lines-hashed"], during["lines-candidates"]} == {str(common.BATCH_BYTES)}
+    assert spark.conf.get(common.BATCH_SETTING) == before
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('some words ', 500) AS text")  # 16 MB in one partition
+    sized = common.map_batches(texts, lambda b: b.from_pydict({"bytes": [b.nbytes]}), "bytes long")
+    with common.small_batches(spark):
+        found = [r.bytes for r in sized.collect()]
+    assert sum(found) > 15 << 20 and max(found) < common.BATCH_BYTES + (1 << 20)
