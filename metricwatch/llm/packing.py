@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,22 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _AXES = np.random.default_rng(11).standard_normal((BUCKETS, DIMENSIONS))
 
 
-# Fixed value: letters up to here are single letters in composed lower case.
-LAST_LETTER = "\u00ff"
 WORD_END = "\n"
+MARK = b"\x1f"  # stands for a word that is encoded by itself
+# Bytes of text encoded at a time; longer texts are cut at white space.
+SLICE_BYTES = 1 << 20
+_CUTS = re.compile(rb"(?s).{1,%d}[^\x20\x09-\x0D]*" % SLICE_BYTES)
+_ODD = re.compile(rb"[\xc4-\xff\x1f]")  # in UTF-8: characters beyond Latin-1, and the mark
+
+# How the tokenizer cleans and splits texts, which ``piece_ends`` repeats for Latin-1.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACES, LETTER, NUMBER, OTHER = range(4)
+_LOWER = "".join(map(chr, range(256))).lower().encode("latin-1")
+_KINDS = np.array(
+    [SPACES if c in "\t\n\v\f\r \x85\xa0" else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in map(chr, range(256))],
+    dtype=np.uint8,
+)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -37,10 +52,15 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
     A rank table joins any two neighbours whose bytes are in the vocabulary, a list of merges
     only the listed pair.  They agree on all words if they do on every token's own bytes: whenever
     two symbols cover exactly a token's bytes, what happened inside them is what happens to
-    these bytes alone.  ``None`` if that does not hold, or ids do not follow the merges.
+    these bytes alone.  ``None`` if that does not hold, ids do not follow the merges, or texts are cleaned and split in another way.
     """
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model, split = whole["model"], [p.get("pattern", {}).get("Regex") for p in (whole.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    if (whole.get("normalizer") or {}).get("normalizers") != NORMALIZERS or split != [PIECES, None]:
+        return None
+    if any(t["normalized"] or not t["content"] or t["content"].split() != [t["content"]] for t in whole["added_tokens"]):
+        return None
     if model.get("end_of_word_suffix") != "</w>" or model.get("dropout") or model.get("ignore_merges"):
         return None
     symbols, end = byte_symbols(), WORD_END.encode()
@@ -72,12 +92,29 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
     return ranks
 
 
+def piece_ends(data: np.ndarray) -> np.ndarray:
+    """Where pieces of lower-case Latin-1 text end: runs of letters or of other characters, single numbers, and the seven endings behind a quote."""
+    kind = _KINDS[data]
+    ends = (kind != SPACES) & ((kind == NUMBER) | (kind != np.append(kind[1:], np.uint8(SPACES))))
+    quotes = np.flatnonzero(data == ord("'"))
+    quotes = quotes[(quotes == 0) | (kind[quotes - 1] != OTHER)]  # inside a run of other characters a quote is one of them
+    padded = np.append(data, np.zeros(2, np.uint8))
+    first, second = padded[quotes + 1], padded[quotes + 2]
+    short = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+    long = np.isin(first.astype(np.uint16) << 8 | second, np.frombuffer(b"revell", ">u2"))
+    ends[quotes[short | long]] = False
+    ends[quotes[short] + 1] = True
+    ends[quotes[long] + 2] = True
+    return ends
+
+
 class WordTokens:
-    """Token ids (little-endian 32-bit bytes) of texts, looked up word by word.
+    """Token ids (little-endian 32-bit bytes) of texts, encoded at once or looked up word by word.
 
     The tokenizer lower-cases, drops white space and never merges across it, so a text's ids are
-    the ids of its words, which repeat.  At most ``limit`` words are remembered.  With ``ranks``
-    words of plain letters are encoded from the rank table, many at once.
+    the ids of its words.  With ``ranks`` all words in Latin-1 are encoded from the rank table, a slice
+    of texts at a time; other words, and those with a special token, go through the tokenizer.  At most
+    ``limit`` of such words, which repeat, are remembered.
     """
 
     def __init__(self, path: str, ranks: dict[bytes, int] | None = None, limit: int = 200_000):
@@ -85,7 +122,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-        self.marks = dict(zip(("", ".", ","), (b"", *self._encode([".", ","]))))
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = None
         if ranks:
             import tiktoken
@@ -93,48 +130,81 @@ class WordTokens:
             self.plain = tiktoken.Encoding("words", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens={})
             self.ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
             self.ends[[i for b, i in ranks.items() if b.endswith(WORD_END.encode())]] = True
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def _encode_plain(self, stems: list[str]) -> list[bytes]:
-        ids = np.array(self.plain.encode_ordinary(WORD_END.join(stems) + WORD_END), dtype="<u4")
-        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *stops], stops)]
+            self.mark = ranks[MARK + WORD_END.encode()]
 
     def learn(self, words: set[bytes]) -> None:
-        whole, parts = [], []
-        given = list(words)
-        for w, text in zip(given, b"\n".join(given).decode().lower().split("\n")):
-            stem = text[:-1] if text[-1] in ".," else text
-            if self.plain and stem.isalpha() and (stem.isascii() or max(stem) <= LAST_LETTER):
-                parts.append((w, stem, text[len(stem) :]))
-            else:
-                whole.append((w, w.decode()))
-        if whole:
-            self.known.update(zip((w for w, _ in whole), self._encode([t for _, t in whole])))
-        if parts:
-            found = self._encode_plain([stem for _, stem, _ in parts])
-            self.known.update((w, ids + self.marks[mark]) for (w, _, mark), ids in zip(parts, found))
+        """Afterwards the ids of these words, but not of all earlier ones, are in ``known``."""
+        if new := words.difference(self.known):
+            if len(self.known) + len(new) > self.limit:
+                self.known, new = {}, words
+            given = list(new)
+            found = self.tokenizer.encode_batch([w.decode() for w in given], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(given, found))
+
+    def _by_word(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        self.learn(set().union(*words))
+        known = self.known.__getitem__
+        return [b"".join(map(known, ws)) for ws in words]
+
+    def _latin(self, text: bytes, odd: list[bytes]) -> bytes:
+        """The text in Latin-1; words that it can't hold are added to ``odd`` and leave a mark."""
+        if MARK not in text and not any(s in text for s in self.special):
+            if text.isascii():
+                return text
+            try:
+                return text.decode().encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+        words = text.split()
+        for i, w in enumerate(words):
+            if _ODD.search(w) or any(s in w for s in self.special):
+                odd.append(w)
+                words[i] = MARK
+        return b" ".join(words).decode().encode("latin-1")
+
+    def _at_once(self, texts: list[bytes]) -> list[bytes]:
+        odd: list[bytes] = []
+        latin = [self._latin(t, odd) for t in texts]
+        data = np.frombuffer(b"\n".join(latin).translate(_LOWER), np.uint8)
+        ends = piece_ends(data)
+        times = (_KINDS[data] != SPACES).astype(np.int8) + ends  # a piece's last character and its end
+        stream = np.repeat(data, times)
+        stream[np.cumsum(times)[ends] - 1] = ord(WORD_END)
+        ids = np.array(self.plain.encode_ordinary(stream.tobytes().decode("latin-1")), dtype="<u4")
+        # The texts' places among characters, pieces and ids.
+        upto = np.cumsum([len(t) + 1 for t in latin]) - 1
+        upto = np.append(0, np.cumsum(ends))[upto]
+        upto = np.append(0, np.flatnonzero(self.ends[ids]) + 1)[upto]
+        marks = np.flatnonzero(ids == self.mark)
+        self.learn(set(odd))
+        whole, out, at = ids.tobytes(), [], 0
+        for stop, a, b in zip(upto.tolist(), *np.searchsorted(marks, [np.append(0, upto[:-1]), upto]).tolist()):
+            parts = []
+            for place, word in zip(marks[a:b].tolist(), odd[a:b]):
+                parts += [whole[4 * at : 4 * place], self.known[word]]
+                at = place + 1
+            out.append(b"".join([*parts, whole[4 * at : 4 * stop]]))
+            at = stop
+        return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        out, at = [], 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (end == at or size < 1 << 20):
-                size, end = size + len(texts[end]), end + 1
-            words = [t.split() for t in texts[at:end]]
-            distinct = set().union(*words)
-            new = distinct.difference(self.known)
-            if new:
-                if len(self.known) + len(new) > self.limit:
-                    self.known, new = {}, distinct
-                self.learn(new)
-            known = self.known.__getitem__
-            out += [b"".join(map(known, ws)) for ws in words]
-            at = end
-        return out
+        encode = self._at_once if self.plain else self._by_word
+        out: list[list[bytes]] = [[] for _ in texts]
+        rows, held, size = [], [], 0
+        for row, text in enumerate(texts):
+            for part in [text] if len(text) <= SLICE_BYTES else _CUTS.findall(text):
+                rows.append(row)
+                held.append(part)
+                size += len(part)
+                if size >= SLICE_BYTES:
+                    for i, found in zip(rows, encode(held)):
+                        out[i].append(found)
+                    rows, held, size = [], [], 0
+        if held:
+            for i, found in zip(rows, encode(held)):
+                out[i].append(found)
+        return [b"".join(found) for found in out]
 
 
 _LOADED: dict[str, WordTokens] = {}
@@ -239,7 +309,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_
     placed = rows.join(along_curve(rows), "row")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        source, start, size, pieces, sequence, offset = [], [], [], [], [], []
+        source, start, size, parts, sequence, offset = [], [], [], [], [], []
         for row, (data, n, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("packed", "doc_tokens", "at")))):
             ids, done = pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), 0
             while done < n:
@@ -248,7 +318,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_
                 source.append(row)
                 start.append(done)
                 size.append(take)
-                pieces.append(ids[4 * done : 4 * (done + take)])
+                parts.append(ids[4 * done : 4 * (done + take)])
                 sequence.append((at + done) // length)
                 offset.append(inside)
                 done += take
@@ -256,7 +326,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_
         own = [batch.column(c).take(source) for c in ("doc_id", "text_key", "row", "doc_tokens")]
         number = lambda v: pa.array(v, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [*own, number(start), number(size), pa.array(pieces, pa.binary()), number(sequence), number(offset)],
+            [*own, number(start), number(size), pa.array(parts, pa.binary()), number(sequence), number(offset)],
             ["doc_id", "text_key", "row", "doc_tokens", "start", "length", "ids", "sequence_id", "offset"],
         )
 

@@ -1,5 +1,6 @@
 """Packing: tokens against the tokenizer itself, and an exact round trip."""
 
+import json
 import random
 from pathlib import Path
 
@@ -38,6 +39,27 @@ def test_word_lookup_is_the_tokenizer(tokenizer):
         assert [np.frombuffer(f, "<u4").tolist() for f in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_whole_texts_are_encoded_at_once(tokenizer):
+    rng = random.Random(3)
+    parts = [chr(i) for i in range(256)] + ["'s", "'re", "'LL", "''", "<|endoftext|>", "\u2019", "\u212a", "\u0178", "\u65e5", "123", "ab", "'", " ", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [chr(i) + end for i in range(256) for end in ("'s", "a", "1", "!", "'", "")] + ["w\u00f6rd \u2019x " * 200_000]
+    ours = packing.WordTokens(PATH, packing.merge_ranks(PATH))
+    found = ours.ids([t.encode() for t in texts])
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    # Words in Latin-1 are not looked up one by one, however many there are.
+    ours = packing.WordTokens(PATH, packing.merge_ranks(PATH))
+    ours.ids([" ".join(f"Word{i}, it's ({i}) d\u00e9j\u00e0" for i in range(1000)).encode()])
+    assert not ours.known
+
+
+def test_other_splits_go_word_by_word(tmp_path):
+    given = json.loads(Path(PATH).read_text(encoding="utf-8"))
+    for key, other in (("normalizer", None), ("pre_tokenizer", {"type": "ByteLevel"}), ("added_tokens", [{**given["added_tokens"][0], "normalized": True}])):
+        (tmp_path / key).write_text(json.dumps({**given, key: other}), encoding="utf-8")
+        assert packing.merge_ranks(str(tmp_path / key)) is None
+
+
 def test_round_trip(spark, tokenizer):
     texts = texts_of()
     rows = [(i, t, 5, "r") for i, t in enumerate(texts)] + [(3, texts[3], 5, "r"), (None, "no id", 5, "r"), (7, "other text", 5, "r")]
