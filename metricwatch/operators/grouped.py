@@ -13,8 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,8 @@ from metricwatch.sources.lineage import cut_lineage
 
 # Training rows in one partition.
 ROWS_PER_PARTITION = 10_000
+# Blocks whose sums the driver adds up itself.
+BLOCKS_COLLECTED = 16
 
 
 def members(fold: np.ndarray, groups: int) -> np.ndarray:
@@ -202,7 +203,7 @@ class Boosting:
     bins: int = 64
     leaf_penalty: float = 1.0
     least_curvature: float = 1.0  # of either side of a split
-    pending: int = 5  # trees that passes apply anew before the rows' margins are written
+    pending: int = 5  # rounds after which the rows' margins are written
 
 
 @dataclass
@@ -236,72 +237,92 @@ def bin_numbers(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]).astype(np.uint8)
 
 
-def _binned(cuts: list[np.ndarray], start: np.ndarray):
+def _binned(cuts: list[np.ndarray]):
+    """Task function: a partition's rows as one block of packed columns."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bins = bin_numbers(np.stack(batch["x"].to_numpy()), cuts)
-            yield pd.DataFrame({
-                "label": batch["label"], "fold": batch["fold"],
-                "bins": [b.tobytes() for b in bins], "margins": [start.tobytes()] * len(batch),
-            })
+        parts = [(b["label"].to_numpy(np.float64), b["fold"].to_numpy(np.int32), bin_numbers(np.stack(b["x"].to_numpy()), cuts)) for b in batches if len(b)]
+        if parts:
+            yield pd.DataFrame({name: [np.concatenate(c).tobytes()] for name, c in zip(("label", "fold", "bins"), zip(*parts))})
 
     return run
 
 
-def _unpacked(batch: pa.RecordBatch, groups: int) -> tuple[np.ndarray, ...]:
-    label, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    bins = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    margins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float64).reshape(batch.num_rows, groups)
-    return label, fold, bins, margins
+# A block of rows: label, fold, bins (rows, features) and margins (rows, groups).
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _advanced(trees: list[_Trees], groups: int, depth: int):
-    """Task function: rows with their margins after ``trees``."""
+def _unpacked(start: np.ndarray):
+    """Task function: a packed block with the margins that all rows start from."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, _, bins, margins = _unpacked(batch, groups)
-                for tree in trees:
-                    margins = margins + np.column_stack([tree.values(bins, g, depth) for g in range(groups)])
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array([m.tobytes() for m in np.ascontiguousarray(margins)], pa.binary())],
-                    ["label", "fold", "bins", "margins"],
-                )
+    def run(row) -> Block:
+        label, fold = np.frombuffer(row["label"], np.float64), np.frombuffer(row["fold"], np.int32)
+        return label, fold, np.frombuffer(row["bins"], np.uint8).reshape(len(label), -1), np.tile(start, (len(label), 1))
 
     return run
 
 
-def _level_sums(trees: list[_Trees], growing: _Trees, level: int, groups: int, depth: int, n_bins: int):
-    """Task function: gradient and curvature per (group, node of the level, feature, bin), cells numbered in this order."""
+def _advanced(tree: _Trees, groups: int, depth: int):
+    """Task function: a block with its margins after ``tree``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, per_group = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            label, fold, bins, margins = _unpacked(batch, groups)
-            trains, width = members(fold, groups), bins.shape[1]
-            per_group = 2**level * width * n_bins
-            sums = np.zeros((2, groups * per_group)) if sums is None else sums
-            cell = np.arange(width) * n_bins + bins
-            for g in range(groups):
-                margin = margins[:, g]
-                for tree in trees:
-                    margin = margin + tree.values(bins, g, depth)
-                node = growing.nodes(bins, g, level) - (2**level - 1)
-                use = trains[g] & (node >= 0)
-                p = _sigmoid(margin[use])
-                at = (node[use, None] * width * n_bins + cell[use]).ravel()
-                for k, weight in enumerate((p - label[use], p * (1 - p))):
-                    sums[k, g * per_group : (g + 1) * per_group] += np.bincount(at, np.repeat(weight, width), per_group)
-        if sums is not None:
+    def run(block: Block) -> Block:
+        label, fold, bins, margins = block
+        return label, fold, bins, margins + np.column_stack([tree.values(bins, g, depth) for g in range(groups)])
+
+    return run
+
+
+def _level_sums(growing: _Trees, level: int, groups: int, n_bins: int):
+    """Task function: the (group, node of the level, feature, bin) cells with rows, numbered in this order, and their gradient and curvature."""
+
+    def run(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        label, fold, bins, margins = block
+        trains, width = members(fold, groups), bins.shape[1]
+        per_group = 2**level * width * n_bins
+        cell = np.arange(width) * n_bins + bins
+        found = []
+        for g in range(groups):
+            node = growing.nodes(bins, g, level) - (2**level - 1)
+            use = trains[g] & (node >= 0)
+            p = _sigmoid(margins[use, g])
+            at = (node[use, None] * width * n_bins + cell[use]).ravel()
+            sums = np.stack([np.bincount(at, np.repeat(weight, width), per_group) for weight in (p - label[use], p * (1 - p))])
             used = np.nonzero(sums[1])[0]
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], ["cell", "g", "h"])
+            found.append((used + g * per_group, sums[:, used]))
+        return np.concatenate([at for at, _ in found]), np.concatenate([sums for _, sums in found], axis=1)
 
     return run
 
 
+def _totals(blocks: RDD, sums_of, size: int) -> np.ndarray:
+    """(2, ``size``): the blocks' cells added up.  Of many blocks, tasks add up slices first, so that what reaches the driver does not grow with them."""
+    parts, total = blocks.getNumPartitions(), np.zeros((2, size))
+    if parts <= BLOCKS_COLLECTED:
+        found = blocks.map(sums_of).collect()
+    else:
+        slices = min(BLOCKS_COLLECTED, size)
+        ends = [size * s // slices for s in range(slices + 1)]
+
+        def cut(block: Block):
+            at, sums = sums_of(block)
+            places = np.searchsorted(at, ends)
+            for s, (a, b) in enumerate(zip(places, places[1:])):
+                if b > a:
+                    yield s, (at[a:b], sums[:, a:b])
+
+        def added(a, b):
+            at, place = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+            sums = np.zeros((2, len(at)))
+            sums[:, place[: len(a[0])]] += a[1]
+            sums[:, place[len(a[0]) :]] += b[1]
+            return at, sums
+
+        found = blocks.flatMap(cut).reduceByKey(added, slices).values().collect()
+    for at, sums in found:
+        total[:, at] += sums
+    return total
+
+
 def _split(growing: _Trees, level: int, sums: np.ndarray, cfg: Boosting, gains: np.ndarray, uses: np.ndarray) -> bool:
     """Split the level's nodes where it pays; ``sums`` are (2, groups, nodes, features, bins).  Whether any was split."""
     g, h = np.cumsum(sums, axis=4)
@@ -347,9 +368,9 @@ def feature_cuts(train: DataFrame, width: int, bins: int) -> list[np.ndarray]:
 def boosted_trees(train: DataFrame, groups: int, width: int, cfg: Boosting = Boosting()) -> GroupedModel:
     """Boosted trees of all groups: one aggregate per level and round, whatever the number of groups.
 
-    Leaf weights are -gradient / (curvature + penalty).  Passes apply the last few trees to the written
-    margins; every ``cfg.pending`` rounds the margins are written again, so a lost executor costs no
-    more than these.
+    Leaf weights are -gradient / (curvature + penalty).  Passes are many and short, so each is one job over blocks of
+    binned rows, without a plan of its own.  The first pass of a round moves the blocks' margins on; every ``cfg.pending``
+    rounds the blocks are written, so a lost executor costs no more than these.
     """
     counts = class_counts(train, groups)
     only = _sole_labels(counts)
@@ -358,33 +379,28 @@ def boosted_trees(train: DataFrame, groups: int, width: int, cfg: Boosting = Boo
     cuts = feature_cuts(train, width, cfg.bins)
     fitted = BoostedTrees(cuts, start)
     gains, uses = np.zeros(width), np.zeros(width)
-    schema = "label double, fold int, bins binary, margins binary"
-    # Rounds are many and short: few, even partitions.
+    # Few, even partitions.
     parts = -(-int(counts[-1].sum()) // ROWS_PER_PARTITION)
     spread = train.select("x", "label", "fold")
     spread = spread.repartition(parts) if parts > 1 else spread.coalesce(1)
-    rows = spread.mapInPandas(_binned(cuts, start), schema).persist(StorageLevel.MEMORY_AND_DISK)
-    pending: list[_Trees] = []
-    for _ in range(cfg.rounds):
+    packed = cut_lineage(spread.mapInPandas(_binned(cuts), "label binary, fold binary, bins binary"))
+    blocks = packed.rdd.map(_unpacked(start)).persist(StorageLevel.MEMORY_AND_DISK)
+    done = None
+    for round_ in range(cfg.rounds):
         growing = _Trees.stumps(groups, cfg.depth)
         for level in range(cfg.depth):
-            cells = rows.mapInArrow(_level_sums(pending, growing, level, groups, cfg.depth, cfg.bins), "cell long, g double, h double")
-            if parts > 1:  # a single task's sums are whole already
-                cells = cells.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            cells = cells.toArrow()
-            sums = np.zeros((2, groups * 2**level * width * cfg.bins))
-            at = cells["cell"].to_numpy()
-            sums[0, at], sums[1, at] = cells["g"].to_numpy(), cells["h"].to_numpy()
+            sums = _totals(blocks, _level_sums(growing, level, groups, cfg.bins), groups * 2**level * width * cfg.bins)
+            if done is not None:
+                done.unpersist()
+                done = None
             if not _split(growing, level, sums.reshape(2, groups, 2**level, width, cfg.bins), cfg, gains, uses):
                 break
         fitted.trees.append(growing)
-        pending.append(growing)
-        if len(pending) == cfg.pending:
-            last, rows = rows, cut_lineage(rows.mapInArrow(_advanced(pending, groups, cfg.depth), schema))
-            rows = rows if parts > 1 else rows.coalesce(1)
-            last.unpersist()
-            pending = []
-    rows.unpersist()
+        if round_ + 1 < cfg.rounds:
+            done, blocks = blocks, blocks.map(_advanced(growing, groups, cfg.depth)).persist(StorageLevel.MEMORY_AND_DISK)
+            if (round_ + 1) % cfg.pending == 0:
+                blocks.checkpoint()
+    blocks.unpersist()
     mean = np.divide(gains, uses, out=np.zeros(width), where=uses > 0)
     fitted.importances = mean / mean.sum() if mean.sum() > 0 else mean
     depth = cfg.depth

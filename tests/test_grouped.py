@@ -101,3 +101,25 @@ def test_no_rows(spark):
     for fit in (grouped.naive_bayes, grouped.logistic):
         assert fit(empty, 2, 1).only == [0, 0]
     assert grouped.vector_width(empty) == 0
+
+
+def test_a_level_is_one_job_and_many_blocks_are_summed_in_tasks(spark, train, data, monkeypatch):
+    monkeypatch.setattr(grouped, "ROWS_PER_PARTITION", 25)
+    cfg, passes, totals = grouped.Boosting(rounds=3, depth=2, bins=8, pending=2), [], grouped._totals
+
+    def counted(blocks, sums_of, size):
+        spark.sparkContext.setJobGroup(f"pass{len(passes)}", "one pass")
+        passes.append(totals(blocks, sums_of, size))
+        return passes[-1]
+
+    monkeypatch.setattr(grouped, "_totals", counted)
+    whole = margins_of(grouped.boosted_trees(train, FOLDS + 1, 4, cfg), data)
+    jobs = [len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pass{i}")) for i in range(len(passes))]
+    # The pass after which the blocks are written is followed by the job that writes them.
+    assert len(passes) == 6 and sum(jobs) <= 7 and max(jobs) <= 2
+    monkeypatch.setattr(grouped, "BLOCKS_COLLECTED", 3)
+    sliced = margins_of(grouped.boosted_trees(train, FOLDS + 1, 4, cfg), data)
+    for group, margins in whole.items():
+        assert sliced[group] == pytest.approx(margins, rel=1e-9, abs=1e-9)
+    for a, b in zip(passes[:6], passes[6:]):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
