@@ -24,6 +24,40 @@ CELLS = 1_000_000  # differences held at a time
 _NEIGHBOURS = "id string, d double, n_id string, n_label double"
 
 
+def _candidates(x: np.ndarray, q: np.ndarray, wanted: int):
+    """Steps ``(at, row, col)``: for every row ``at + row`` of ``q`` all rows of ``x`` that its ``wanted`` nearest can be among.
+
+    Distances come from one matrix product, at first; a row is left out where that is beyond the ``wanted``-th
+    by more than both can be wrong.
+    """
+    step = max(1, CELLS // (2 * len(x)))
+    if wanted == len(x) or not np.isfinite(x).all():
+        for at in range(0, len(q), step):
+            yield at, *np.divmod(np.arange(len(q[at : at + step]) * len(x)), len(x))
+        return
+    with np.errstate(over="ignore", invalid="ignore"):
+        # Around the middle of the rows less is lost by cancelling.
+        middle = x.mean(axis=0)
+        x, q = x - middle, q - middle
+        x_size, q_size = (x * x).sum(axis=1), (q * q).sum(axis=1)
+        # Some units in the last place of the largest term for each summand.
+        slack = 16 * (x.shape[1] + 4) * np.finfo(float).eps
+        for at in range(0, len(q), step):
+            near = q[at : at + step] @ x.T
+            near *= -2
+            near += x_size
+            reach = np.partition(near, wanted - 1, axis=1)[:, wanted - 1] + slack * (x_size.max() + q_size[at : at + step])
+            # Not above: whatever is not a number stays in.
+            yield at, *np.nonzero(~(near > reach[:, None]))
+
+
+def _distances(x: np.ndarray, q: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs, some at a time."""
+    step = max(1, CELLS // x.shape[1])
+    parts = [((x[col[a : a + step]] - q[row[a : a + step]]) ** 2).sum(axis=1) for a in range(0, len(row), step)]
+    return np.concatenate(parts)
+
+
 def _nearest(k: int):
     """Pandas join of one block of test rows with one block of training rows."""
 
@@ -33,25 +67,36 @@ def _nearest(k: int):
         trains = trains.sort_values("n_id", kind="stable")
         x, q = np.stack(trains["n_x"].to_numpy()), np.stack(tests["x"].to_numpy())
         ids, labels, asked = trains["n_id"].to_numpy(), trains["n_label"].to_numpy(), tests["id"].to_numpy()
-        wanted = min(k, len(x))
-        step = max(1, CELLS // x.size)
-        out = []
-        for at in range(0, len(q), step):
-            d = ((x[None, :, :] - q[at : at + step, None, :]) ** 2).sum(axis=2)
-            bound = np.partition(d, wanted - 1, axis=1)[:, wanted - 1]
-            # All rows at the k-th distance compete; equal distances go in id order.
-            row, col = np.nonzero(d <= bound[:, None])
-            order = np.lexsort((col, d[row, col], row))
-            row, col = row[order], col[order]
-            first = np.searchsorted(row, row)
-            kept = np.arange(len(row)) - first < wanted
-            row, col = row[kept], col[kept]
-            out.append((asked[at + row], d[row, col], ids[col], labels[col]))
-        return pd.DataFrame(dict(zip(("id", "d", "n_id", "n_label"), map(np.concatenate, zip(*out)))))
+        if "own" not in tests:
+            return _found(x, q, ids, labels, asked, k)
+        own, out = trains["n_own"].to_numpy(), []
+        for group in np.unique(tests["own"]):
+            others, here = own != group, tests["own"].to_numpy() == group
+            if others.any():
+                out.append(_found(x[others], q[here], ids[others], labels[others], asked[here], k))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "d": [], "n_id": [], "n_label": []})
 
     return nearest
 
 
+def _found(x: np.ndarray, q: np.ndarray, ids: np.ndarray, labels: np.ndarray, asked: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` nearest rows of ``x`` for every row of ``q``."""
+    wanted = min(k, len(x))
+    out = []
+    for at, row, col in _candidates(x, q, wanted):
+        d = _distances(x, q, at + row, col)
+        # Rows at equal distances compete in id order.
+        order = np.lexsort((col, d, row))
+        row, col, d = row[order], col[order], d[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < wanted
+        # A row whose k-th distance is not a number has no neighbours.
+        lost = row[kept][np.isnan(d[kept])]
+        kept &= ~np.isin(row, lost)
+        row, col = row[kept], col[kept]
+        out.append((asked[at + row], d[kept], ids[col], labels[col]))
+    return pd.DataFrame(dict(zip(("id", "d", "n_id", "n_label"), map(np.concatenate, zip(*out)))))
+
+
 def _visit(tests: DataFrame, train: DataFrame, k: int, block_rows: int) -> DataFrame:
     """Run test rows, already assigned to ``(slice, part)`` blocks, against those blocks.
 
@@ -59,14 +104,16 @@ def _visit(tests: DataFrame, train: DataFrame, k: int, block_rows: int) -> DataF
     visitors, so the rows moved stay proportional to the visits.
     """
     visits = tests.groupBy("slice", "part").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks"))
+    own = [c for c in tests.columns if c == "own"]
     placed = tests.join(visits, ["slice", "part"]).select(
-        "id", "x", "slice", "part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
+        "id", "x", *own, "slice", "part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
     )
     # New names throughout: both sides may come from the same frame.
     copies = train.join(visits, ["slice", "part"]).select(
         F.col("id").alias("n_id"),
         F.col("x").alias("n_x"),
         F.col("label").alias("n_label"),
+        *[F.col(c).alias(f"n_{c}") for c in own],
         F.col("slice").alias("n_slice"),
         F.col("part").alias("n_part"),
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("n_chunk"),
@@ -144,15 +191,18 @@ def nearest_neighbours(
     """The k nearest training rows of each test row: ``(id, d, n_id, n_label)``.
 
     ``test`` has ``(id string, x array<double>)``, ``train`` also ``label``; ``d`` is the
-    squared distance, ties go to the smaller id.
+    squared distance, ties go to the smaller id.  Where both have ``own int``, rows that
+    agree in it are no neighbours.
     """
     spark = test.sparkSession
+    own = ["own"] if "own" in test.columns and "own" in train.columns else []
+    test, train = test.select("id", "x", *own), train.select("id", "x", "label", *own)
     n = train.count()
     if not n:
         return spark.createDataFrame([], _NEIGHBOURS)
     if n < block_rows:
         # All training rows fit one block: a single visit is the answer.
-        only = test.select("id", "x", F.lit(0).alias("slice"), F.lit(0).alias("part"))
+        only = test.select("*", F.lit(0).alias("slice"), F.lit(0).alias("part"))
         return _visit(only, train.withColumn("slice", F.lit(0)).withColumn("part", F.lit(0)), k, block_rows)
     leaves = min(MAX_LEAVES, n // block_rows + 1)
     sample = train.select(F.xxhash64("id").alias("place"), "id", "x").orderBy("place", "id").limit(SAMPLE_PER_LEAF * leaves).collect()
@@ -181,7 +231,7 @@ def nearest_neighbours(
         return pd.Series(boxes.nearest(np.stack(x.to_numpy()))) if len(x) else pd.Series([], dtype="int32")
 
     first = _visit(
-        test.select("id", "x", nearest_leaf("x").alias("slice"), F.lit(0).alias("part")), train, k, block_rows
+        test.select("*", nearest_leaf("x").alias("slice"), F.lit(0).alias("part")), train, k, block_rows
     )
     reach = first.groupBy("id").agg(
         F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d")) * (1 + 1e-9) + 1e-12).otherwise(F.lit(float("inf"))).alias("reach")
@@ -195,9 +245,9 @@ def nearest_neighbours(
     todo = (
         test.join(reach, "id", "left")
         .withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-        .select("id", "x", F.explode(leaves_within("x", "reach")).alias("slice"))
+        .select("id", "x", *own, F.explode(leaves_within("x", "reach")).alias("slice"))
         .join(parts, "slice")
-        .select("id", "x", "slice", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        .select("id", "x", *own, "slice", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     )
     best = Window.partitionBy("id").orderBy("d", "n_id")
     return (

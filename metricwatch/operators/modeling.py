@@ -96,8 +96,15 @@ def _margin(df: DataFrame) -> DataFrame:
 
 # The driver holds the nodes of the trees it grows, and a deep tree's nodes grow with its rows: so many
 # rows times trees at a time, for so many groups side by side.
-TREE_ROWS = 400_000
-FORESTS_AT_ONCE = 3
+TREE_ROWS = 800_000
+FORESTS_AT_ONCE = 4
+# Forests and support vectors are fitted in hundreds of passes, several fits side by side: few tasks for a pass, as a task
+# has its own cost, and in forests sums for every node of a level.
+FIT_ROWS_PER_PARTITION = 20_000
+
+
+def _few_tasks(train: DataFrame, rows: int) -> DataFrame:
+    return train.coalesce(rows // FIT_ROWS_PER_PARTITION + 1)
 
 
 @dataclass
@@ -112,14 +119,17 @@ def _forest(cfg: ModelSettings):
     """A random forest, grown and applied part by part; a part's trees leave the driver when they are written or applied."""
 
     def fit(train: DataFrame) -> Fitted:
-        size = min(max(TREE_ROWS // max(train.count(), 1), 1), cfg.trees)
+        rows = train.count()
+        train = _few_tasks(train, rows)
+        size = min(max(TREE_ROWS // max(rows, 1), 1), cfg.trees)
         forest = Forest([], np.zeros(len(train.first()["features"])))
         for k, first in enumerate(range(0, cfg.trees, size)):
             trees = min(size, cfg.trees - first)
             # Spark's own choice for several trees, also where a part has but one.
             features = "sqrt" if cfg.trees > 1 else "auto"
+            # With the rows' nodes kept beside the rows, no tree is sent to the tasks, level by level, and walked from its root.
             model = RandomForestClassifier(
-                numTrees=trees, maxDepth=cfg.tree_depth, featureSubsetStrategy=features, seed=cfg.seed + 1_000_003 * k
+                numTrees=trees, maxDepth=cfg.tree_depth, featureSubsetStrategy=features, seed=cfg.seed + 1_000_003 * k, cacheNodeIds=True
             ).fit(train)
             forest.parts.append(new_folder(train.sparkSession, "forest"))
             model.write().save(forest.parts[-1])
@@ -142,15 +152,22 @@ def _forest(cfg: ModelSettings):
 
 
 def _neighbours(cfg: ModelSettings):
-    def fit(train: DataFrame) -> Fitted:
-        known = train.select("id", vector_to_array("features").alias("x"), "label")
+    """Votes of the nearest neighbours for all groups in one search: a row's own fold is left out of its neighbours."""
 
-        def predict(df: DataFrame) -> DataFrame:
+    def fit(train: DataFrame, folds: int) -> GroupFit:
+        counts = grouped.class_counts(train, folds + 1)
+        known = train.select("id", "x", "label", F.col("fold").alias("own"))
+        only = F.array(*[F.lit(float(n[1] > 0) if n.min() == 0 else None).cast("double") for n in counts])
+
+        def predict(rows: DataFrame) -> DataFrame:
+            placed = rows.withColumn("_only", F.get(only, F.col("group")))
             # Equal ids are equal rows: ask once, answer all.
-            asked = df.select("id", vector_to_array("features").alias("x")).dropDuplicates(["id"])
-            return df.join(knn_scores(asked, known, cfg.neighbours), "id")
+            asked = placed.where("_only IS NULL").select("id", "x", F.col("group").alias("own")).dropDuplicates(["id"])
+            scores = knn_scores(asked, known, cfg.neighbours)
+            sole = placed.where("_only IS NOT NULL").withColumn("score", 2 * F.col("_only") - 1).withColumn("prediction", F.col("_only"))
+            return placed.join(scores, "id").unionByName(sole).drop("_only").select(*rows.columns, "score", "prediction")
 
-        return Fitted(predict, known)
+        return GroupFit(predict, known)
 
     return fit
 
@@ -171,7 +188,7 @@ def _kernel_svm(cfg: ModelSettings):
         estimator = LinearSVC(
             featuresCol="lifted", maxIter=cfg.svm_iterations, regParam=1.0 / (cfg.svm_c * max(n_rows, 1)), standardization=False
         )
-        model = estimator.fit(lift(train))
+        model = estimator.fit(lift(_few_tasks(train, n_rows)))
         return Fitted(lambda df: _margin(model.transform(lift(df))).drop("lifted"), model)
 
     return fit
@@ -237,7 +254,7 @@ def _classifiers(cfg: ModelSettings) -> dict[str, Callable[[DataFrame, int], Gro
     return {
         "LogReg": _together(lambda t, g, w: grouped.logistic(t, g, w, 1.0 / cfg.logistic_c, cfg.logistic_iterations)),
         "RF": _per_group(_forest(cfg), min(FORESTS_AT_ONCE, cfg.parallelism)),
-        "KNN": _per_group(_neighbours(cfg), cfg.parallelism),
+        "KNN": _neighbours(cfg),
         "SVM": _per_group(_kernel_svm(cfg), cfg.parallelism),
         "GNB": _together(grouped.naive_bayes),
         "XGB": _together(lambda t, g, w: grouped.boosted_trees(t, g, w, boosting)),

@@ -112,3 +112,23 @@ def test_a_forest_is_grown_in_parts_of_bounded_size(spark, rows, monkeypatch):
     for found in (fitted["RF"], parts["RF"]):
         assert [r.feature for r in modeling.feature_importance(found, ["signal", "noise"], spark).collect()] == ["signal", "noise"]
         assert modeling.feature_importance(found, ["signal", "noise"], spark).agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+
+
+def test_neighbours_of_all_folds_are_one_search(rows, monkeypatch):
+    asked, search = [], modeling.knn_scores
+    monkeypatch.setattr(modeling, "knn_scores", lambda test, train, k: asked.append(test.count()) or search(test, train, k))
+    scores, _, predictions = modeling.compare_models(rows, QUICK, ("KNN",))
+    assert asked == [rows.count()] and scores.count() == 5 and predictions.count() == rows.where("is_test").count()
+
+
+def test_fits_of_many_passes_take_few_tasks(rows, monkeypatch):
+    from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+
+    seen = []
+    for kind in (LinearSVC, RandomForestClassifier):
+        monkeypatch.setattr(kind, "fit", lambda self, df, fit=kind.fit: seen.append((self, df.rdd.getNumPartitions())) or fit(self, df))
+    monkeypatch.setattr(modeling.grouped, "ROWS_PER_PARTITION", 10)
+    monkeypatch.setattr(modeling, "FIT_ROWS_PER_PARTITION", 60)
+    modeling.compare_models(rows, QUICK, ("RF", "SVM"), folds=2)
+    assert len(seen) == 6 and all(n <= 3 for _, n in seen)
+    assert all(f.getCacheNodeIds() for f, _ in seen if isinstance(f, RandomForestClassifier))

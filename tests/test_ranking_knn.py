@@ -148,3 +148,37 @@ def test_a_block_of_neighbours_takes_little_memory():
     finally:
         tracemalloc.stop()
     assert len(found) == 5 * n and peak < 25e6
+
+
+@pytest.mark.parametrize("block_rows", [10**6, 15])
+def test_rows_of_ones_own_group_are_no_neighbours(spark, block_rows):
+    rng = np.random.default_rng(3)
+    points = [[float(v) for v in x] for x in rng.integers(0, 6, (90, 3))]  # many ties
+    rows = [(f"r{i:03d}", x, float(i % 2), i % 4) for i, x in enumerate(points)]
+    train = spark.createDataFrame(rows, "id string, x array<double>, label double, own int")
+    test = spark.createDataFrame([(i, x, g) for i, x, _, g in rows] + [("q", [1.0, 2.0, 9.0], 4)], "id string, x array<double>, own int")
+    got = defaultdict(list)
+    for r in nearest_neighbours(test, train, 5, block_rows).collect():
+        got[r.id].append((r.d, r.n_id))
+    for r in test.collect():
+        want = sorted((sum((a - b) ** 2 for a, b in zip(r.x, x)), i) for i, x, _, own in rows if own != r.own)[:5]
+        assert sorted(got[r.id]) == want
+
+
+def test_far_pairs_are_left_out_by_a_matrix_product_and_odd_rows_stay_exact(monkeypatch):
+    rng, measured, distances = np.random.default_rng(6), [], knn._distances
+    monkeypatch.setattr(knn, "_distances", lambda x, q, row, col: measured.append(len(row)) or distances(x, q, row, col))
+    plain = rng.normal(size=(600, 8)) * [1e5, 1, 1, 1, 1, 1, 1, 1e-4] + 1e3
+    inf = plain.copy()
+    inf[3, 1], inf[4] = np.inf, 1e200
+    for x, q in ((plain, plain[:200] + 0.1), (inf, inf[:20]), (np.repeat(plain[:4], 20, axis=0), plain[:9]), (plain[:3], plain[:9])):
+        measured.clear()
+        ids = np.array([f"t{i:04d}" for i in range(len(x))])
+        found = knn._found(x, q, ids, np.zeros(len(x)), np.arange(len(q)), 5)
+        with np.errstate(invalid="ignore", over="ignore"):
+            d = ((x[None, :, :] - q[:, None, :]) ** 2).sum(axis=2)
+        for i, mine in found.groupby("id"):
+            order = np.argsort(d[i], kind="stable")[:5]
+            assert list(mine["n_id"]) == list(ids[order]) and list(mine["d"]) == list(d[i][order])
+        if x is plain:
+            assert sum(measured) < 0.05 * len(x) * len(q)
